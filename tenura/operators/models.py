@@ -17,6 +17,7 @@ from tenura import fixed_values as fv
 from tenura.operators.preprocess import Preprocessing, to_stages
 
 WEIGHT = "fit_weight"
+ROWS_PER_TASK = 100_000
 
 
 def balanced_weights(p: Preprocessing) -> tuple[float, float]:
@@ -75,12 +76,17 @@ def default_candidates(
 
 def fit(candidate: Candidate, p: Preprocessing, rows: DataFrame,
         label: str = "churn") -> PipelineModel:
-    """Preprocessing and classifier as one fitted pipeline over raw feature rows."""
+    """Preprocessing and classifier as one fitted pipeline over raw feature rows.
+
+    Every iteration visits each partition once, so small inputs are brought into few partitions;
+    large ones keep those of their scan.
+    """
     stages = to_stages(p, rows)
     w0, w1 = candidate.weights(p)
     weighted = (stages.transform(rows)
                 .withColumn(WEIGHT, F.when(F.col(label) == 1, w1).otherwise(w0))
-                .select("features", label, WEIGHT))
+                .select("features", label, WEIGHT)
+                .coalesce(-(-p.rows // ROWS_PER_TASK) or 1))
     model = candidate.estimator(p).fit(weighted)
     return PipelineModel(stages=[*stages.stages, model])
 

@@ -138,7 +138,8 @@ def fit(
         present = [by_part[p] for p in parts if p in by_part]
         rows = sum(r["rows"] for r in present)
         means, scales = {}, {}
-        for c, median in medians[name].items():
+        fills = {c: medians[name][c] for c in numeric if c in medians[name]}
+        for c, median in fills.items():
             pieces = [(r[f"n_{c}"], r[f"mean_{c}"], r[f"n_{c}"] * r[f"var_{c}"])
                       for r in present if r[f"n_{c}"]]
             pieces.append((rows - sum(p[0] for p in pieces), median, 0.0))
@@ -153,11 +154,10 @@ def fit(
             if total:
                 categories[c] = sorted(total)
                 modes[c] = min(total, key=lambda v: (-total[v], v))
-        kept = [c for c in numeric if c in means]
-        names = [f"num__{c}" for c in kept] + [
+        names = [f"num__{c}" for c in fills] + [
             f"cat__{c}_{v}" for c in categories for v in categories[c]]
         learned[name] = Preprocessing(
-            medians=medians[name], means=means, scales=scales, modes=modes,
+            medians=fills, means=means, scales=scales, modes=modes,
             categories=categories, rows=rows, positives=int(sum(r["positives"] for r in present)),
             feature_names=names)
     return learned
@@ -190,7 +190,7 @@ def to_stages(p: Preprocessing, df: DataFrame) -> PipelineModel:
     Numerics come first, then the one-hot columns in the order of their sorted categories; a value
     unseen in the fit set becomes all zeros. ``df`` is used for its schema only.
     """
-    numeric = [c for c in p.medians if c in df.columns]
+    numeric = list(p.medians)
     columns = list(p.categories)
     fill = SQLTransformer(statement=_statement(p, numeric))
     stages = [fill]

@@ -340,8 +340,8 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = materialize(_features(spark, sf_dir), "features")
-    return training.split_table(stored, RunParams())
+    """The stored feature table with its parts computed on the fly, for a single fit."""
+    return splits.stratified(materialize(_features(spark, sf_dir), "features"))
 
 
 def impute_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -441,9 +441,8 @@ def _linear(spark: SparkSession, sf_dir: str) -> tuple[artifacts.Artifact, DataF
     learned = preprocess.fit(data, numeric, categorical, parts)["final"]
     candidate = models.logistic_regression()
     fitted = models.fit(candidate, learned, data.filter(preprocess.in_parts(parts["final"])))
-    inputs = [c for c in plans.MODEL_FEATURES]
-    artifact = artifacts.Artifact(fitted, candidate.name, fv.PIPELINE_VERSION, 0.5, inputs,
-                                  learned.feature_names)
+    artifact = artifacts.Artifact(fitted, candidate.name, fv.PIPELINE_VERSION, 0.5,
+                                  plans.MODEL_FEATURES, learned.feature_names)
     path = new_path(spark, "model")
     artifacts.save(artifact, spark, path)
     return artifacts.load(spark, path), data
