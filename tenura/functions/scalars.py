@@ -58,12 +58,12 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def scorecard_logit() -> Column:
     """The linear scorecard over a feature row that also carries data_usage_trend."""
-    total = F.lit(fv.SCORECARD_INTERCEPT)
-    for name, slope in fv.SCORECARD_SLOPES.items():
-        total = total + F.lit(slope) * F.col(name)
+    terms = [f"{fv.SCORECARD_INTERCEPT}D"]
+    terms += [f"{slope}D * {name}" for name, slope in fv.SCORECARD_SLOPES.items()]
     for name, values, weight in fv.SCORECARD_FLAGS:
-        total = total + F.lit(weight) * F.col(name).isin(*values).cast("int")
-    return total
+        listed = ", ".join(f"'{v}'" for v in values)
+        terms.append(f"{weight}D * CAST({name} IN ({listed}) AS INT)")
+    return F.expr(" + ".join(terms))
 
 
 def plan_price(plan: Column) -> Column:
@@ -103,8 +103,8 @@ def with_count_at_or_below(
     df = df.withColumn("_bounds", bounds).withColumn(out, F.lit(0))
     step = (size + 1) // 2
     while step:
-        hit = F.get("_bounds", F.col(out) + (step - 1)) <= F.col(value)
-        df = df.withColumn(out, F.col(out) + F.when(hit, step).otherwise(0))
+        hit = f"get(_bounds, {out} + {step - 1}) <= `{value}`"
+        df = df.withColumn(out, F.expr(f"{out} + IF({hit}, {step}, 0)"))
         step //= 2
     return df.drop("_bounds")
 
@@ -114,5 +114,5 @@ def padded(bounds: Sequence[float]) -> tuple[Column, int]:
     size = 1
     while size < len(bounds):
         size = 2 * size + 1
-    full = list(bounds) + [float("inf")] * (size - len(bounds))
-    return F.array(*[F.lit(float(b)) for b in full]), size
+    literals = [f"{float(b)!r}D" for b in bounds] + ["double('Infinity')"] * (size - len(bounds))
+    return F.expr(f"array({', '.join(literals)})"), size

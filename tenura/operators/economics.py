@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenura import fixed_values as fv
 from tenura.functions.scalars import (
-    at_or_above, is_number, padded, ratio, threshold_grid, with_count_at_or_below,
+    is_number, padded, threshold_grid, with_count_at_or_below,
 )
 from tenura.schema import Economics
 
@@ -22,20 +22,19 @@ CURVE_COLUMNS = (
 
 def _curve(counts: DataFrame, by: Sequence[str], money: Economics) -> DataFrame:
     """Rates and money from (threshold, targeted, captured, customers, churners)."""
-    targeted, captured = F.col("targeted"), F.col("captured")
-    gross = captured * F.lit(money.save_probability) * F.lit(money.monthly_margin)
-    cost = targeted * F.lit(money.intervention_cost)
-    return counts.select(
+    gross = f"captured * {money.save_probability!r}D * {money.monthly_margin!r}D"
+    cost = f"targeted * {money.intervention_cost!r}D"
+    return counts.selectExpr(
         *by,
         "threshold",
-        targeted.alias("targeted_customers"),
-        ratio(targeted, F.col("customers")).alias("targeted_share"),
-        captured.alias("captured_churners"),
-        ratio(captured, F.col("churners")).alias("recall"),
-        ratio(captured, targeted).alias("precision"),
-        gross.alias("gross_expected_value_inr"),
-        cost.alias("intervention_cost_inr"),
-        (gross - cost).alias("net_expected_value_inr"))
+        "targeted AS targeted_customers",
+        "coalesce(try_divide(targeted, customers), 0D) AS targeted_share",
+        "captured AS captured_churners",
+        "coalesce(try_divide(captured, churners), 0D) AS recall",
+        "coalesce(try_divide(captured, targeted), 0D) AS precision",
+        f"{gross} AS gross_expected_value_inr",
+        f"{cost} AS intervention_cost_inr",
+        f"{gross} - {cost} AS net_expected_value_inr")
 
 
 def threshold_curve(
@@ -52,29 +51,23 @@ def threshold_curve(
     shuffle, and a threshold's counts are the sums of the cells at or above it. Work per row does
     not depend on the number of thresholds.
     """
-    thresholds = sorted(thresholds)
+    thresholds = sorted(float(t) for t in thresholds)
     grid, size = padded(thresholds)
-    y = F.coalesce(F.col(label), F.lit(0)).cast("long")
-    valid = F.when(is_number(F.col(score)), F.col(score)).otherwise(float("-inf"))
+    valid = f"IF({score} IS NULL OR isnan({score}), double('-Infinity'), {score}) AS _score"
     placed = with_count_at_or_below(
-        df.select(*by, valid.alias("_score"), y.alias("_y")), "_score", grid, size, "_cell")
-    cells = placed.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("y"))
+        df.selectExpr(*by, valid, f"coalesce({label}, 0) AS _y"), "_score", grid, size, "_cell")
+    cells = placed.groupBy(*by, "_cell").agg(F.expr("count(1) AS n"),
+                                             F.expr("sum(CAST(_y AS BIGINT)) AS y"))
     # At most len(thresholds) + 1 cells per group.
     table = cells.groupBy(*by).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("customers"),
-        F.coalesce(F.sum("y"), F.lit(0)).alias("churners"),
-        F.collect_list(F.struct("_cell", "n", "y")).alias("cells"))
-    rows = table.select(
-        *by, "customers", "churners", "cells",
-        F.posexplode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("_i", "threshold"))
-
-    def at_least(field: str) -> Column:
-        return F.aggregate(
-            F.filter("cells", lambda c: c["_cell"] > F.col("_i")),
-            F.lit(0).cast("long"), lambda total, c: total + c[field])
-
-    return _curve(rows.withColumns({"targeted": at_least("n"), "captured": at_least("y")}),
-                  by, money)
+        F.expr("coalesce(sum(n), 0) AS customers"), F.expr("coalesce(sum(y), 0) AS churners"),
+        F.expr("collect_list(struct(_cell, n, y)) AS cells"))
+    literals = ", ".join(f"{t!r}D" for t in thresholds)
+    rows = table.selectExpr(*by, "customers", "churners", "cells",
+                            f"posexplode(array({literals})) AS (_i, threshold)")
+    sums = [f"aggregate(filter(cells, c -> c._cell > _i), 0L, (s, c) -> s + c.{field}) AS {name}"
+            for field, name in (("n", "targeted"), ("y", "captured"))]
+    return _curve(rows.selectExpr("*", *sums), by, money)
 
 
 def threshold_curve_direct(
@@ -88,17 +81,18 @@ def threshold_curve_direct(
 
     For short threshold lists, and as the check of ``threshold_curve``.
     """
-    y = F.col(label) == 1
+    thresholds = [float(t) for t in thresholds]
+    hits = [f"{score} >= {t!r}D AND NOT isnan({score})" for t in thresholds]
     counts = df.agg(
-        F.count(F.lit(1)).alias("customers"), F.count(F.when(y, 1)).alias("churners"),
-        *[F.count(F.when(at_or_above(F.col(score), t), 1)).alias(f"targeted_{i}")
-          for i, t in enumerate(thresholds)],
-        *[F.count(F.when(at_or_above(F.col(score), t) & y, 1)).alias(f"captured_{i}")
-          for i, t in enumerate(thresholds)])
-    rows = [F.struct(F.lit(float(t)).alias("threshold"), F.col(f"targeted_{i}").alias("targeted"),
-                     F.col(f"captured_{i}").alias("captured"))
-            for i, t in enumerate(thresholds)]
-    return _curve(counts.select("customers", "churners", F.inline(F.array(*rows))), (), money)
+        F.expr("count(1) AS customers"), F.expr(f"count_if({label} = 1) AS churners"),
+        *[F.expr(f"count_if({hit}) AS targeted_{i}") for i, hit in enumerate(hits)],
+        *[F.expr(f"count_if({hit} AND {label} = 1) AS captured_{i}")
+          for i, hit in enumerate(hits)])
+    rows = ", ".join(
+        f"named_struct('threshold', {t!r}D, 'targeted', targeted_{i}, 'captured', captured_{i})"
+        for i, t in enumerate(thresholds))
+    return _curve(counts.selectExpr("customers", "churners", f"inline(array({rows}))"),
+                  (), money)
 
 
 def best_threshold(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:

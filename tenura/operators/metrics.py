@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenura.functions.scalars import at_or_above, ratio
+from tenura.functions.scalars import at_or_above
 from tenura.operators.ordering import ordered_prefix
 
 
@@ -24,20 +24,18 @@ def threshold_metrics(
     score: str = "p",
 ) -> DataFrame:
     """Size, label rate, confusion counts, precision, recall and F1 in one pass."""
-    hit = at_or_above(F.col(score), threshold)
-    y = F.col(label) == 1
-    counts = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("size"),
-        F.avg(label).alias("churn_rate"),
-        F.count(F.when(hit & y, 1)).alias("tp"),
-        F.count(F.when(hit & ~y, 1)).alias("fp"),
-        F.count(F.when(~hit & y, 1)).alias("fn"))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return counts.withColumns({
-        "precision": ratio(tp, tp + fp),
-        "recall": ratio(tp, tp + fn),
-        "f1": ratio(2 * tp, 2 * tp + fp + fn),
-    })
+    placed = df.withColumn("_hit", at_or_above(F.col(score), threshold))
+    counts = placed.groupBy(*by).agg(
+        F.expr("count(1) AS size"),
+        F.expr(f"avg({label}) AS churn_rate"),
+        F.expr(f"count_if(_hit AND {label} = 1) AS tp"),
+        F.expr(f"count_if(_hit AND {label} = 0) AS fp"),
+        F.expr(f"count_if(NOT _hit AND {label} = 1) AS fn"))
+    return counts.selectExpr(
+        "*",
+        "coalesce(try_divide(tp, tp + fp), 0D) AS precision",
+        "coalesce(try_divide(tp, tp + fn), 0D) AS recall",
+        "coalesce(try_divide(2 * tp, 2 * tp + fp + fn), 0D) AS f1")
 
 
 def ranking_metrics(
@@ -48,19 +46,16 @@ def ranking_metrics(
     ``by`` names stored columns with few values, such as model and fold. A group without both
     classes has no ROC-AUC; one without positives has average precision 0.
     """
-    y = F.col(label).cast("long")
-    rows = ordered_prefix(df, by, score, {"pos": y, "neg": 1 - y}, descending=True)
-    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    above_pos, above_neg = F.col("before_pos"), F.col("before_neg")
-    concordant = F.sum(neg * (above_pos + pos / 2))
-    precision = (above_pos + pos) / (above_pos + pos + above_neg + neg)
+    weights = {"pos": f"CAST({label} AS BIGINT)", "neg": f"1 - CAST({label} AS BIGINT)"}
+    rows = ordered_prefix(df, by, score, weights, descending=True)
+    upto = "(before_pos + pos + before_neg + neg)"
     return (rows.groupBy(*by).agg(
-                concordant.alias("concordant"), F.sum(pos * precision).alias("area"),
-                F.max("total_pos").alias("p1"), F.max("total_neg").alias("p0"))
-            .select(*by,
-                    F.try_divide("concordant", F.col("p1").cast("double") * F.col("p0"))
-                    .alias("roc_auc"),
-                    ratio(F.col("area"), F.col("p1")).alias("pr_auc")))
+                F.expr("sum(CAST(neg AS DOUBLE) * (before_pos + pos / 2)) AS concordant"),
+                F.expr(f"sum(pos * ((before_pos + pos) / {upto})) AS area"),
+                F.expr("CAST(max(total_pos) AS DOUBLE) AS p1"),
+                F.expr("max(total_neg) AS p0"))
+            .selectExpr(*by, "try_divide(concordant, p1 * p0) AS roc_auc",
+                        "coalesce(try_divide(area, p1), 0D) AS pr_auc"))
 
 
 def model_metrics(

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura.functions.scalars import with_count_at_or_below
@@ -24,32 +24,39 @@ CUT_ACCURACY = 2_000
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Long form (keep.., feature, value) of numeric columns, values as doubles."""
-    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-             for c in columns]
-    return df.select(*keep, F.inline(F.array(*pairs)))
+    pairs = ", ".join(f"named_struct('feature', '{c}', 'value', CAST(`{c}` AS DOUBLE))"
+                      for c in columns)
+    return df.selectExpr(*keep, f"inline(array({pairs}))")
+
+
+def _known(df: DataFrame, value: str) -> DataFrame:
+    return df.filter(f"`{value}` IS NOT NULL AND NOT isnan(`{value}`)")
 
 
 def _binned(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    shares = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, shares, CUT_ACCURACY).alias("_cuts"))
+    shares = ", ".join(f"{i / (CUTS + 1)}D" for i in range(1, CUTS + 1))
+    sketch = F.expr(f"percentile_approx(`{value}`, array({shares}), {CUT_ACCURACY})")
+    cuts = df.groupBy(*by).agg(sketch.alias("_cuts"))
     joined = df.join(F.broadcast(cuts), list(by))
     return with_count_at_or_below(joined, value, F.col("_cuts"), CUTS, "_bin").drop("_cuts")
 
 
+def _sums(weights: Mapping[str, str], prefix: str = "") -> list[Column]:
+    return [F.expr(f"sum({w}) AS {prefix}{n}") for n, w in weights.items()]
+
+
 def _bin_offsets(
-    binned: DataFrame, by: Sequence[str], weights: Mapping[str, Column], descending: bool
+    binned: DataFrame, by: Sequence[str], weights: Mapping[str, str], descending: bool
 ) -> DataFrame:
     """Per bin and weight: the amount in the bin, before the bin and in the whole group."""
-    totals = binned.groupBy(*by, "_bin").agg(*[F.sum(w).alias(f"_in_{n}")
-                                               for n, w in weights.items()])
-    group = Window.partitionBy(*by)
-    earlier = (group.orderBy(F.desc("_bin") if descending else F.asc("_bin"))
-               .rowsBetween(Window.unboundedPreceding, -1))
-    return totals.select(
+    totals = binned.groupBy(*by, "_bin").agg(*_sums(weights, "_in_"))
+    group = f"PARTITION BY {', '.join(by)}"
+    earlier = (f"{group} ORDER BY _bin {'DESC' if descending else 'ASC'} "
+               "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    return totals.selectExpr(
         *by, "_bin", *[f"_in_{n}" for n in weights],
-        *[F.coalesce(F.sum(f"_in_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}")
-          for n in weights],
-        *[F.sum(f"_in_{n}").over(group).alias(f"total_{n}") for n in weights])
+        *[f"coalesce(sum(_in_{n}) OVER ({earlier}), 0) AS _off_{n}" for n in weights],
+        *[f"sum(_in_{n}) OVER ({group}) AS total_{n}" for n in weights])
 
 
 def _within_bins(
@@ -57,37 +64,34 @@ def _within_bins(
     offsets: DataFrame,
     by: Sequence[str],
     value: str,
-    weights: Mapping[str, Column],
+    weights: Mapping[str, str],
     descending: bool,
 ) -> DataFrame:
-    distinct = binned.groupBy(*by, "_bin", value).agg(*[F.sum(w).alias(n)
-                                                        for n, w in weights.items()])
-    earlier = (Window.partitionBy(*by, "_bin")
-               .orderBy(F.desc(value) if descending else F.asc(value))
-               .rowsBetween(Window.unboundedPreceding, -1))
-    local = {f"_local_{n}": F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in weights}
-    return (distinct.withColumns(local)
+    distinct = binned.groupBy(*by, "_bin", value).agg(*_sums(weights))
+    earlier = (f"PARTITION BY {', '.join(by)}, _bin ORDER BY {value} "
+               f"{'DESC' if descending else 'ASC'} "
+               "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    local = [f"coalesce(sum({n}) OVER ({earlier}), 0) AS _local_{n}" for n in weights]
+    return (distinct.selectExpr("*", *local)
             .join(F.broadcast(offsets), [*by, "_bin"])
-            .select(*by, value, *weights,
-                    *[(F.col(f"_off_{n}") + F.col(f"_local_{n}")).alias(f"before_{n}")
-                      for n in weights],
-                    *[f"total_{n}" for n in weights]))
+            .selectExpr(*by, value, *weights,
+                        *[f"_off_{n} + _local_{n} AS before_{n}" for n in weights],
+                        *[f"total_{n}" for n in weights]))
 
 
 def ordered_prefix(
     df: DataFrame,
     by: Sequence[str],
     value: str,
-    weights: Mapping[str, Column],
+    weights: Mapping[str, str],
     descending: bool = False,
 ) -> DataFrame:
     """One row per group and distinct value with the exact weight at and before the value.
 
-    Columns: by.., value, and per weight n: ``n``, ``before_n``, ``total_n``. NULL and NaN values
-    are left out.
+    ``weights`` are SQL expressions. Columns: by.., value, and per weight n: ``n``, ``before_n``,
+    ``total_n``. NULL and NaN values are left out.
     """
-    df = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    binned = _binned(df, by, value)
+    binned = _binned(_known(df, value), by, value)
     offsets = _bin_offsets(binned, by, weights, descending)
     return _within_bins(binned, offsets, by, value, weights, descending)
 
@@ -97,55 +101,52 @@ def exact_quantiles(
     by: Sequence[str],
     value: str,
     probs: Sequence[float],
-    weights: Mapping[str, Column] | None = None,
+    weights: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: by.., weight, prob, quantile.
 
-    Each weight is a 0/1 column naming a subset of the rows, so the quantiles of many overlapping
-    subsets (for example all training folds) come from one ordering pass. Only the bins that hold
-    a wanted position are shuffled.
+    Each weight is a 0/1 expression naming a subset of the rows, so the quantiles of many
+    overlapping subsets (for example all training folds) come from one ordering pass. Only the
+    bins that hold a wanted position are shuffled.
     """
-    weights = weights or {"all": F.lit(1)}
-    df = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    binned = _binned(df, by, value)
+    weights = weights or {"all": "1"}
+    binned = _binned(_known(df, value), by, value)
     offsets = _bin_offsets(binned, by, weights, descending=False)
 
-    def spot(n: str, prob: float) -> Column:
-        return (F.col(f"total_{n}") - 1) * F.lit(float(prob))
+    def spot(n: str, prob: float) -> str:
+        return f"(total_{n} - 1) * {float(prob)!r}D"
 
-    def holds(n: str, position: Column, before: str, here: str) -> Column:
-        return ((F.col(before) <= position) & (position < F.col(before) + F.col(here))
-                & (F.col(here) > 0))
+    def holds(position: str, before: str, here: str) -> str:
+        return f"({here} > 0 AND {before} <= {position} AND {position} < {before} + {here})"
 
-    wanted = F.lit(False)
-    for n in weights:
-        for prob in probs:
-            for position in (F.floor(spot(n, prob)), F.ceil(spot(n, prob))):
-                wanted = wanted | holds(n, position, f"_off_{n}", f"_in_{n}")
-    offsets = offsets.filter(wanted)
+    ends = [(n, f"{end}({spot(n, prob)})")
+            for n in weights for prob in probs for end in ("floor", "ceil")]
+    offsets = offsets.filter(
+        " OR ".join(holds(position, f"_off_{n}", f"_in_{n}") for n, position in ends))
     needed = binned.join(F.broadcast(offsets.select(*by, "_bin")), [*by, "_bin"], "left_semi")
     rows = _within_bins(needed, offsets, by, value, weights, descending=False)
 
-    picks = []
+    picks, quantiles = [], []
     for n in weights:
-        for prob in probs:
+        for i, prob in enumerate(probs):
             at = spot(n, prob)
-            low = F.max(F.when(holds(n, F.floor(at), f"before_{n}", n), F.col(value)))
-            high = F.max(F.when(holds(n, F.ceil(at), f"before_{n}", n), F.col(value)))
-            part = F.max(F.when(F.col(n) > 0, at - F.floor(at)))
-            picks.append(F.struct(F.lit(n).alias("weight"), F.lit(float(prob)).alias("prob"),
-                                  (low + (high - low) * part).alias("quantile")))
-    return (rows.groupBy(*by).agg(F.array(*picks).alias("_q"))
-            .select(*by, F.inline("_q")))
+            for end in ("floor", "ceil"):
+                held = holds(f"{end}({at})", f"before_{n}", n)
+                picks.append(f"max({value}) FILTER (WHERE {held}) AS _{end}_{n}_{i}")
+            picks.append(f"max({at} - floor({at})) FILTER (WHERE {n} > 0) AS _part_{n}_{i}")
+            low, high = f"_floor_{n}_{i}", f"_ceil_{n}_{i}"
+            quantiles.append(f"named_struct('weight', '{n}', 'prob', {float(prob)!r}D, "
+                             f"'quantile', {low} + ({high} - {low}) * _part_{n}_{i})")
+    return (rows.groupBy(*by).agg(*[F.expr(p) for p in picks])
+            .selectExpr(*by, f"inline(array({', '.join(quantiles)}))"))
 
 
 def approximate_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000
 ) -> DataFrame:
     """One-pass sketch quantiles in the same shape, for profiles that need no exact answer."""
-    sketch = F.percentile_approx(value, list(probs), accuracy)
-    entries = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"),
-                           sketch.alias("quantile"))
-    return (df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-            .groupBy(*by).agg(entries.alias("_q"))
-            .select(*by, F.lit("all").alias("weight"), F.inline("_q")))
+    listed = ", ".join(f"{float(p)!r}D" for p in probs)
+    sketch = F.expr(f"percentile_approx(`{value}`, array({listed}), {accuracy}) AS _q")
+    return (_known(df, value).groupBy(*by).agg(sketch)
+            .selectExpr(*by, "'all' AS weight",
+                        f"inline(arrays_zip(array({listed}), _q)) AS (prob, quantile)"))

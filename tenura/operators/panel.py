@@ -89,43 +89,42 @@ def order_span(panel: DataFrame, order: str = "month_index") -> int:
 def usage_levels() -> list[Column]:
     """Mean and maximum levels of usage and recharge."""
     return [
-        F.avg("data_gb").alias("avg_data_gb"),
-        F.avg("calls_count").alias("avg_calls"),
-        F.avg("days_since_recharge").alias("avg_days_since_recharge"),
-        F.max("days_since_recharge").alias("max_days_since_recharge"),
-        F.avg("recharge_amount_inr").alias("avg_recharge_amount_inr"),
+        F.expr("avg(data_gb) AS avg_data_gb"),
+        F.expr("avg(calls_count) AS avg_calls"),
+        F.expr("avg(days_since_recharge) AS avg_days_since_recharge"),
+        F.expr("max(days_since_recharge) AS max_days_since_recharge"),
+        F.expr("avg(recharge_amount_inr) AS avg_recharge_amount_inr"),
     ]
 
 
 def recharge_frequency() -> Column:
     """Months with a recent recharge; a missing recency does not count."""
-    recent = F.col("days_since_recharge") <= fv.RECENT_RECHARGE_DAYS
-    return F.sum(F.when(recent, 1).otherwise(0)).alias("recharge_frequency")
+    return F.expr(f"count_if(days_since_recharge <= {fv.RECENT_RECHARGE_DAYS}) "
+                  "AS recharge_frequency")
 
 
 def usage_increase_months() -> Column:
     """Months after the first period with usage strictly above the previous row's."""
-    rise = (F.col("month_index") >= 2) & (F.col("data_gb") > F.col("prev_data_gb"))
-    return F.sum(F.when(rise, 1).otherwise(0)).alias("usage_increase_months")
+    return F.expr("count_if(month_index >= 2 AND data_gb > prev_data_gb) "
+                  "AS usage_increase_months")
 
 
 def avg_monthly_data_delta() -> Column:
     """Mean change to the previous row; period 1 counts as a change of 0."""
-    change = (F.when(F.col("month_index") == 1, 0.0)
-              .otherwise(F.col("data_gb") - F.col("prev_data_gb")))
-    return F.avg(change).alias("avg_monthly_data_delta")
+    return F.expr("avg(IF(month_index = 1, 0D, data_gb - prev_data_gb)) "
+                  "AS avg_monthly_data_delta")
 
 
 def rolling_levels() -> list[Column]:
     return [
-        F.avg("rolling_3m_data_gb").alias("avg_rolling_3m_data_gb"),
-        F.max("rolling_3m_recharge_recency").alias("max_rolling_recharge_recency"),
+        F.expr("avg(rolling_3m_data_gb) AS avg_rolling_3m_data_gb"),
+        F.expr("max(rolling_3m_recharge_recency) AS max_rolling_recharge_recency"),
     ]
 
 
 def usage_trend() -> Column:
     """Least-squares slope of usage over the period index; NULL for fewer than two periods."""
-    return F.regr_slope("data_gb", "month_index").alias("data_usage_trend")
+    return F.expr("regr_slope(data_gb, month_index) AS data_usage_trend")
 
 
 def customer_behaviour(

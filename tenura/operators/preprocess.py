@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
@@ -43,13 +42,16 @@ class Preprocessing:
         return self.rows - self.positives
 
 
-def part_condition(part: Part) -> Column:
+def part_condition(part: Part) -> str:
+    """SQL test for one part."""
     split, fold = part
-    return (F.col("split") == split) & F.col("fold").eqNullSafe(F.lit(fold).cast("int"))
+    where = "fold IS NULL" if fold is None else f"fold = {fold}"
+    return f"(split = '{split}' AND {where})"
 
 
-def in_parts(parts: Sequence[Part]) -> Column:
-    return reduce(lambda a, b: a | b, [part_condition(p) for p in parts])
+def in_parts(parts: Sequence[Part]) -> str:
+    """SQL test for a set of parts, never NULL."""
+    return f"coalesce({' OR '.join(part_condition(p) for p in parts)}, false)"
 
 
 def fit_medians(
@@ -57,33 +59,32 @@ def fit_medians(
 ) -> DataFrame:
     """Exact median per column and fit set: feature, weight (the fit set), quantile."""
     long = ordering.unpivot(df, numeric, keep=("split", "fold"))
-    weights = {name: in_parts(parts).cast("int") for name, parts in fit_sets.items()}
+    weights = {name: f"CAST({in_parts(parts)} AS INT)" for name, parts in fit_sets.items()}
     return ordering.exact_quantiles(long, ["feature"], "value", (0.5,), weights)
 
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows per (feature, value, split, fold); NULLs left out."""
-    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns]
-    return (df.select("split", "fold", F.inline(F.array(*pairs)))
-            .filter(F.col("value").isNotNull())
+    pairs = ", ".join(f"named_struct('feature', '{c}', 'value', `{c}`)" for c in columns)
+    return (df.selectExpr("split", "fold", f"inline(array({pairs}))")
+            .filter("value IS NOT NULL")
             .groupBy("feature", "value", "split", "fold")
-            .agg(F.count(F.lit(1)).alias("n")))
+            .agg(F.expr("count(1) AS n")))
 
 
 def fit_modes(
     df: DataFrame, columns: Sequence[str], fit_sets: Mapping[str, Sequence[Part]]
 ) -> DataFrame:
     """Most frequent value per column and fit set, the smallest among equals."""
-    counts = category_counts(df, columns)
-    sums = counts.groupBy("feature", "value").agg(*[
-        F.sum(F.when(in_parts(parts), F.col("n")).otherwise(0)).alias(f"n_{name}")
+    sums = category_counts(df, columns).groupBy("feature", "value").agg(*[
+        F.expr(f"sum(n) FILTER (WHERE {in_parts(parts)}) AS n_{name}")
         for name, parts in fit_sets.items()])
-    best = [F.struct(F.lit(name).alias("weight"),
-                     F.min_by("value", F.when(F.col(f"n_{name}") > 0,
-                                              F.struct(-F.col(f"n_{name}"), "value"))
-                              ).alias("mode")) for name in fit_sets]
-    return sums.groupBy("feature").agg(F.array(*best).alias("_m")).select(
-        "feature", F.inline("_m"))
+    modes = sums.groupBy("feature").agg(*[
+        F.expr(f"min_by(value, struct(-n_{name}, value)) FILTER (WHERE n_{name} > 0) "
+               f"AS mode_{name}") for name in fit_sets])
+    rows = ", ".join(f"named_struct('weight', '{name}', 'mode', mode_{name})"
+                     for name in fit_sets)
+    return modes.selectExpr("feature", f"inline(array({rows}))")
 
 
 def _combine(parts: Sequence[tuple[float, float, float]]) -> tuple[float, float, float]:
@@ -113,23 +114,22 @@ def fit(
     columns and their categories, not by the rows.
     """
     medians: dict[str, dict[str, float]] = {name: {} for name in fit_sets}
-    for r in fit_medians(df, numeric, fit_sets).collect():
+    for r in fit_medians(df, numeric, fit_sets).collect() if numeric else ():
         if r["quantile"] is not None:
             medians[r["weight"]][r["feature"]] = r["quantile"]
 
-    def known(c: str) -> Column:
-        x = F.col(c).cast("double")
-        return F.when(~F.isnan(x), x)
+    def moments_of(c: str) -> list[Column]:
+        known = f"FILTER (WHERE NOT isnan(CAST(`{c}` AS DOUBLE)))"
+        return [F.expr(f"{fn}(`{c}`) {known} AS `{name}_{c}`")
+                for fn, name in (("count", "n"), ("avg", "mean"), ("var_pop", "var"))]
 
     moments = df.groupBy("split", "fold").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(label).alias("positives"),
-        *[agg for c in numeric for agg in (
-            F.count(known(c)).alias(f"n_{c}"), F.avg(known(c)).alias(f"mean_{c}"),
-            F.var_pop(known(c)).alias(f"var_{c}"))]).collect()
+        F.expr("count(1) AS rows"), F.expr(f"sum({label}) AS positives"),
+        *[m for c in numeric for m in moments_of(c)]).collect()
     by_part = {(r["split"], r["fold"]): r for r in moments}
 
     counts: dict[Part, dict[str, dict[str, int]]] = {}
-    for r in category_counts(df, categorical).collect():
+    for r in category_counts(df, categorical).collect() if categorical else ():
         columns = counts.setdefault((r["split"], r["fold"]), {})
         columns.setdefault(r["feature"], {})[r["value"]] = r["n"]
 

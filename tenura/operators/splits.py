@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenura import fixed_values as fv
@@ -30,8 +30,9 @@ class Boundary:
     key: str
 
 
-def hash_of(key: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+def hash_of(key: str, seed: int) -> str:
+    """SQL expression of the order's hash."""
+    return f"md5(concat('{seed}:', CAST(`{key}` AS STRING)))"
 
 
 def part_names(folds: int) -> list[tuple[str, int | None]]:
@@ -39,13 +40,14 @@ def part_names(folds: int) -> list[tuple[str, int | None]]:
     return [("test", None), ("validation", None), *[("train", k) for k in range(folds)]]
 
 
-def _part_ends(size: Column, test: float, validation: float, folds: int) -> list[Column]:
-    held_out = F.round(size * test)
-    tuned = F.round((size - held_out) * validation)
-    rest = size - held_out - tuned
-    return [held_out, held_out + tuned,
-            *[held_out + tuned + F.floor((rest * (k + 1) + (folds - 1)) / folds)
-              for k in range(folds)]]
+def _part_ends(test: float, validation: float, folds: int) -> str:
+    """SQL array: the last rank of every part within a class of ``total`` rows."""
+    held_out = f"round(total * {test!r}D)"
+    tuned = f"round((total - {held_out}) * {validation!r}D)"
+    rest = f"(total - {held_out} - {tuned})"
+    ends = [held_out, f"{held_out} + {tuned}"]
+    ends += [f"{held_out} + {tuned} + ceil({rest} * {k + 1} / {folds})" for k in range(folds)]
+    return f"array({', '.join(f'CAST({e} AS BIGINT)' for e in ends)})"
 
 
 def fit_boundaries(
@@ -58,34 +60,30 @@ def fit_boundaries(
     folds: int = fv.CV_FOLDS,
 ) -> list[Boundary]:
     """The last member of every part of every class: at most classes * (folds + 2) values."""
-    keyed = df.select(F.col(label).alias("label"), F.col(key).cast("string").alias("key"),
-                      hash_of(key, seed).alias("hash"))
-    keyed = keyed.withColumn("prefix", F.substring("hash", 1, PREFIX_DIGITS))
-    sizes = keyed.groupBy("label", "prefix").agg(F.count(F.lit(1)).alias("size"))
-    whole = Window.partitionBy("label")
-    before = whole.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.select(
+    keyed = (df.selectExpr(f"`{label}` AS label", f"CAST(`{key}` AS STRING) AS key",
+                           f"{hash_of(key, seed)} AS hash")
+             .selectExpr("*", f"substring(hash, 1, {PREFIX_DIGITS}) AS prefix"))
+    sizes = keyed.groupBy("label", "prefix").agg(F.expr("count(1) AS size"))
+    before = "ORDER BY prefix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    placed = sizes.selectExpr(
         "label", "prefix", "size",
-        F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"),
-        F.sum("size").over(whole).alias("total"))
-    ends = F.array(*[e.cast("long") for e in
-                     _part_ends(F.col("total"), test, validation, folds)])
-    targets = (placed.select("label", "prefix", "size", "offset",
-                             F.posexplode(ends).alias("part", "end"))
-               .filter((F.col("offset") < F.col("end"))
-                       & (F.col("end") <= F.col("offset") + F.col("size")))
+        f"coalesce(sum(size) OVER (PARTITION BY label {before}), 0) AS offset",
+        "sum(size) OVER (PARTITION BY label) AS total")
+    targets = (placed.selectExpr(
+                   "label", "prefix", "size", "offset",
+                   f"posexplode({_part_ends(test, validation, folds)}) AS (part, end)")
+               .filter("offset < end AND end <= offset + size")
                .groupBy("label", "prefix", "offset")
-               .agg(F.collect_list(F.struct("part", "end")).alias("ends")))
-    inside = (Window.partitionBy("label", "prefix").orderBy("hash", "key")
-              .rowsBetween(Window.unboundedPreceding, 0))
+               .agg(F.expr("collect_list(struct(part, end)) AS ends")))
     # targets: at most classes * (folds + 2) rows
     rows = (keyed.join(F.broadcast(targets), ["label", "prefix"])
             .groupBy("label", "prefix", "offset", "ends", "hash", "key")
-            .agg(F.count(F.lit(1)).alias("copies"))
-            .withColumn("upto", F.col("offset") + F.sum("copies").over(inside))
-            .select("label", "hash", "key", "copies", "upto", F.inline("ends"))
-            .filter((F.col("upto") >= F.col("end"))
-                    & (F.col("upto") - F.col("copies") < F.col("end"))))
+            .agg(F.expr("count(1) AS copies"))
+            .selectExpr("label", "hash", "key", "ends", "copies",
+                        "offset + sum(copies) OVER (PARTITION BY label, prefix "
+                        "ORDER BY hash, key ROWS UNBOUNDED PRECEDING) AS upto")
+            .selectExpr("label", "hash", "key", "copies", "upto", "inline(ends)")
+            .filter("upto >= end AND upto - copies < end"))
     return [Boundary(r["label"], r["part"], r["hash"], r["key"])
             for r in rows.select("label", "part", "hash", "key").collect()]
 
@@ -99,16 +97,25 @@ def assign(
     folds: int = fv.CV_FOLDS,
 ) -> DataFrame:
     """Add ``split`` and ``fold`` (NULL outside the training rows) by comparing with boundaries."""
-    h, k = F.col("_hash"), F.col(key).cast("string")
-    part = F
+    arms = []
     for b in sorted(boundaries, key=lambda b: (b.label, b.part)):
-        upto = (h < b.hash) | ((h == b.hash) & (k <= b.key))
-        part = part.when((F.col(label) == b.label) & upto, b.part)
+        member = (f"_hash < '{b.hash}' OR (_hash = '{b.hash}' "
+                  f"AND CAST(`{key}` AS STRING) <= {_literal(b.key)})")
+        arms.append(f"WHEN `{label}` = {b.label} AND ({member}) THEN {b.part}")
+    part = f"CASE {' '.join(arms)} END" if arms else "CAST(NULL AS INT)"
     names = part_names(folds)
-    split = F.element_at(F.array(*[F.lit(s) for s, _ in names]), F.col("_part") + 1)
-    fold = F.element_at(F.array(*[F.lit(f).cast("int") for _, f in names]), F.col("_part") + 1)
-    return (df.withColumn("_hash", hash_of(key, seed)).withColumn("_part", part)
-            .withColumn("split", split).withColumn("fold", fold).drop("_hash", "_part"))
+    splits = ", ".join(f"'{s}'" for s, _ in names)
+    numbers = ", ".join("CAST(NULL AS INT)" if f is None else str(f) for _, f in names)
+    return (df.selectExpr("*", f"{hash_of(key, seed)} AS _hash")
+            .selectExpr("*", f"{part} AS _part")
+            .selectExpr("*", f"get(array({splits}), _part) AS split",
+                        f"get(array({numbers}), _part) AS fold")
+            .drop("_hash", "_part"))
+
+
+def _literal(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def stratified(df: DataFrame, **params) -> DataFrame:
@@ -119,12 +126,9 @@ def stratified(df: DataFrame, **params) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str = "churn") -> DataFrame:
     """Rows, balancing weight n / (2 n_class) per class, and the positive-class weight."""
-    n1 = F.greatest(F.coalesce(F.sum(label), F.lit(0)), F.lit(1))
-    n0 = F.greatest(F.coalesce(F.sum(1 - F.col(label)), F.lit(0)), F.lit(1))
-    counts = df.agg(n0.alias("negatives"), n1.alias("positives"))
-    n = F.col("negatives") + F.col("positives")
-    return counts.select(
-        "negatives", "positives",
-        (n / (2 * F.col("negatives"))).alias("negative_weight"),
-        (n / (2 * F.col("positives"))).alias("positive_weight"),
-        (F.col("negatives") / F.col("positives")).alias("scale_pos_weight"))
+    counts = df.agg(F.expr(f"greatest(count_if({label} = 0), 1) AS negatives"),
+                    F.expr(f"greatest(count_if({label} = 1), 1) AS positives"))
+    n = "(negatives + positives)"
+    return counts.selectExpr(
+        "negatives", "positives", f"{n} / (2 * negatives) AS negative_weight",
+        f"{n} / (2 * positives) AS positive_weight", "negatives / positives AS scale_pos_weight")

@@ -7,7 +7,7 @@ Both tables are keyed by customer and built by one aggregation per customer, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Window, outcome year, category names by source code.
@@ -31,119 +31,119 @@ URGENT = "1-URGENT"
 NO_RECHARGE_DAYS = 45.0
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Declared columns, so that opening a table reads no footers and only these columns exist.
+SOURCE_COLUMNS = {
+    "customer": "c_custkey BIGINT, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_regionkey INT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE",
+    "events": "event_id BIGINT, user_id BIGINT, value DOUBLE",
+}
 
 
-def _year_start(year: int) -> Column:
-    return F.lit(f"{year}-01-01 00:00:00").cast("timestamp_ntz")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SOURCE_COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _orders(spark: SparkSession, sf_dir: str, first_year: int, end_year: int) -> DataFrame:
     """Orders of the years [first_year, end_year); the date range reaches the scan."""
-    date = F.col("o_orderdate")
-    return (table(spark, sf_dir, "orders")
-            .filter((date >= _year_start(first_year)) & (date < _year_start(end_year))))
+    return table(spark, sf_dir, "orders").filter(
+        f"o_orderdate >= {_year_start(first_year)} AND o_orderdate < {_year_start(end_year)}")
+
 
+def _year_start(year: int) -> str:
+    return f"TIMESTAMP_NTZ'{year}-01-01 00:00:00'"
 
-def _pick(value: Column, names: dict[str, str], otherwise: str | None = None) -> Column:
-    picked = F
-    for code, name in names.items():
-        picked = picked.when(value == code, name)
-    return picked if otherwise is None else picked.otherwise(otherwise)
+
+def _case(value: str, names: dict[str, str], otherwise: str = "NULL") -> str:
+    arms = " ".join(f"WHEN '{code}' THEN '{name}'" for code, name in names.items())
+    return f"CASE {value} {arms} ELSE {otherwise} END"
 
 
 def _order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    date = F.col("o_orderdate")
-    observed = date < _year_start(OUTCOME_YEAR)
-    urgent = observed & (F.col("o_orderpriority") == URGENT)
-    month = F.year(date) * 12 + F.month(date)
+    observed = f"o_orderdate < {_year_start(OUTCOME_YEAR)}"
+    urgent = f"{observed} AND o_orderpriority = '{URGENT}'"
     return (_orders(spark, sf_dir, FIRST_YEAR, OUTCOME_YEAR + 1)
-            .groupBy(F.col("o_custkey").alias("customer_id"))
-            .agg(F.min(F.when(urgent, month)).alias("first_urgent_month"),
-                 F.count(F.when(urgent, 1)).alias("urgent_orders"),
-                 F.max_by(F.when(observed, F.col("o_orderstatus")),
-                          F.when(observed, F.struct("o_orderdate", "o_orderkey"))
-                          ).alias("last_status"),
-                 F.count(F.when(~observed, 1)).alias("later_orders")))
+            .groupBy("o_custkey")
+            .agg(F.expr(f"min(CASE WHEN {urgent} THEN year(o_orderdate) * 12 "
+                        "+ month(o_orderdate) END) AS first_urgent_month"),
+                 F.expr(f"count_if({urgent}) AS urgent_orders"),
+                 F.expr("max_by(o_orderstatus, struct(o_orderdate, o_orderkey)) "
+                        f"FILTER (WHERE {observed}) AS last_status"),
+                 F.expr(f"count_if(NOT ({observed})) AS later_orders"))
+            .withColumnRenamed("o_custkey", "customer_id"))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with the churn label."""
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     base = (table(spark, sf_dir, "customer")
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey"),
+                  "c_nationkey")
             .withColumnRenamed("c_custkey", "customer_id"))
-    last_month = (OUTCOME_YEAR - 1) * 12 + 12
-    city = F.get(F.array(*[F.lit(c) for c in CITY_BY_CODE]), F.col("n_nationkey") % 10)
-    cap = F.get(F.array(*[F.lit(c) for c in CAP_BY_REGION]), F.col("n_regionkey"))
-    autopay = (F.when(F.col("c_acctbal") < 0, "Manual Recharge")
-               .when(F.col("c_acctbal") < 5000, "Card Autopay")
-               .otherwise("UPI Autopay"))
+    first_month_after = OUTCOME_YEAR * 12 + 1
+    cities = ", ".join(f"'{c}'" for c in CITY_BY_CODE)
+    caps = ", ".join(f"{c}D" for c in CAP_BY_REGION)
     return (base.join(_order_facts(spark, sf_dir), "customer_id", "left")
-            .select(
+            .selectExpr(
                 "customer_id",
-                city.alias("city"),
-                _pick(F.col("c_mktsegment"), PLAN_BY_SEGMENT).alias("plan_name"),
-                autopay.alias("autopay_type"),
-                F.coalesce(F.lit(last_month + 1) - F.col("first_urgent_month"), F.lit(1))
-                .alias("tenure_months"),
-                F.coalesce("urgent_orders", F.lit(0)).cast("int").alias("support_tickets"),
-                _pick(F.col("last_status"), CONTRACT_BY_STATUS, "Annual").alias("contract_type"),
-                cap.alias("data_cap_gb"),
-                F.when(F.coalesce("later_orders", F.lit(0)) == 0, 1).otherwise(0)
-                .alias("churn")))
+                f"get(array({cities}), c_nationkey % 10) AS city",
+                f"{_case('c_mktsegment', PLAN_BY_SEGMENT)} AS plan_name",
+                "CASE WHEN c_acctbal < 0 THEN 'Manual Recharge' "
+                "WHEN c_acctbal < 5000 THEN 'Card Autopay' ELSE 'UPI Autopay' END "
+                "AS autopay_type",
+                f"coalesce({first_month_after} - first_urgent_month, 1) AS tenure_months",
+                "CAST(coalesce(urgent_orders, 0) AS INT) AS support_tickets",
+                f"{_case('last_status', CONTRACT_BY_STATUS, repr('Annual'))} AS contract_type",
+                f"get(array({caps}), n_regionkey) AS data_cap_gb",
+                "IF(coalesce(later_orders, 0) = 0, 1, 0) AS churn"))
 
 
 def _line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines reduced to one row per order, so joining orders never repeats an order."""
     return (table(spark, sf_dir, "lineitem")
-            .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-            .agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines")))
+            .groupBy("l_orderkey")
+            .agg(F.expr("sum(l_quantity) AS quantity"), F.expr("count(1) AS lines"))
+            .withColumnRenamed("l_orderkey", "o_orderkey"))
 
 
 def _period_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One wide row per customer: the measures of each period side by side."""
     orders = (_orders(spark, sf_dir, FIRST_YEAR, OUTCOME_YEAR)
               .join(_line_facts(spark, sf_dir), "o_orderkey", "left")
-              .select(F.col("o_custkey").alias("customer_id"),
-                      (F.year("o_orderdate") - (FIRST_YEAR - 1)).alias("month_index"),
-                      "o_orderdate",
-                      F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
-                      "quantity", "lines"))
+              .selectExpr("o_custkey AS customer_id",
+                          f"year(o_orderdate) - {FIRST_YEAR - 1} AS month_index",
+                          "o_orderdate", "CAST(o_totalprice AS DECIMAL(18,2)) AS amount",
+                          "quantity", "lines"))
     measures = []
     for k in range(1, PERIODS + 1):
-        here = F.col("month_index") == k
-        measures += [
-            F.sum(F.when(here, F.col("quantity"))).alias(f"quantity_{k}"),
-            F.sum(F.when(here, F.col("lines"))).alias(f"lines_{k}"),
-            F.max(F.when(here, F.col("o_orderdate"))).alias(f"last_{k}"),
-            F.sum(F.when(here, F.col("amount"))).alias(f"amount_{k}"),
-        ]
-    return orders.groupBy("customer_id").agg(*measures)
-
-
-def _period_row(k: int) -> Column:
-    year_end = F.lit(f"{FIRST_YEAR + k - 1}-12-31").cast("date")
-    idle = F.datediff(year_end, F.to_date(f"last_{k}"))
-    return F.struct(
-        F.lit(k).alias("month_index"),
-        (F.coalesce(f"quantity_{k}", F.lit(0.0)) / 10).alias("data_gb"),
-        F.coalesce(f"lines_{k}", F.lit(0)).cast("int").alias("calls_count"),
-        F.coalesce(F.round(idle * 45 / 365, 2), F.lit(NO_RECHARGE_DAYS))
-        .alias("days_since_recharge"),
-        F.coalesce(F.col(f"amount_{k}").cast("double"), F.lit(0.0)).alias("recharge_amount_inr"),
-        F.col(f"last_{k}").isNotNull().alias("observed"))
+        here = f"FILTER (WHERE month_index = {k})"
+        measures += [f"sum(quantity) {here} AS quantity_{k}", f"sum(lines) {here} AS lines_{k}",
+                     f"max(o_orderdate) {here} AS last_{k}",
+                     f"sum(amount) {here} AS amount_{k}"]
+    return orders.groupBy("customer_id").agg(*[F.expr(m) for m in measures])
+
+
+def _period_row(k: int) -> str:
+    idle = f"datediff(DATE'{FIRST_YEAR + k - 1}-12-31', to_date(last_{k}))"
+    return ("named_struct("
+            f"'month_index', {k}, "
+            f"'data_gb', coalesce(quantity_{k}, 0D) / 10, "
+            f"'calls_count', CAST(coalesce(lines_{k}, 0) AS INT), "
+            f"'days_since_recharge', "
+            f"coalesce(round({idle} * 45 / 365, 2), {NO_RECHARGE_DAYS}D), "
+            f"'recharge_amount_inr', coalesce(CAST(amount_{k} AS DOUBLE), 0D), "
+            f"'observed', last_{k} IS NOT NULL)")
 
 
 def usage(spark: SparkSession, sf_dir: str, dense: bool = True) -> DataFrame:
     """The monthly panel: six rows per customer, or only the periods with orders."""
     facts = _period_facts(spark, sf_dir)
     if dense:
-        ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"))
+        ids = table(spark, sf_dir, "customer").selectExpr("c_custkey AS customer_id")
         facts = ids.join(facts, "customer_id", "left")
-    rows = F.array(*[_period_row(k) for k in range(1, PERIODS + 1)])
-    panel = facts.select("customer_id", F.inline(rows))
+    rows = ", ".join(_period_row(k) for k in range(1, PERIODS + 1))
+    panel = facts.selectExpr("customer_id", f"inline(array({rows}))")
     if not dense:
         panel = panel.filter("observed")
     return panel.drop("observed")
@@ -153,11 +153,11 @@ def period_frames(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """One frame per period, each reading only its own year of orders."""
     return [
         (_orders(spark, sf_dir, FIRST_YEAR + k - 1, FIRST_YEAR + k)
-         .groupBy(F.col("o_custkey").alias("customer_id"))
-         .agg(F.count(F.lit(1)).alias("recharges"),
-              F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
-              .alias("recharge_amount_inr"))
-         .select("customer_id", F.lit(k).alias("month_index"), "recharges",
-                 "recharge_amount_inr"))
+         .groupBy("o_custkey")
+         .agg(F.expr("count(1) AS recharges"),
+              F.expr("CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) "
+                     "AS recharge_amount_inr"))
+         .selectExpr("o_custkey AS customer_id", f"{k} AS month_index", "recharges",
+                     "recharge_amount_inr"))
         for k in range(1, PERIODS + 1)
     ]
