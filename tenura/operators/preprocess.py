@@ -42,16 +42,15 @@ class Preprocessing:
         return self.rows - self.positives
 
 
-def part_condition(part: Part) -> str:
-    """SQL test for one part."""
-    split, fold = part
-    where = "fold IS NULL" if fold is None else f"fold = {fold}"
-    return f"(split = '{split}' AND {where})"
-
-
 def in_parts(parts: Sequence[Part]) -> str:
     """SQL test for a set of parts, never NULL."""
-    return f"coalesce({' OR '.join(part_condition(p) for p in parts)}, false)"
+    tests = []
+    for split in sorted({s for s, _ in parts}):
+        folds = [f for s, f in parts if s == split]
+        numbered = ", ".join(str(f) for f in folds if f is not None)
+        tests += [f"(split = '{split}' AND fold IN ({numbered}))"] if numbered else []
+        tests += [f"(split = '{split}' AND fold IS NULL)"] if None in folds else []
+    return f"coalesce({' OR '.join(tests)}, false)"
 
 
 def fit_medians(

@@ -96,21 +96,25 @@ def assign(
     seed: int = fv.SEED,
     folds: int = fv.CV_FOLDS,
 ) -> DataFrame:
-    """Add ``split`` and ``fold`` (NULL outside the training rows) by comparing with boundaries."""
+    """Add ``split`` and ``fold`` (NULL outside the training rows) by comparing with boundaries.
+
+    Store the result before filtering on the new columns: a filter pushed below this projection
+    would repeat its comparisons.
+    """
     arms = []
     for b in sorted(boundaries, key=lambda b: (b.label, b.part)):
-        member = (f"_hash < '{b.hash}' OR (_hash = '{b.hash}' "
-                  f"AND CAST(`{key}` AS STRING) <= {_literal(b.key)})")
-        arms.append(f"WHEN `{label}` = {b.label} AND ({member}) THEN {b.part}")
+        # Hashes are equally long, so (hash, key) orders like the concatenation.
+        arms.append(f"WHEN `{label}` = {b.label} AND _mark <= {_literal(b.hash + b.key)} "
+                    f"THEN {b.part}")
     part = f"CASE {' '.join(arms)} END" if arms else "CAST(NULL AS INT)"
     names = part_names(folds)
     splits = ", ".join(f"'{s}'" for s, _ in names)
     numbers = ", ".join("CAST(NULL AS INT)" if f is None else str(f) for _, f in names)
-    return (df.selectExpr("*", f"{hash_of(key, seed)} AS _hash")
+    return (df.selectExpr("*", f"concat({hash_of(key, seed)}, CAST(`{key}` AS STRING)) AS _mark")
             .selectExpr("*", f"{part} AS _part")
             .selectExpr("*", f"get(array({splits}), _part) AS split",
                         f"get(array({numbers}), _part) AS fold")
-            .drop("_hash", "_part"))
+            .drop("_mark", "_part"))
 
 
 def _literal(text: str) -> str:

@@ -340,8 +340,9 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored feature table with its parts computed on the fly, for a single fit."""
-    return splits.stratified(materialize(_features(spark, sf_dir), "features"))
+    """The stored feature table with its parts, for a single fit."""
+    stored = materialize(_features(spark, sf_dir), "features")
+    return training.split_table(stored, RunParams(), by_part=False)
 
 
 def impute_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,7 +435,7 @@ def test_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _linear(spark: SparkSession, sf_dir: str) -> tuple[artifacts.Artifact, DataFrame]:
-    """A logistic model refitted on train and validation, stored and loaded again."""
+    """A logistic model fitted on the training and validation rows, and the parted table."""
     data = _split_features(spark, sf_dir)
     numeric, categorical = training.input_columns(data)
     parts = {"final": training.fit_sets(fv.CV_FOLDS)["final"]}
@@ -443,9 +444,7 @@ def _linear(spark: SparkSession, sf_dir: str) -> tuple[artifacts.Artifact, DataF
     fitted = models.fit(candidate, learned, data.filter(preprocess.in_parts(parts["final"])))
     artifact = artifacts.Artifact(fitted, candidate.name, fv.PIPELINE_VERSION, 0.5,
                                   plans.MODEL_FEATURES, learned.feature_names)
-    path = new_path(spark, "model")
-    artifacts.save(artifact, spark, path)
-    return artifacts.load(spark, path), data
+    return artifact, data
 
 
 def scored_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,8 +454,11 @@ def scored_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stored model says of itself after loading."""
     artifact, _ = _linear(spark, sf_dir)
-    return artifact.metadata(spark).select(
+    path = new_path(spark, "model")
+    artifacts.save(artifact, spark, path)
+    return artifacts.load(spark, path).metadata(spark).select(
         F.lit("ok").alias("status"), F.col("model_name").alias("model"), "model_version",
         "decision_threshold")
 

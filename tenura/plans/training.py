@@ -35,12 +35,17 @@ class Training:
     data: DataFrame
 
 
-def split_table(features: DataFrame, params: schema.RunParams) -> DataFrame:
-    """The feature table with split and fold, stored by part so that fits read only theirs."""
+def split_table(
+    features: DataFrame, params: schema.RunParams, by_part: bool = True
+) -> DataFrame:
+    """The feature table with split and fold, stored.
+
+    ``by_part`` makes a folder per part, so that each of many fits reads only its own.
+    """
     parted = splits.stratified(
         features, seed=params.seed, test=params.test_share,
         validation=params.validation_share, folds=params.folds)
-    return materialize(parted, "parts", ("split", "fold"))
+    return materialize(parted, "parts", ("split", "fold") if by_part else ())
 
 
 def fit_sets(folds: int) -> dict[str, list[preprocess.Part]]:
@@ -74,7 +79,7 @@ def _score_parts(
         candidate, fit_set, held_out = job
         rows = data.filter(preprocess.in_parts(sets[fit_set]))
         model = models.fit(candidate, learned[fit_set], rows)
-        scored = models.with_probability(model, data.filter(preprocess.part_condition(held_out)))
+        scored = models.with_probability(model, data.filter(preprocess.in_parts([held_out])))
         part = VALIDATION if held_out[0] == VALIDATION else fit_set
         return scored.select(F.lit(candidate.name).alias("model"), F.lit(part).alias("part"),
                              schema.KEY, schema.LABEL, "p")
