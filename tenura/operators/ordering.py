@@ -6,7 +6,7 @@ rows of one bin meet in a task. The cuts only balance the bins; the results are
 reduced to one per distinct value before the shuffle, so a value held by many rows costs one row.
 
 Groups are things like columns or (model, fold) pairs: their number must not grow with the data,
-since the cuts (255 values per group) and the bin counts (256 rows per group) are broadcast.
+since the cuts (1023 values per group) and the bin counts (1024 rows per group) are broadcast.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tenura.functions.scalars import with_count_at_or_below
 
-CUTS = 255
-CUT_ACCURACY = 2_000
+CUTS = 1023
+CUT_ACCURACY = 10_000
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -12,6 +13,7 @@ from tenura.functions.scalars import clamp
 
 LOOKBACK = fv.ROLLING_ROWS - 1
 MAX_PLAIN_SPAN = 10_000
+MIN_CHUNK_WIDTH = 1024
 
 
 def _window_columns(w: WindowSpec, value: str, recency: str | None) -> dict[str, Column]:
@@ -86,6 +88,11 @@ def order_span(panel: DataFrame, order: str = "month_index") -> int:
     return 0 if low is None else int(high) - int(low) + 1
 
 
+def chunk_width(span: int) -> int:
+    """Width that balances the rows of one chunk against one key's number of chunks."""
+    return max(MIN_CHUNK_WIDTH, math.isqrt(span))
+
+
 def usage_levels() -> list[Column]:
     """Mean and maximum levels of usage and recharge."""
     return [
@@ -128,17 +135,17 @@ def usage_trend() -> Column:
 
 
 def customer_behaviour(
-    usage: DataFrame, trend: bool = False, chunk_width: int | None = None
+    usage: DataFrame, trend: bool = False, width: int | None = None
 ) -> DataFrame:
     """One row per customer with the ten behaviour features, and the trend if asked for.
 
-    ``chunk_width`` splits each customer's periods over tasks; needed only where the panel's span
-    exceeds ``MAX_PLAIN_SPAN`` (see ``order_span``).
+    ``width`` splits each customer's periods into chunks over tasks; needed only where the panel's
+    span exceeds ``MAX_PLAIN_SPAN`` (see ``order_span`` and ``chunk_width``).
     """
-    if chunk_width is None:
+    if width is None:
         windowed = with_windows(usage)
     else:
-        windowed = with_windows_chunked(usage, chunk_width)
+        windowed = with_windows_chunked(usage, width)
     rolling_data, rolling_recency = rolling_levels()
     measures = [
         *usage_levels(), recharge_frequency(), rolling_data, usage_increase_months(),

@@ -109,7 +109,8 @@ def _rolling(column: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lag and rolling mean over every user's whole event sequence, split into chunks."""
     events = binding.table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    windowed = panel.with_windows_chunked(events, 4096, "user_id", "event_id", "value", None)
+    width = panel.chunk_width(panel.order_span(events, "event_id"))
+    windowed = panel.with_windows_chunked(events, width, "user_id", "event_id", "value", None)
     return _round(windowed, ("rolling_3m_data_gb",))
 
 
@@ -313,8 +314,18 @@ def scorecard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scorecard_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms, weights, names = attribution.scorecard_terms()
-    importance = attribution.mean_abs_contribution(
-        _features(spark, sf_dir, trend=True), terms, weights, names)
+    rows = _features(spark, sf_dir, trend=True).select("customer_id", terms.alias("x"))
+    importance = attribution.mean_abs_contribution(rows, F.col("x"), weights, names)
+    return _round(attribution.top_features(importance), ("mean_abs_shap",))
+
+
+def attribution_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions of the sampling operator's first customers against the means of all."""
+    terms, weights, names = attribution.scorecard_terms()
+    rows = materialize(
+        _features(spark, sf_dir, trend=True).select("customer_id", terms.alias("x")), "terms")
+    sample = attribution.first_rows(rows, fv.ATTRIBUTION_SAMPLE)
+    importance = attribution.mean_abs_contribution(rows, F.col("x"), weights, names, sample)
     return _round(attribution.top_features(importance), ("mean_abs_shap",))
 
 
@@ -515,6 +526,7 @@ QUERIES: dict[str, Query] = {
     "average_precision": partial(_ranking, "pr_auc"),
     "scorecard_report": scorecard_report,
     "scorecard_attribution": scorecard_attribution,
+    "attribution_sample": attribution_sample,
     "split_assignment": split_assignment,
     "fold_assignment": fold_assignment,
     "class_weights": class_weights,

@@ -40,8 +40,9 @@ def feature_table(
 
 def build_feature_table(customers: DataFrame, usage: DataFrame, trend: bool = False) -> DataFrame:
     """``feature_table`` with the window strategy chosen from the panel's measured span."""
-    wide = panel.order_span(usage) > panel.MAX_PLAIN_SPAN
-    return feature_table(customers, usage, trend, panel.MAX_PLAIN_SPAN if wide else None)
+    span = panel.order_span(usage)
+    width = panel.chunk_width(span) if span > panel.MAX_PLAIN_SPAN else None
+    return feature_table(customers, usage, trend, width)
 
 
 def scorecard(features: DataFrame) -> DataFrame:

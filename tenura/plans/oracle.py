@@ -347,7 +347,8 @@ TOP_REASONS = (f"CASE WHEN len(reasons) = 0 THEN '{fv.REASON_FALLBACK}' "
                "ELSE array_to_string(reasons[1:3], ' | ') END")
 
 
-def _attribution() -> str:
+def _attribution(sample: int | None = None) -> str:
+    used = "" if sample is None else f"WHERE row_number <= {sample}"
     terms = [(f"num__{c}", f"{c}::DOUBLE", w) for c, w in fv.SCORECARD_SLOPES.items()]
     for c, values, w in fv.SCORECARD_FLAGS:
         listed = ", ".join(f"'{v}'" for v in values)
@@ -355,7 +356,9 @@ def _attribution() -> str:
                       f"CAST({c} IN ({listed}) AS INTEGER)::DOUBLE", w))
     parts = " UNION ALL ".join(
         f"SELECT '{name}' AS feature, avg(abs({w}::DOUBLE * (x - m))) AS mean_abs_shap "
-        f"FROM (SELECT {x} AS x, avg({x}) OVER () AS m FROM features)" for name, x, w in terms)
+        f"FROM (SELECT {x} AS x, avg({x}) OVER () AS m, "
+        f"row_number() OVER (ORDER BY customer_id) AS row_number FROM features) {used}"
+        for name, x, w in terms)
     return f"""WITH {ALL_FEATURES}
 SELECT feature, round(mean_abs_shap, 6) AS mean_abs_shap FROM ({parts})
 ORDER BY mean_abs_shap DESC, feature LIMIT {fv.ATTRIBUTION_TOP}"""
@@ -503,6 +506,11 @@ SELECT count(*) AS rows, 4 AS columns, round(avg(flag), 6) AS churn_rate,
        count(*) FILTER (WHERE pr IS NULL) AS missing_cells,
        count(*) - count(DISTINCT o_custkey) AS duplicate_customer_ids FROM t""",
         "numeric_profile": f"WITH {CUSTOMERS} {_profile()}",
+        "eda_summary": f"""WITH {CUSTOMERS}, profile AS ({_profile()})
+SELECT (SELECT count(*) FROM customers) AS rows, 9 AS columns,
+       (SELECT round(avg(churn), 6) FROM customers) AS churn_rate,
+       CAST(0 AS BIGINT) AS missing_cells, CAST(0 AS BIGINT) AS duplicate_customer_ids,
+       feature, count, mean, std, p50 FROM profile""",
         "scorecard": f"""{scored}
 SELECT customer_id, round(logit, 6) AS logit, round(p, 6) AS p FROM scores""",
         "scorecard_decisions": f"""{scored}
@@ -546,6 +554,7 @@ SELECT customer_id, {TOP_REASONS} AS top_reasons
 FROM (SELECT *, {REASONS} AS reasons FROM features)""",
         "driver_names": _driver_names(),
         "scorecard_attribution": _attribution(),
+        "attribution_sample": _attribution(fv.ATTRIBUTION_SAMPLE),
         "roi_report": f"""{scored}, {_curve('scores', 45.0)},
 best AS (SELECT threshold AS optimal_threshold FROM curve
          ORDER BY net_expected_value_inr DESC, threshold LIMIT 1)

@@ -10,7 +10,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura import schema
@@ -181,16 +181,27 @@ def score(rows: DataFrame, artifact: Artifact) -> tuple[DataFrame, DataFrame]:
     return answers, rejected
 
 
+def is_linear(artifact: Artifact) -> bool:
+    return hasattr(artifact.pipeline.stages[-1], "coefficients")
+
+
+def tree_importances(artifact: Artifact, spark: SparkSession) -> DataFrame:
+    """feature, importance of a tree ensemble, one row per model feature."""
+    values = artifact.pipeline.stages[-1].featureImportances.toArray().tolist()
+    rows = list(zip(artifact.feature_names, values))
+    return (spark.createDataFrame(rows, "feature string, importance double")
+            .orderBy(F.desc("importance"), "feature"))
+
+
 def attributions(artifact: Artifact, rows: DataFrame, sample: int | None = None) -> DataFrame:
     """Mean absolute contribution per feature of a linear winner, in log-odds.
 
     ``sample`` limits the rows whose contributions are averaged; means are over all rows.
     """
-    model = artifact.pipeline.stages[-1]
-    if not hasattr(model, "coefficients"):
-        raise ValueError(f"{artifact.model_name} is not linear; use its featureImportances")
+    if not is_linear(artifact):
+        raise ValueError(f"{artifact.model_name} is not linear; see tree_importances")
+    weights = artifact.pipeline.stages[-1].coefficients.toArray().tolist()
     transformed = artifact.pipeline.transform(rows)
     return attribution.mean_abs_contribution(
-        transformed, vector_to_array("features"), model.coefficients.toArray().tolist(),
-        artifact.feature_names,
+        transformed, vector_to_array("features"), weights, artifact.feature_names,
         None if sample is None else attribution.first_rows(transformed, sample))

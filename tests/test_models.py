@@ -280,6 +280,20 @@ def test_streamed_scores_equal_batch(spark, run, planted, tmp_path):
     assert bad.count() == 1
 
 
+def test_tree_winner_has_importances(spark, planted):
+    data = training.split_table(planted, RunParams(), by_part=False)
+    numeric, categorical = training.input_columns(data)
+    sets = {"train": training.fit_sets(5)["train"]}
+    p = preprocess.fit(data, numeric, categorical, sets)["train"]
+    forest = models.fit(models.random_forest(trees=3, depth=4), p,
+                        data.filter(preprocess.in_parts(sets["train"])))
+    artifact = artifacts.Artifact(forest, "RandomForest", "v", 0.5, numeric, p.feature_names)
+    rows = training.tree_importances(artifact, spark).collect()
+    assert len(rows) == 40 and sum(r["importance"] for r in rows) == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        training.attributions(artifact, data)
+
+
 def test_scoring_needs_no_python_workers(run, planted):
     answers, _ = training.score(planted, run.artifact)
     assert "EvalPython" not in answers._jdf.queryExecution().executedPlan().toString()

@@ -28,6 +28,10 @@ def canonical(columns, rows):
                          key=str)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "boolean": "BOOLEAN"}
+
+
 def test_every_statement_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
@@ -39,6 +43,7 @@ def test_matches_sql(name, spark, duck, medium):
     expected = canonical([c[0] for c in cursor.description], cursor.fetchall())
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
     assert got[0] == expected[0]
+    assert {c: TYPES[t] for c, t in df.dtypes} == {c[0]: str(c[1]) for c in cursor.description}
     assert len(got[1]) == len(expected[1])
     differing = [(g, e) for g, e in zip(got[1], expected[1]) if g != e]
     assert not differing, f"{len(differing)} rows differ, first: {differing[0]}"

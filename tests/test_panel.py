@@ -130,5 +130,7 @@ def test_automatic_strategy_matches(worked, monkeypatch):
     customers, usage = worked
     assert panel.order_span(usage) == 6
     plain = sorted(map(str, features.build_feature_table(customers, usage).collect()))
+    assert panel.chunk_width(10**12) == 10**6 and panel.chunk_width(50) == 1024
     monkeypatch.setattr(panel, "MAX_PLAIN_SPAN", 2)
+    monkeypatch.setattr(panel, "MIN_CHUNK_WIDTH", 2)
     assert sorted(map(str, features.build_feature_table(customers, usage).collect())) == plain
