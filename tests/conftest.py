@@ -30,4 +30,4 @@ def small():
 
 @pytest.fixture(scope="session")
 def medium():
-    return f"{TESTDATA}/sf0.01"
+    return f"{TESTDATA}/{os.environ.get('ORACLE_SF', 'sf0.01')}"
