@@ -161,7 +161,8 @@ SCORED_PARTS = (f"{ALL_SCORES}, {PARTS}, scored_parts AS "
 
 
 def rounded(columns, digits=6, qualifier="") -> str:
-    return ", ".join(f"round({qualifier}{c}, {4 if c in MONEY else digits}) AS {c}"
+    """Rounded columns; adding 0 turns a negative zero into zero."""
+    return ", ".join(f"round({qualifier}{c}, {4 if c in MONEY else digits}) + 0 AS {c}"
                      for c in columns)
 
 
@@ -276,7 +277,7 @@ def _scaled(columns) -> str:
         for c in columns)
     values = ", ".join(
         f"round((coalesce({c}, med_{c}) - mean_{c}) / "
-        f"CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END, 6) AS num__{c}" for c in columns)
+        f"CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END, 6) + 0 AS num__{c}" for c in columns)
     return f"""rows_in_parts AS (
   SELECT f.*, q.split FROM features f JOIN parts q USING (customer_id)),
 medians AS (SELECT {stats} FROM rows_in_parts),
@@ -286,7 +287,7 @@ SELECT customer_id, {values} FROM rows_in_parts CROSS JOIN medians CROSS JOIN mo
 
 def _impute_fit() -> str:
     numeric = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, round(median({c}), 6) AS median, "
+        f"SELECT '{c}' AS feature, round(median({c}), 6) + 0 AS median, "
         f"CAST(NULL AS VARCHAR) AS mode FROM train_rows" for c in NUMERIC)
     text = " UNION ALL ".join(
         f"SELECT '{c}', NULL, (SELECT {c} FROM train_rows GROUP BY 1 "
@@ -436,20 +437,20 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
         "usage_increase":
             f"{behaviour} SELECT customer_id, usage_increase_months FROM behaviour",
         "monthly_delta": f"""WITH {CUSTOMERS}, {SPARSE_USAGE}, {FEATURES}
-SELECT customer_id, round(avg_monthly_data_delta, 6) AS avg_monthly_data_delta
+SELECT customer_id, round(avg_monthly_data_delta, 6) + 0 AS avg_monthly_data_delta
 FROM behaviour""",
         "rolling_agg": f"""{behaviour}
 SELECT customer_id, round(avg_rolling_3m_data_gb, 6) AS avg_rolling_3m_data_gb,
        round(max_rolling_recharge_recency, 6) AS max_rolling_recharge_recency FROM behaviour""",
         "usage_trend": f"""{behaviour}
-SELECT customer_id, round(data_usage_trend, 6) AS data_usage_trend FROM behaviour""",
+SELECT customer_id, round(data_usage_trend, 6) + 0 AS data_usage_trend FROM behaviour""",
         "usage_union": """SELECT o_custkey AS customer_id,
        CAST(year(o_orderdate) - 1994 AS INTEGER) AS month_index, count(*) AS recharges,
        round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 4)
          AS recharge_amount_inr
 FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2000 GROUP BY 1, 2""",
         "usage_left_join": f"""WITH {SPARSE_USAGE}
-SELECT c_custkey AS customer_id, round(t.slope, 6) AS data_usage_trend,
+SELECT c_custkey AS customer_id, round(t.slope, 6) + 0 AS data_usage_trend,
        round(o.recharge_amount_inr, 4) AS recharge_amount_inr, o.recharges
 FROM customer
 LEFT JOIN (SELECT customer_id, CASE WHEN count(DISTINCT month_index) > 1
@@ -512,7 +513,7 @@ SELECT (SELECT count(*) FROM customers) AS rows, 9 AS columns,
        CAST(0 AS BIGINT) AS missing_cells, CAST(0 AS BIGINT) AS duplicate_customer_ids,
        feature, count, mean, std, p50 FROM profile""",
         "scorecard": f"""{scored}
-SELECT customer_id, round(logit, 6) AS logit, round(p, 6) AS p FROM scores""",
+SELECT customer_id, round(logit, 6) + 0 AS logit, round(p, 6) AS p FROM scores""",
         "scorecard_decisions": f"""{scored}
 SELECT customer_id, 'Scorecard' AS model_name, '2026.10' AS model_version,
        round(p, 4) AS churn_probability, p >= 0.5 AS high_risk,

@@ -24,8 +24,7 @@ def duck(medium):
 def canonical(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     names = [columns[i] for i in order]
-    return names, sorted((tuple((type(r[i]).__name__, r[i]) for i in order) for r in rows),
-                         key=str)
+    return names, sorted(repr(tuple(r[i] for i in order)) for r in rows)
 
 
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
