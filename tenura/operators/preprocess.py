@@ -112,6 +112,8 @@ def fit(
     What reaches the driver are medians, moments per part and category counts: sizes set by the
     columns and their categories, not by the rows.
     """
+    used = sorted({p for parts in fit_sets.values() for p in parts}, key=str)
+    df = df.filter(in_parts(used))
     medians: dict[str, dict[str, float]] = {name: {} for name in fit_sets}
     for r in fit_medians(df, numeric, fit_sets).collect() if numeric else ():
         if r["quantile"] is not None:

@@ -84,29 +84,41 @@ def _panel(name: str, join: str) -> str:
 USAGE = PERIODS + "," + _panel("usage_panel", "LEFT")
 SPARSE_USAGE = PERIODS + "," + _panel("usage_panel", "INNER")
 
-FEATURES = """
-ordered AS (
-  SELECT *, lag(data_gb) OVER w AS prev_data_gb,
-         avg(data_gb) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_3m_data_gb,
-         avg(days_since_recharge) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
-           AS rolling_3m_recharge_recency
-  FROM usage_panel WINDOW w AS (PARTITION BY customer_id ORDER BY month_index)
+# Sequences as lists rather than windows, so that the check does not repeat Spark's formulation.
+STEPS = """
+sequences AS (
+  SELECT customer_id, list(month_index ORDER BY month_index) AS ms,
+         list(data_gb ORDER BY month_index) AS ds,
+         list(days_since_recharge ORDER BY month_index) AS rs
+  FROM usage_panel GROUP BY customer_id
 ),
-behaviour AS (
+steps AS (
+  SELECT customer_id, ms[i] AS month_index, ds[i] AS data_gb,
+         CASE WHEN i > 1 THEN ds[i - 1] END AS prev_data_gb,
+         list_avg(ds[greatest(i - 2, 1):i]) AS rolling_3m_data_gb,
+         list_avg(rs[greatest(i - 2, 1):i]) AS rolling_3m_recharge_recency
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM sequences)
+)"""
+
+FEATURES = f"""{STEPS},
+levels AS (
   SELECT customer_id, avg(data_gb) AS avg_data_gb, avg(calls_count) AS avg_calls,
          avg(days_since_recharge) AS avg_days_since_recharge,
          max(days_since_recharge) AS max_days_since_recharge,
          avg(recharge_amount_inr) AS avg_recharge_amount_inr,
-         CAST(count(*) FILTER (WHERE days_since_recharge <= 10) AS BIGINT) AS recharge_frequency,
-         avg(rolling_3m_data_gb) AS avg_rolling_3m_data_gb,
-         CAST(count(*) FILTER (WHERE month_index >= 2 AND data_gb > prev_data_gb) AS BIGINT)
-           AS usage_increase_months,
-         avg(CASE WHEN month_index = 1 THEN 0 ELSE data_gb - prev_data_gb END)
-           AS avg_monthly_data_delta,
-         max(rolling_3m_recharge_recency) AS max_rolling_recharge_recency,
+         count(*) FILTER (WHERE days_since_recharge <= 10) AS recharge_frequency,
          regr_slope(data_gb, month_index) AS data_usage_trend
-  FROM ordered GROUP BY customer_id
+  FROM usage_panel GROUP BY customer_id
+),
+changes AS (
+  SELECT customer_id, avg(rolling_3m_data_gb) AS avg_rolling_3m_data_gb,
+         max(rolling_3m_recharge_recency) AS max_rolling_recharge_recency,
+         count(*) FILTER (WHERE month_index >= 2 AND data_gb > prev_data_gb)
+           AS usage_increase_months,
+         avg(IF(month_index = 1, 0, data_gb - prev_data_gb)) AS avg_monthly_data_delta
+  FROM steps GROUP BY customer_id
 ),
+behaviour AS (SELECT * FROM levels JOIN changes USING (customer_id)),
 features AS (
   SELECT c.*, b.* EXCLUDE (customer_id),
          CASE WHEN city IN ('Mumbai', 'Delhi', 'Bengaluru', 'Hyderabad', 'Pune') THEN 1
@@ -400,7 +412,7 @@ def _not_null() -> str:
 
 def statements() -> dict[str, str]:
     """SQL per registered query."""
-    windows = f"WITH {USAGE}, {FEATURES.split('behaviour AS')[0].rstrip().rstrip(',')}"
+    windows = f"WITH {USAGE}, {STEPS}"
     levels = ("avg_data_gb", "avg_calls", "avg_days_since_recharge", "max_days_since_recharge",
               "avg_recharge_amount_inr")
     behaviour = f"WITH {CUSTOMERS}, {USAGE}, {FEATURES}"
@@ -419,13 +431,13 @@ SELECT plan_name, tenure_bucket, count(*) AS customers,
        round(avg(avg_data_gb), 6) AS avg_data_gb FROM features GROUP BY 1, 2""",
         "io_roundtrip": features,
         "lag_usage": f"""{windows}
-SELECT customer_id, month_index, data_gb, prev_data_gb FROM ordered""",
+SELECT customer_id, month_index, data_gb, prev_data_gb FROM steps""",
         "rolling_usage": f"""{windows}
 SELECT customer_id, month_index, round(rolling_3m_data_gb, 6) AS rolling_3m_data_gb
-FROM ordered""",
+FROM steps""",
         "rolling_recency": f"""{windows}
 SELECT customer_id, month_index,
-       round(rolling_3m_recharge_recency, 6) AS rolling_3m_recharge_recency FROM ordered""",
+       round(rolling_3m_recharge_recency, 6) AS rolling_3m_recharge_recency FROM steps""",
         "event_windows": """SELECT user_id, event_id, value,
        lag(value) OVER w AS prev_data_gb,
        round(avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6)

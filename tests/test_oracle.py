@@ -41,6 +41,8 @@ def test_matches_sql(name, spark, duck, medium):
     cursor = duck.execute(SQL[name])
     expected = canonical([c[0] for c in cursor.description], cursor.fetchall())
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [bad for bad in ("EvalPython", "NestedLoop", "Cartesian") if bad in plan]
     assert got[0] == expected[0]
     assert {c: TYPES[t] for c, t in df.dtypes} == {c[0]: str(c[1]) for c in cursor.description}
     assert len(got[1]) == len(expected[1])
