@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenura.llm import simhash
+from tenura.llm import quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the divergence verdict of all documents."""
+    return quality.judge(table(spark, sf_dir, "documents")).drop("lang")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
 }
 
 SQL: dict[str, str] = {}

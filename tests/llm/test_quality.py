@@ -1,0 +1,105 @@
+import math
+import re
+from collections import Counter
+
+from tenura.llm import quality, queries
+
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def brute(text):
+    words = [w for w in re.split(SPACE, text or "") if w]
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    places = {}
+    for i in range(len(words) - 7):
+        places.setdefault(tuple(words[i:i + 8]), []).append(i)
+    covered = {j for p in places.values() if len(p) > 1 for i in p for j in range(i, i + 8)}
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+    return (len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)),
+            len(covered), failed)
+
+
+def histograms(text):
+    words = [w for w in re.split(SPACE, text) if w]
+    common = Counter(w.lower() for w in words if w.lower() in quality.VOCABULARY)
+    chars = Counter()
+    for c in text:
+        chars["upper" if "A" <= c <= "Z" else "lower" if "a" <= c <= "z"
+              else "digit" if "0" <= c <= "9" else "space" if c in " \t\n\r\f\v"
+              else "stop" if c in ".,;:!?'\"()-" else "symbol" if c in "#*$%&|<>"
+              else "letter" if c.isalpha() else "other"] += 1
+    return ([chars[n] for n in [*quality.CHAR_CLASSES, "lower"]],
+            [*(common[w] for w in quality.VOCABULARY), len(words) - sum(common.values())])
+
+
+def distance(p, q):
+    def kl(a, b):
+        return sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x > 0)
+
+    return math.sqrt(max(0.0, (kl(p, q) + kl(q, p)) / 2))
+
+
+def share(x):
+    return [v / max(sum(x), 1) for v in x]
+
+
+def test_counts_and_verdicts_match_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    got = {r.doc_id: r for r in queries.op2_quality(spark, small).collect()}
+    limits = quality.Limits()
+    base = {d.doc_id: brute(d.text) for d in docs}
+    hist = {d.doc_id: histograms(d.text) for d in docs}
+    kept = {i for i, b in base.items() if not b[5]}
+    for _ in range(2):
+        refs = {}
+        for lang in {d.lang for d in docs}:
+            own = [d for d in docs if d.lang == lang and d.doc_id in kept and len(d.text) >= 200
+                   and base[d.doc_id][0] >= 50]
+            if not own:
+                continue
+            refs[lang] = [[sum(c) / len(own) for c in
+                           zip(*(share(hist[d.doc_id][k]) for d in own), strict=True)]
+                          for k in (0, 1)]
+        far, kept = {}, set()
+        for d in docs:
+            n, size = base[d.doc_id][0], len(d.text)
+            c = distance(share(hist[d.doc_id][0]), refs[d.lang][0]) if size >= 200 and d.lang in refs else None
+            w = distance(share(hist[d.doc_id][1]), refs[d.lang][1]) if n >= 50 and d.lang in refs else None
+            far[d.doc_id] = (c, w)
+            if (not base[d.doc_id][5]
+                    and (c or 0) <= limits.max_char_distance + limits.char_noise / size ** 0.5
+                    and (w or 0) <= limits.max_word_distance + limits.word_noise / n ** 0.5):
+                kept.add(d.doc_id)
+    for d in docs:
+        r = got[d.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words,
+                r.base_failed) == base[d.doc_id]
+        for a, b in zip((r.char_distance, r.word_distance), far[d.doc_id], strict=True):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)
+        assert r.kept == (d.doc_id in kept)
+    assert len(got) == len(docs)
+
+
+def test_labelled_documents(spark, medium):
+    labels = spark.read.parquet(f"{medium}/labels.parquet")
+    rows = queries.op2_quality(spark, medium).join(labels, "doc_id").where("not base_failed")
+    counts = {(r.quality, r.kept): r["count"] for r in
+              rows.groupBy("quality", "kept").count().collect()}
+    assert counts.get((1, False), 0) <= 0.01 * counts[(1, True)]
+    assert counts.get((0, True), 0) <= 0.15 * counts[(0, False)]
+
+
+def test_edge_rows(spark):
+    loop = "a b c d e f g h " * 2000
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None, "en", 1), (2, "", None, 1), (3, " \n\t", "xx", 1), (4, loop, "en", 1),
+            (5, long, None, 1), (5, long, None, 1), (None, "x\nx\n\nx", "en", 1),
+            (7, "é" * 30_000, "xx", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int")
+    got = quality.judge(docs).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_words, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got] == [
+        (None, 3, 2, 0, True), (1, 0, 0, 0, True), (2, 0, 0, 0, True), (3, 0, 0, 0, True),
+        (4, 16000, 0, 16000, True), (5, 30000, 0, 0, False), (5, 30000, 0, 0, False),
+        (7, 1, 0, 0, True)]
+    assert quality.judge(docs.limit(0)).count() == 0
