@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenura.llm import quality, simhash
+from tenura.llm import lines, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +25,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with repeated lines taken out."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op9_lines": op9_lines,
 }
 
 SQL: dict[str, str] = {}
