@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenura.llm import lines, quality, simhash
+from tenura.llm import lines, pieces, quality, simhash
+
+# The public vocabulary that the query encodes with; operators take the path as a parameter.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +28,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents and whether they decode to the text."""
+    return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                   PIECES)
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with repeated lines taken out."""
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -33,6 +42,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op8_pieces": op8_pieces,
     "op9_lines": op9_lines,
 }
 
