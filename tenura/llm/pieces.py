@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType
 
 SPACE = "▁"
 _REMEMBERED = 400_000
@@ -246,8 +247,8 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id",
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)} first")
     schema = docs.select(*others).schema
-    for column, kind in (("n_tokens", "bigint"), ("round_trip", "boolean"),
-                         ("ids", "array<int>")):
+    for column, kind in (("n_tokens", LongType()), ("round_trip", BooleanType()),
+                         ("ids", ArrayType(IntegerType()))):
         schema = schema.add(column, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
