@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenura.llm import lines, pieces, quality, simhash
+from tenura.llm import decontaminate, lines, pieces, quality, simhash
 
 # The public vocabulary that the query encodes with; operators take the path as a parameter.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,11 +39,36 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents contain."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"),
+                               table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op8_pieces": op8_pieces,
     "op9_lines": op9_lines,
+    "op10_leaks": op10_leaks,
 }
 
-SQL: dict[str, str] = {}
+_LEAK_WORDS = """
+    SELECT {id} AS id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x01-\\x2F\\x3A-\\x60\\x7B-\\x7F]+',
+        ' ', 'g'), ' '), lambda x: x <> '') AS w FROM {table}"""
+
+SQL: dict[str, str] = {
+    "op10_leaks": f"""
+WITH words AS (SELECT 'doc' AS side, * FROM ({_LEAK_WORDS.format(id="doc_id", table="documents")})
+    UNION ALL SELECT 'item', * FROM ({_LEAK_WORDS.format(id="item_id", table="benchmark")})),
+places AS (SELECT side, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words
+    WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS s FROM places),
+items AS (SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles
+    WHERE side = 'item')
+SELECT id AS doc_id, item_id, count(*) AS shared, count(*) / max(n) AS containment
+FROM shingles JOIN items USING (s) WHERE side = 'doc'
+GROUP BY id, item_id HAVING count(*) / max(n) >= 0.8
+""",
+}
