@@ -5,12 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tenura.llm import decontaminate, lines, pieces, quality, simhash
+from tenura.llm import decontaminate, lines, pieces, quality, simhash, urls
 
 # The public vocabulary that the query encodes with; operators take the path as a parameter.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
+# The rules of the page filter.
+URL_RULES = (
+    urls.Rule("org", "/", "allow"),
+    urls.Rule("example.org", "/es/", "block"),
+    urls.Rule("example.org", "/en/1", "block"),
+    urls.Rule("com", "/fr/", "allow"),
+    urls.Rule("com", "/de/", "block"),
+)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,6 +38,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages; a labelled page is good if its quality is 1 and it isn't toxic."""
+    good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)
+    outcomes = table(spark, sf_dir, "labels").select("doc_id", good.alias("good"))
+    return urls.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of all documents and whether they decode to the text."""
     return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"),
@@ -48,6 +65,7 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op4_urls": op4_urls,
     "op8_pieces": op8_pieces,
     "op9_lines": op9_lines,
     "op10_leaks": op10_leaks,
@@ -58,7 +76,53 @@ _LEAK_WORDS = """
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x01-\\x2F\\x3A-\\x60\\x7B-\\x7F]+',
         ' ', 'g'), ' '), lambda x: x <> '') AS w FROM {table}"""
 
+_RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
+
+# {level}: strength of the prior of a level by moments, between 2 and 1000 pages.
+_STRENGTH = """
+k_{level} AS (SELECT CASE WHEN sum(extra) IS NULL OR sum(extra) <= 0 OR sum(over) IS NULL
+        OR sum(over) <= 0 THEN 1000.0
+    ELSE least(greatest(sum(extra) / sum(over) - 1.0, 2.0), 1000.0) END AS k FROM (
+    SELECT gg - g * (g / t) - (g / t) * (1 - g / t) * (c - 1) AS over,
+        (g / t) * (1 - g / t) * (t - sq / t - (c - 1)) AS extra FROM (
+        SELECT sum(good) AS g, sum(n) AS t, count(*) AS c, sum(n * n) AS sq,
+            sum(good * good / n) AS gg FROM {level}s WHERE n > 0 GROUP BY {parent})))"""
+
 SQL: dict[str, str] = {
+    "op4_urls": f"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://')
+        THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parted AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rows AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    AS host, path FROM parted),
+rules(h, p, v) AS (VALUES {_RULE_ROWS}),
+ruled AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
+    FROM rows JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+    GROUP BY page_id),
+known AS (SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END)
+    AS good FROM labels GROUP BY doc_id),
+split AS (SELECT host, good, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l
+    FROM rows LEFT JOIN known USING (page_id)),
+hosts AS (SELECT host, array_to_string(l[greatest(len(l) - 1, 1):], '.') AS domain, l[-1] AS suffix,
+    sum(coalesce(good, 0))::BIGINT AS good, count(good) AS n FROM split GROUP BY host, l),
+domains AS (SELECT suffix, domain, sum(good)::BIGINT AS good, sum(n)::BIGINT AS n FROM hosts
+    GROUP BY suffix, domain),
+suffixs AS (SELECT suffix, sum(good)::BIGINT AS good, sum(n)::BIGINT AS n, 0 AS everything
+    FROM domains GROUP BY suffix),
+overall AS (SELECT CASE WHEN sum(n) > 0 THEN sum(good) / sum(n) ELSE 0.5 END AS m FROM suffixs),
+{_STRENGTH.format(level="suffix", parent="everything")},
+{_STRENGTH.format(level="domain", parent="suffix")},
+{_STRENGTH.format(level="host", parent="domain")},
+s AS (SELECT suffix, (good + m * k) / (n + k) AS m FROM suffixs, overall, k_suffix),
+d AS (SELECT domain, (good + m * k) / (n + k) AS m FROM domains JOIN s USING (suffix), k_domain),
+r AS (SELECT host, n, k, (good + m * k) / (n + k) AS m FROM hosts JOIN d USING (domain), k_host)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN least(m + 1.645 * sqrt(m * (1 - m)
+        / (n + k + 1)), 1.0) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, n AS host_pages,
+    round(m, 6) AS host_mean,
+    round(least(m + 1.645 * sqrt(m * (1 - m) / (n + k + 1)), 1.0), 6) AS host_upper
+FROM rows JOIN r USING (host) LEFT JOIN ruled USING (page_id)
+""",
     "op10_leaks": f"""
 WITH words AS (SELECT 'doc' AS side, * FROM ({_LEAK_WORDS.format(id="doc_id", table="documents")})
     UNION ALL SELECT 'item', * FROM ({_LEAK_WORDS.format(id="item_id", table="benchmark")})),
