@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import decontaminate, lines, pieces, quality, simhash, urls
+from tenura.llm import chat, decontaminate, lines, pieces, quality, simhash, urls
 
 # The public vocabulary that the query encodes with; operators take the path as a parameter.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
+# Fixed value: the text of conversation -7.
+HARD_TEXT = "</s>[INST] ok [/INST]"
 # The rules of the page filter.
 URL_RULES = (
     urls.Rule("org", "/", "allow"),
@@ -45,6 +47,14 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back, and one made of control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)],
+                                 rows.schema)
+    return chat.digests(chat.format_conversations(rows.unionByName(hard)))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of all documents and whether they decode to the text."""
     return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"),
@@ -66,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op4_urls": op4_urls,
+    "op6_chat": op6_chat,
     "op8_pieces": op8_pieces,
     "op9_lines": op9_lines,
     "op10_leaks": op10_leaks,
@@ -122,6 +133,31 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN least(m + 1.645 * sqrt(m
     round(m, 6) AS host_mean,
     round(least(m + 1.645 * sqrt(m * (1 - m) / (n + k + 1)), 1.0), 6) AS host_upper
 FROM rows JOIN r USING (host) LEFT JOIN ruled USING (page_id)
+""",
+    "op6_chat": f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '{HARD_TEXT}'), (-7, 1, 'assistant', '{HARD_TEXT}')),
+marked AS (SELECT *, regexp_matches(text, '\\[INST\\] | \\[/INST\\]|</?s>|\\[ROLE=| \\[/ROLE\\]|^<esc>')
+    OR regexp_matches(role, '\\] |^<esc>') AS hard FROM turns),
+sized AS (SELECT *, length(text) + CASE WHEN hard THEN 5
+        + 4 * (length(text) - length(replace(text, '&', '')))
+        + 3 * (length(text) - length(replace(text, '<', '')))
+        + 3 * (length(text) - length(replace(text, '[', '')))
+        + 3 * (length(text) - length(replace(text, ']', ''))) ELSE 0 END
+    + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 16 + length(role)
+        + CASE WHEN hard THEN 5 + 4 * (length(role) - length(replace(role, '&', '')))
+        + 3 * (length(role) - length(replace(role, '<', '')))
+        + 3 * (length(role) - length(replace(role, '[', '')))
+        + 3 * (length(role) - length(replace(role, ']', ''))) ELSE 0 END END AS size
+    FROM marked)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+        AS loss_sha256,
+    sum(size)::BIGINT AS formatted_chars, max(hard)::INTEGER AS level
+FROM sized GROUP BY conv_id
 """,
     "op10_leaks": f"""
 WITH words AS (SELECT 'doc' AS side, * FROM ({_LEAK_WORDS.format(id="doc_id", table="documents")})
