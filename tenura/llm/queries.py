@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import chat, decontaminate, lines, pieces, quality, simhash, urls
+from tenura.llm import chat, decontaminate, hmm, lines, pieces, quality, ranking, simhash, urls
 
 # The public vocabulary that the query encodes with; operators take the path as a parameter.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -47,6 +47,11 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden Markov and unigram scores of all documents."""
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted and read back, and one made of control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -55,6 +60,12 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(hard)))
 
 
+def op7_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
+    return ranking.score(table(spark, sf_dir, "documents"), labels)
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of all documents and whether they decode to the text."""
     return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"),
@@ -76,7 +87,9 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op4_urls": op4_urls,
+    "op5_hmm": op5_hmm,
     "op6_chat": op6_chat,
+    "op7_ranking": op7_ranking,
     "op8_pieces": op8_pieces,
     "op9_lines": op9_lines,
     "op10_leaks": op10_leaks,
