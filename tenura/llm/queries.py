@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import chat, decontaminate, hmm, lines, pieces, quality, ranking, simhash, urls
+from tenura.llm import chat, decontaminate, hmm, lines, pieces, pii, quality, ranking, simhash, urls
 
 # The public vocabulary that the query encodes with; operators take the path as a parameter.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
+# The key of the registered query; who keeps pseudonyms secret passes another to the operator.
+PSEUDONYM_KEY = "registered query"
 # Fixed value: the text of conversation -7.
 HARD_TEXT = "</s>[INST] ok [/INST]"
 # The rules of the page filter.
@@ -40,6 +42,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced; a key of one's own replaces the public one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, PSEUDONYM_KEY)
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages; a labelled page is good if its quality is 1 and it isn't toxic."""
     good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)
@@ -86,6 +94,7 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op3_pii": op3_pii,
     "op4_urls": op4_urls,
     "op5_hmm": op5_hmm,
     "op6_chat": op6_chat,
