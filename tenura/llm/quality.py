@@ -197,3 +197,14 @@ def _judged(measured: DataFrame, refs: DataFrame, limits: Limits) -> DataFrame:
             & (F.coalesce("word_distance", F.lit(0.0))
                <= limits.max_word_distance + limits.word_noise / F.sqrt("n_words")))
     return rows.withColumn("kept", kept)
+
+
+def keep_good(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id",
+              text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, columns unchanged.
+
+    Rows that share an id, or have none, stay only if all of them are kept.
+    """
+    gone = judge(docs, limits, id_col, text_col, lang_col).where("not kept")
+    gone = gone.select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")

@@ -44,41 +44,47 @@ def share(x):
     return [v / max(sum(x), 1) for v in x]
 
 
-def test_counts_and_verdicts_match_brute_force(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
-    got = {r.doc_id: r for r in queries.op2_quality(spark, small).collect()}
+def brute_verdicts(docs):
+    """docs: [(id, text, lang)] -> {id: (base, distances, kept)}."""
     limits = quality.Limits()
-    base = {d.doc_id: brute(d.text) for d in docs}
-    hist = {d.doc_id: histograms(d.text) for d in docs}
+    base = {i: brute(t) for i, t, _ in docs}
+    hist = {i: histograms(t) for i, t, _ in docs}
     kept = {i for i, b in base.items() if not b[5]}
     for _ in range(2):
         refs = {}
-        for lang in {d.lang for d in docs}:
-            own = [d for d in docs if d.lang == lang and d.doc_id in kept and len(d.text) >= 200
-                   and base[d.doc_id][0] >= 50]
-            if not own:
-                continue
-            refs[lang] = [[sum(c) / len(own) for c in
-                           zip(*(share(hist[d.doc_id][k]) for d in own), strict=True)]
-                          for k in (0, 1)]
+        for lang in {x for *_, x in docs}:
+            own = [i for i, t, x in docs if x == lang and i in kept and len(t) >= 200
+                   and base[i][0] >= 50]
+            if own:
+                refs[lang] = [[sum(c) / len(own) for c in
+                               zip(*(share(hist[i][k]) for i in own), strict=True)]
+                              for k in (0, 1)]
         far, kept = {}, set()
-        for d in docs:
-            n, size = base[d.doc_id][0], len(d.text)
-            c = distance(share(hist[d.doc_id][0]), refs[d.lang][0]) if size >= 200 and d.lang in refs else None
-            w = distance(share(hist[d.doc_id][1]), refs[d.lang][1]) if n >= 50 and d.lang in refs else None
-            far[d.doc_id] = (c, w)
-            if (not base[d.doc_id][5]
+        for i, text, lang in docs:
+            n, size = base[i][0], len(text)
+            c = (distance(share(hist[i][0]), refs[lang][0])
+                 if size >= 200 and lang in refs else None)
+            w = distance(share(hist[i][1]), refs[lang][1]) if n >= 50 and lang in refs else None
+            far[i] = (c, w)
+            if (not base[i][5]
                     and (c or 0) <= limits.max_char_distance + limits.char_noise / size ** 0.5
                     and (w or 0) <= limits.max_word_distance + limits.word_noise / n ** 0.5):
-                kept.add(d.doc_id)
-    for d in docs:
-        r = got[d.doc_id]
+                kept.add(i)
+    return {i: (base[i], far[i], i in kept) for i in base}
+
+
+def test_counts_and_verdicts_match_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    got = {r.doc_id: r for r in queries.op2_quality(spark, small).collect()}
+    want = brute_verdicts([(d.doc_id, d.text, d.lang) for d in docs])
+    assert set(got) == set(want)
+    for i, (base, far, kept) in want.items():
+        r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words,
-                r.base_failed) == base[d.doc_id]
-        for a, b in zip((r.char_distance, r.word_distance), far[d.doc_id], strict=True):
+                r.base_failed) == base
+        for a, b in zip((r.char_distance, r.word_distance), far, strict=True):
             assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)
-        assert r.kept == (d.doc_id in kept)
-    assert len(got) == len(docs)
+        assert r.kept == kept
 
 
 def test_labelled_documents(spark, medium):
@@ -103,3 +109,5 @@ def test_edge_rows(spark):
         (4, 16000, 0, 16000, True), (5, 30000, 0, 0, False), (5, 30000, 0, 0, False),
         (7, 1, 0, 0, True)]
     assert quality.judge(docs.limit(0)).count() == 0
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [5, 5]
