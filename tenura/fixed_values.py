@@ -129,6 +129,6 @@ SAVE_PROBABILITY = 0.35
 THRESHOLD_START = 0.05
 THRESHOLD_END = 0.90
 THRESHOLD_STEP = 0.01
-ATTRIBUTION_SAMPLE = 1000
+FOREST_DEPTH = 12
 ATTRIBUTION_TOP = 30
 DRIVERS_DEFAULT = 10

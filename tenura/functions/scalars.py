@@ -1,4 +1,4 @@
-"""Column functions: bucketing, clamping, scores and guarded ratios."""
+"""Column functions: bucketing, clamping and scores."""
 
 from __future__ import annotations
 
@@ -51,11 +51,6 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
-def ratio(part: Column, whole: Column) -> Column:
-    """part / whole as a double, 0 where the denominator is 0."""
-    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
-
-
 def scorecard_logit() -> Column:
     """The linear scorecard over a feature row that also carries data_usage_trend."""
     terms = [f"{fv.SCORECARD_INTERCEPT}D"]

@@ -10,32 +10,24 @@ from pyspark.sql import functions as F
 from tenura import fixed_values as fv
 
 
-def first_rows(df: DataFrame, n: int | None, key: str = "customer_id") -> DataFrame:
-    """The n rows of lowest key as attribution sample; None keeps all rows."""
-    return df if n is None else df.orderBy(key).limit(n)
-
-
 def mean_abs_contribution(
-    rows: DataFrame,
-    terms: Column,
-    weights: Sequence[float],
-    names: Sequence[str],
-    sample: DataFrame | None = None,
+    rows: DataFrame, terms: Column, weights: Sequence[float], names: Sequence[str]
 ) -> DataFrame:
     """feature, mean |w (x - mean x)| for an array column of model terms.
 
-    Means are taken over ``rows``, contributions over ``sample`` (``rows`` if not given). Both
-    passes combine per term before the shuffle; the broadcast holds one row per model term.
+    Two wide aggregates over all rows: the means, which are one number per term, and then the mean
+    distances from them. Without rows there are no features.
     """
-    background = (rows.select(F.posexplode(terms).alias("term", "x"))
-                  .groupBy("term").agg(F.avg("x").alias("mean")))
-    used = (rows if sample is None else sample).select(F.posexplode(terms).alias("term", "x"))
-    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("term"))
-    feature = F.get(F.array(*[F.lit(n) for n in names]), F.col("term"))
-    return (used.join(F.broadcast(background), "term")
-            .groupBy("term")
-            .agg(F.avg(F.abs(weight * (F.col("x") - F.col("mean")))).alias("mean_abs_shap"))
-            .select(feature.alias("feature"), "mean_abs_shap"))
+    n = len(names)
+    x = rows.select(terms.alias("x"))
+    means = x.agg(*[F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(n)]).first()
+    if any(m is None for m in means):
+        return rows.sparkSession.createDataFrame([], "feature string, mean_abs_shap double")
+    moved = x.agg(*[F.avg(F.abs(float(w) * (F.get("x", F.lit(i)) - F.lit(means[i])))).alias(f"c{i}")
+                    for i, w in enumerate(weights)])
+    pairs = [F.struct(F.lit(name).alias("feature"), F.col(f"c{i}").alias("mean_abs_shap"))
+             for i, name in enumerate(names)]
+    return moved.select(F.inline(F.array(*pairs)))
 
 
 def top_features(importance: DataFrame, n: int = fv.ATTRIBUTION_TOP) -> DataFrame:

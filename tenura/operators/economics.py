@@ -102,8 +102,3 @@ def best_threshold(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     best = F.max_by(F.struct(*rest), F.when(is_number(net), F.struct(net, -F.col("threshold"))))
     return curve.groupBy(*by).agg(best.alias("best")).select(*by, "best.*")
 
-
-def net_of(captured: float, targeted: float, money: Economics = Economics()) -> float:
-    """Net value of one targeting decision."""
-    return captured * money.save_probability * money.monthly_margin \
-        - targeted * money.intervention_cost

@@ -38,14 +38,23 @@ def threshold_metrics(
         "coalesce(try_divide(2 * tp, 2 * tp + fp + fn), 0D) AS f1")
 
 
+def refuse_unscored(df: DataFrame, score: str) -> None:
+    """Raise if a score is NULL or NaN: such a row has no place in a ranking."""
+    bad = df.filter(f"`{score}` IS NULL OR isnan(`{score}`)").count()
+    if bad:
+        raise ValueError(f"{bad} rows have no score in {score}")
+
+
 def ranking_metrics(
     df: DataFrame, by: Sequence[str], label: str = "churn", score: str = "p"
 ) -> DataFrame:
     """ROC-AUC with ties counted half, and average precision, per group.
 
-    ``by`` names stored columns with few values, such as model and fold. A group without both
+    Rows without a score are refused. ``by`` names stored columns with few values, such as model
+    and fold. A group without both
     classes has no ROC-AUC; one without positives has average precision 0.
     """
+    refuse_unscored(df, score)
     weights = {"pos": f"CAST({label} AS BIGINT)", "neg": f"1 - CAST({label} AS BIGINT)"}
     rows = ordered_prefix(df, by, score, weights, descending=True)
     upto = "(before_pos + pos + before_neg + neg)"

@@ -17,7 +17,6 @@ from tenura import fixed_values as fv
 from tenura.operators.preprocess import Preprocessing, to_stages
 
 WEIGHT = "fit_weight"
-ROWS_PER_TASK = 100_000
 
 
 def balanced_weights(p: Preprocessing) -> tuple[float, float]:
@@ -69,24 +68,23 @@ def boosted_trees(rounds: int = 250, depth: int = 3, label: str = "churn") -> Ca
 
 
 def default_candidates(
-    max_iter: int = 2000, trees: int = 350, rounds: int = 250
+    max_iter: int = 2000, trees: int = 350, rounds: int = 250, forest_depth: int = 12
 ) -> list[Candidate]:
-    return [logistic_regression(max_iter), random_forest(trees), boosted_trees(rounds)]
+    return [logistic_regression(max_iter), random_forest(trees, forest_depth),
+            boosted_trees(rounds)]
 
 
 def fit(candidate: Candidate, p: Preprocessing, rows: DataFrame,
         label: str = "churn") -> PipelineModel:
     """Preprocessing and classifier as one fitted pipeline over raw feature rows.
 
-    Every iteration visits each partition once, so small inputs are brought into few partitions;
-    large ones keep those of their scan.
+    The fit runs over the partitions of the scan, that is of the stored files.
     """
     stages = to_stages(p, rows)
     w0, w1 = candidate.weights(p)
     weighted = (stages.transform(rows)
                 .withColumn(WEIGHT, F.when(F.col(label) == 1, w1).otherwise(w0))
-                .select("features", label, WEIGHT)
-                .coalesce(-(-p.rows // ROWS_PER_TASK) or 1))
+                .select("features", label, WEIGHT))
     model = candidate.estimator(p).fit(weighted)
     return PipelineModel(stages=[*stages.stages, model])
 

@@ -12,7 +12,6 @@ from tenura import fixed_values as fv
 from tenura.functions.scalars import clamp
 
 LOOKBACK = fv.ROLLING_ROWS - 1
-MAX_PLAIN_SPAN = 10_000
 MIN_CHUNK_WIDTH = 1024
 
 
@@ -58,7 +57,7 @@ def with_windows_chunked(
     two rows per chunk travel beyond their own task.
     """
     measures = [c for c in (value, recency) if c is not None]
-    rows = panel.withColumn("_chunk", F.floor(F.col(order) / width))
+    rows = panel.withColumn("_chunk", F.expr(f"`{order}` div {int(width)}L"))
     # The rank filter is applied before the exchange as well, so this shuffles 2 rows per chunk.
     last = Window.partitionBy(key, "_chunk").orderBy(F.desc(order))
     tails = (rows.select(key, "_chunk", order, *measures)
@@ -139,8 +138,8 @@ def customer_behaviour(
 ) -> DataFrame:
     """One row per customer with the ten behaviour features, and the trend if asked for.
 
-    ``width`` splits each customer's periods into chunks over tasks; needed only where the panel's
-    span exceeds ``MAX_PLAIN_SPAN`` (see ``order_span`` and ``chunk_width``).
+    ``width`` splits each customer's periods into chunks over tasks, for panels in which a
+    customer may have very many periods.
     """
     if width is None:
         windowed = with_windows(usage)
@@ -165,6 +164,14 @@ def clamped(usage: DataFrame) -> DataFrame:
     return usage.withColumns(limits)
 
 
+def clamped_customers(customers: DataFrame) -> DataFrame:
+    """Limit tenure and support tickets to their admissible ranges."""
+    limits = {"tenure_months": fv.TENURE_RANGE, "support_tickets": fv.TICKET_RANGE}
+    return customers.withColumns({
+        name: clamp(F.col(name), low, high).cast(customers.schema[name].dataType)
+        for name, (low, high) in limits.items()})
+
+
 def union_periods(frames: Sequence[DataFrame]) -> DataFrame:
     """Bag union of per-period frames into one panel."""
     first, *rest = frames

@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura.operators import ordering
+from tenura.sources.scratch import materialize
 
 Part = tuple[str, int | None]
+MAX_CATEGORIES = 10_000
 
 
 @dataclass(frozen=True)
@@ -75,7 +77,22 @@ def fit_modes(
     df: DataFrame, columns: Sequence[str], fit_sets: Mapping[str, Sequence[Part]]
 ) -> DataFrame:
     """Most frequent value per column and fit set, the smallest among equals."""
-    sums = category_counts(df, columns).groupBy("feature", "value").agg(*[
+    return modes_of(category_counts(df, columns), fit_sets)
+
+
+def refuse_wide_columns(counts: DataFrame, most: int = MAX_CATEGORIES) -> None:
+    """Raise where a column has more categories than one-hot columns make sense for."""
+    wide = (counts.groupBy("feature").agg(F.countDistinct("value").alias("n"))
+            .filter(F.col("n") > most).collect())
+    if wide:
+        found = ", ".join(f"{r['feature']}: {r['n']}" for r in wide)
+        raise ValueError(f"columns with more than {most} categories ({found}); "
+                         "leave them out or group their values")
+
+
+def modes_of(counts: DataFrame, fit_sets: Mapping[str, Sequence[Part]]) -> DataFrame:
+    """``fit_modes`` from the counts of ``category_counts``."""
+    sums = counts.groupBy("feature", "value").agg(*[
         F.expr(f"sum(n) FILTER (WHERE {in_parts(parts)}) AS n_{name}")
         for name, parts in fit_sets.items()])
     modes = sums.groupBy("feature").agg(*[
@@ -107,10 +124,11 @@ def fit(
     fit_sets: Mapping[str, Sequence[Part]],
     label: str = "churn",
 ) -> dict[str, Preprocessing]:
-    """Learn all fit sets from a table that carries ``split`` and ``fold``; three jobs in all.
+    """Learn all fit sets from a table that carries ``split`` and ``fold``, in a few jobs.
 
-    What reaches the driver are medians, moments per part and category counts: sizes set by the
-    columns and their categories, not by the rows.
+    What reaches the driver are medians, moments per part and categories: sizes set by the columns
+    and their categories, not by the rows. A column with more than ``MAX_CATEGORIES`` categories
+    is refused before any of them is collected.
     """
     used = sorted({p for parts in fit_sets.values() for p in parts}, key=str)
     df = df.filter(in_parts(used))
@@ -122,17 +140,24 @@ def fit(
     def moments_of(c: str) -> list[Column]:
         known = f"FILTER (WHERE NOT isnan(CAST(`{c}` AS DOUBLE)))"
         return [F.expr(f"{fn}(`{c}`) {known} AS `{name}_{c}`")
-                for fn, name in (("count", "n"), ("avg", "mean"), ("var_pop", "var"))]
+                for fn, name in (("count", "n"), ("avg", "mean"), ("var_pop", "var"),
+                                 ("min", "min"), ("max", "max"))]
 
     moments = df.groupBy("split", "fold").agg(
         F.expr("count(1) AS rows"), F.expr(f"sum({label}) AS positives"),
         *[m for c in numeric for m in moments_of(c)]).collect()
     by_part = {(r["split"], r["fold"]): r for r in moments}
 
-    counts: dict[Part, dict[str, dict[str, int]]] = {}
-    for r in category_counts(df, categorical).collect() if categorical else ():
-        columns = counts.setdefault((r["split"], r["fold"]), {})
-        columns.setdefault(r["feature"], {})[r["value"]] = r["n"]
+    modes_by_set: dict[str, dict[str, str]] = {name: {} for name in fit_sets}
+    present_in: dict[Part, dict[str, list[str]]] = {}
+    if categorical:
+        counts = materialize(category_counts(df, categorical), "categories")
+        refuse_wide_columns(counts)
+        for r in modes_of(counts, fit_sets).filter("mode IS NOT NULL").collect():
+            modes_by_set[r["weight"]][r["feature"]] = r["mode"]
+        for r in counts.collect():
+            columns = present_in.setdefault((r["split"], r["fold"]), {})
+            columns.setdefault(r["feature"], []).append(r["value"])
 
     learned = {}
     for name, parts in fit_sets.items():
@@ -145,16 +170,16 @@ def fit(
                       for r in present if r[f"n_{c}"]]
             pieces.append((rows - sum(p[0] for p in pieces), median, 0.0))
             n, mean, m2 = _combine(pieces)
-            means[c], scales[c] = mean, (m2 / n) ** 0.5 or 1.0
-        modes, categories = {}, {}
-        for c in categorical:
-            total: dict[str, int] = {}
-            for p in parts:
-                for value, n in counts.get(p, {}).get(c, {}).items():
-                    total[value] = total.get(value, 0) + n
-            if total:
-                categories[c] = sorted(total)
-                modes[c] = min(total, key=lambda v: (-total[v], v))
+            values = {float(r[f"{k}_{c}"]) for r in present if r[f"n_{c}"] for k in ("min", "max")}
+            values |= {median} if pieces[-1][0] else set()
+            if len(values) == 1:
+                # A constant column: what is left of its variance is rounding.
+                means[c], scales[c] = values.pop(), 1.0
+            else:
+                means[c], scales[c] = mean, (m2 / n) ** 0.5
+        modes = {c: modes_by_set[name][c] for c in categorical if c in modes_by_set[name]}
+        categories = {c: sorted({v for p in parts for v in present_in.get(p, {}).get(c, ())})
+                      for c in modes}
         names = [f"num__{c}" for c in fills] + [
             f"cat__{c}_{v}" for c in categories for v in categories[c]]
         learned[name] = Preprocessing(

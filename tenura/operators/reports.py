@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tenura import fixed_values as fv
 from tenura.functions.naming import display_name, interpretation
 from tenura.operators.attribution import top_features
-from tenura.operators.economics import CURVE_COLUMNS
+from tenura.operators.economics import CURVE_COLUMNS, best_threshold
 from tenura.operators.metrics import decide
 from tenura.functions.reasons import top_reasons
 from tenura.schema import Economics, RunParams
@@ -104,11 +104,11 @@ def roi_report(
     A curve has one row per threshold, so collecting it into an array is bounded by the grid.
     """
     row = F.struct(*CURVE_COLUMNS)
-    net = F.col("net_expected_value_inr")
-    return curve.agg(
-        F.max_by(row, F.struct(net, -F.col("threshold"))).alias("optimal"),
-        F.sort_array(F.collect_list(row)).alias("curve"),
-    ).select(
+    best = best_threshold(curve).select(F.struct(*CURVE_COLUMNS).alias("optimal"))
+    whole = curve.agg(F.sort_array(F.collect_list(row)).alias("curve"))
+    # Two tables of one row each, put side by side.
+    both = best.unionByName(whole, allowMissingColumns=True)
+    return both.agg(F.max("optimal").alias("optimal"), F.first("curve", True).alias("curve")).select(
         F.lit(model).alias("model_name"),
         version.alias("model_version"),
         F.struct(

@@ -59,7 +59,13 @@ def fit_boundaries(
     validation: float = fv.VALIDATION_SHARE,
     folds: int = fv.CV_FOLDS,
 ) -> list[Boundary]:
-    """The last member of every part of every class: at most classes * (folds + 2) values."""
+    """The last member of every part of every class: at most classes * (folds + 2) values.
+
+    Rows without a label are refused, as no part could hold them.
+    """
+    missing = df.filter(f"`{label}` IS NULL").count()
+    if missing:
+        raise ValueError(f"{missing} rows have no {label}")
     keyed = (df.selectExpr(f"`{label}` AS label", f"CAST(`{key}` AS STRING) AS key",
                            f"{hash_of(key, seed)} AS hash")
              .selectExpr("*", f"substring(hash, 1, {PREFIX_DIGITS}) AS prefix"))
@@ -127,12 +133,3 @@ def stratified(df: DataFrame, **params) -> DataFrame:
     used = {k: v for k, v in params.items() if k in ("key", "label", "seed", "folds")}
     return assign(df, fit_boundaries(df, **params), **used)
 
-
-def class_weights(df: DataFrame, label: str = "churn") -> DataFrame:
-    """Rows, balancing weight n / (2 n_class) per class, and the positive-class weight."""
-    counts = df.agg(F.expr(f"greatest(count_if({label} = 0), 1) AS negatives"),
-                    F.expr(f"greatest(count_if({label} = 1), 1) AS positives"))
-    n = "(negatives + positives)"
-    return counts.selectExpr(
-        "negatives", "positives", f"{n} / (2 * negatives) AS negative_weight",
-        f"{n} / (2 * positives) AS positive_weight", "negatives / positives AS scale_pos_weight")

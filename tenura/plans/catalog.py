@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import lru_cache, partial
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +17,6 @@ from tenura.operators import (
 )
 from tenura.plans import features as plans
 from tenura.plans import training
-from tenura.plans.oracle import FEATURE_DOUBLES, MONEY, SCORECARD_INPUTS
 from tenura.schema import Economics, RunParams
 from tenura.sources import artifacts, binding, sinks, tables
 from tenura.sources.scratch import materialize, new_path
@@ -25,9 +24,16 @@ from tenura.sources.scratch import materialize, new_path
 Query = Callable[[SparkSession, str], DataFrame]
 COSTLY = Economics(intervention_cost=45.0)
 SCORE_DIGITS = 10
-# The registered model queries use fewer trees than the defaults; the data is always whole.
-REGISTERED_TREES = 20
-REGISTERED_ROUNDS = 10
+FEATURE_DOUBLES = (
+    "avg_data_gb", "avg_calls", "avg_days_since_recharge", "max_days_since_recharge",
+    "avg_recharge_amount_inr", "avg_rolling_3m_data_gb", "avg_monthly_data_delta",
+    "max_rolling_recharge_recency",
+)
+SCORECARD_INPUTS = (
+    "city", "plan_name", "autopay_type", "tenure_months", "support_tickets", "contract_type",
+    "avg_data_gb", "avg_days_since_recharge", "data_usage_trend",
+)
+MONEY = ("avg_recharge_amount_inr", "recharge_amount_inr")
 
 # ---------------------------------------------------------------------------------- helpers
 
@@ -158,6 +164,11 @@ def clamped_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(panel.clamped(binding.usage(spark, sf_dir)), ("recharge_amount_inr",))
 
 
+def clamped_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.clamped_customers(binding.customers(spark, sf_dir)).select(
+        "customer_id", "tenure_months", "support_tickets")
+
+
 def city_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.customers(spark, sf_dir).select(
         "customer_id", "city", scalars.city_tier(F.col("city")).alias("city_tier"))
@@ -180,6 +191,23 @@ def not_null_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         binding.usage(spark, sf_dir), schema.USAGE.fieldNames(), "customer_monthly_usage"))
 
 
+def _orders_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose priority is missing once they are fulfilled."""
+    return binding.table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_totalprice",
+        F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("pr"))
+
+
+def not_null_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders_with_gaps(spark, sf_dir)
+    return quality.not_null_violations(orders, orders.columns, "orders")
+
+
+def order_key_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and priorities that several orders share."""
+    return quality.duplicate_keys(_orders_with_gaps(spark, sf_dir).dropna(), ("o_custkey", "pr"))
+
+
 def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = binding.table(spark, sf_dir, "lineitem")
     return quality.duplicate_keys(lines, ("l_orderkey", "l_linenumber"))
@@ -251,10 +279,6 @@ def scorecard_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("top_reasons", _joined("top_reasons"))
 
 
-def roi_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _curve_row(economics.threshold_curve_direct(_scores(spark, sf_dir)))
-
-
 def roi_curve_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _curve_row(economics.threshold_curve(_scores(spark, sf_dir)))
 
@@ -290,8 +314,8 @@ def _ranking(metric: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(ranked.select(metric), (metric,))
 
 
-def scorecard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threshold from the validation rows, metrics on the test rows, as one flat report."""
+def _scorecard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold from the validation rows, metrics on the test rows, as one nested report."""
     params = RunParams(economics=COSTLY)
     scored = _scores(spark, sf_dir).select("customer_id", "churn", "p")
     stored = materialize(splits.stratified(materialize(scored, "scores")), "scored-parts")
@@ -303,7 +327,24 @@ def scorecard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      best["threshold"])
     report = reports.test_report(measured, best, params, "Scorecard", SCORECARD_INPUTS,
                                  train_rows, None)
-    nested = reports.metrics_report(report)
+    return reports.metrics_report(report)
+
+
+def headline_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an overview shows, written as a JSON report and read back."""
+    headline = reports.headline(_scorecard_report(spark, sf_dir))
+    path = f"{new_path(spark, 'headline')}.json"
+    sinks.write_document(headline, path)
+    stored = tables.read_report(spark, path, headline.schema).drop(
+        "model_version", "selection_metric")
+    stored = _round(stored, ("test_churn_rate", "roc_auc", "pr_auc", "targeted_share"))
+    return _round(stored, ("gross_expected_value_inr", "intervention_cost_inr",
+                           "net_expected_value_inr"), 4)
+
+
+def scorecard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested report as one flat row."""
+    nested = _scorecard_report(spark, sf_dir)
     flat = nested.select("model_name", "model_version", "selection_metric", "dataset.*",
                          "classification.*", "ranking.*", "decision_threshold", "roi.*")
     flat = _round(flat, ("test_churn_rate", "precision", "recall", "f1", "roc_auc", "pr_auc",
@@ -319,16 +360,6 @@ def scorecard_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(attribution.top_features(importance), ("mean_abs_shap",))
 
 
-def attribution_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contributions of the sampling operator's first customers against the means of all."""
-    terms, weights, names = attribution.scorecard_terms()
-    rows = materialize(
-        _features(spark, sf_dir, trend=True).select("customer_id", terms.alias("x")), "terms")
-    sample = attribution.first_rows(rows, fv.ATTRIBUTION_SAMPLE)
-    importance = attribution.mean_abs_contribution(rows, F.col("x"), weights, names, sample)
-    return _round(attribution.top_features(importance), ("mean_abs_shap",))
-
-
 # ----------------------------------------------------------------- splits and preprocessing
 
 
@@ -346,17 +377,30 @@ def fold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = splits.class_weights(_parts(spark, sf_dir).filter(F.col("split") == "train"))
+    """The weights that fits on the training rows use."""
+    sets = {"train": training.fit_sets(fv.CV_FOLDS)["train"]}
+    learned = preprocess.fit(materialize(_parts(spark, sf_dir), "parts"), (), (), sets)["train"]
+    low, high = models.balanced_weights(learned)
+    _, scale = models.positive_weights(learned)
+    weights = spark.createDataFrame(
+        [(learned.negatives, learned.positives, low, high, scale)],
+        "negatives long, positives long, negative_weight double, positive_weight double, "
+        "scale_pos_weight double")
     return _round(weights, ("negative_weight", "positive_weight", "scale_pos_weight"))
 
 
 def _split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored feature table with its parts, for a single fit."""
-    stored = materialize(_features(spark, sf_dir), "features")
-    return training.split_table(stored, RunParams(), by_part=False)
+    """The stored feature table with its parts, for a single fit.
+
+    Only (id, label) is needed to find the parts; the wide rows are written once, with them.
+    """
+    features = _features(spark, sf_dir)
+    labels = materialize(features.select("customer_id", "churn"), "labels")
+    return materialize(splits.assign(features, splits.fit_boundaries(labels)), "parts")
 
 
 def impute_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill values as training learns them."""
     data = _split_features(spark, sf_dir)
     numeric, categorical = training.input_columns(data)
     sets = {"train": training.fit_sets(fv.CV_FOLDS)["train"]}
@@ -384,6 +428,18 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
         for i, name in enumerate(learned.feature_names) if name.startswith("num__")])
 
 
+def standardize_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A constant column, not exact in binary, beside one that varies."""
+    data = materialize(splits.stratified(materialize(binding.customers(spark, sf_dir).select(
+        "customer_id", F.lit(0.1).alias("tenth"), "tenure_months", "churn"), "labels")), "parts")
+    sets = {"train": training.fit_sets(fv.CV_FOLDS)["train"]}
+    learned = preprocess.fit(data, ("tenth", "tenure_months"), (), sets)["train"]
+    x = preprocess.to_stages(learned, data).transform(data).select(
+        "customer_id", vector_to_array("features").alias("x"))
+    return x.select("customer_id", F.col("x")[0].alias("num__tenth"),
+                    F.round(F.col("x")[1], 6).alias("num__tenure_months"))
+
+
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, learned = _encoded(spark, sf_dir)
     names = F.array(*[F.lit(n) for n in learned.feature_names])
@@ -429,44 +485,93 @@ def driver_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------ fitted models
 
 
-def _train(spark: SparkSession, sf_dir: str, linear_only: bool = False) -> training.Training:
-    candidates = models.default_candidates(
-        trees=REGISTERED_TREES, rounds=REGISTERED_ROUNDS)
+@lru_cache(maxsize=4)
+def _trained(app: str, spark: SparkSession, sf_dir: str) -> training.Training:
     stored = materialize(_features(spark, sf_dir), "features")
-    return training.train(stored, candidates[:1] if linear_only else candidates,
-                          RunParams(economics=COSTLY), parallelism=8)
+    return training.train(stored, params=RunParams(economics=COSTLY), parallelism=8)
+
+
+def _train(spark: SparkSession, sf_dir: str) -> training.Training:
+    """The whole run with all candidates at their default sizes, once per application and input."""
+    return _trained(spark.sparkContext.applicationId, spark, sf_dir)
 
 
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.rank_models(_train(spark, sf_dir).comparison)
 
 
+def model_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any comparison: metrics within 0..1, the first-ranked one selected."""
+    ranked = model_comparison(spark, sf_dir)
+    measures = [c for c in ranked.columns if c.startswith(("cv_", "validation_"))]
+    best = F.struct("cv_pr_auc_mean", "cv_recall_mean", "cv_f1_mean")
+    top = ranked.agg(F.max(best).alias("top"))
+    # One row: the greatest selection key.
+    return ranked.join(F.broadcast(top), best == F.col("top"), "left").select(
+        "model", F.forall(F.array(*measures), lambda m: (m >= 0) & (m <= 1)).alias("in_range"),
+        (F.col("selected") == F.col("top").isNotNull()).alias("selection_holds"))
+
+
 def test_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _train(spark, sf_dir, linear_only=True).report
+    return _train(spark, sf_dir).report
 
 
-def _linear(spark: SparkSession, sf_dir: str) -> tuple[artifacts.Artifact, DataFrame]:
-    """A logistic model fitted on the training and validation rows, and the parted table."""
-    data = _split_features(spark, sf_dir)
-    numeric, categorical = training.input_columns(data)
-    parts = {"final": training.fit_sets(fv.CV_FOLDS)["final"]}
-    learned = preprocess.fit(data, numeric, categorical, parts)["final"]
-    candidate = models.logistic_regression()
-    fitted = models.fit(candidate, learned, data.filter(preprocess.in_parts(parts["final"])))
-    artifact = artifacts.Artifact(fitted, candidate.name, fv.PIPELINE_VERSION, 0.5,
-                                  plans.MODEL_FEATURES, learned.feature_names)
-    return artifact, data
+def test_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's sizes, and whether its figures agree with each other."""
+    r = test_report(spark, sf_dir)
+    money = F.col("gross_expected_value_inr") - F.col("intervention_cost_inr")
+    return r.select(
+        "test_size", F.round("test_churn_rate", 6).alias("test_churn_rate"),
+        (F.round(F.col("decision_threshold") * 100, 6).between(5, 90)).alias("on_grid"),
+        F.forall(F.array("precision", "recall", "f1", "roc_auc", "pr_auc"),
+                 lambda m: (m >= 0) & (m <= 1)).alias("in_range"),
+        (F.abs(F.col("net_expected_value_inr") - money) < 0.01).alias("money_adds_up"))
 
 
 def scored_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    artifact, data = _linear(spark, sf_dir)
-    answers, _ = training.score(data.select("customer_id", *artifact.features), artifact)
+    run = _train(spark, sf_dir)
+    answers, _ = training.score(run.data.select("customer_id", *run.artifact.features),
+                                run.artifact)
     return answers.withColumn("top_reasons", _joined("top_reasons"))
 
 
+def scored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons per customer, and whether the decision follows from the probability.
+
+    Probabilities are rounded in the answers, so the decision is tested outside the last digit.
+    """
+    p, t = F.col("churn_probability"), F.col("decision_threshold")
+    follows = F.when(F.abs(p - t) > 0.0001, F.col("high_risk") == (p >= t)).otherwise(True)
+    return scored_customers(spark, sf_dir).select(
+        "customer_id", "top_reasons", (follows & p.between(0, 1)).alias("decision_holds"))
+
+
+def logistic_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The penalised loss has no slope at the fitted weights: feature, gradient per row."""
+    data = _split_features(spark, sf_dir)
+    numeric, categorical = training.input_columns(data)
+    parts = {"final": training.fit_sets(fv.CV_FOLDS)["final"]}
+    rows = data.filter(preprocess.in_parts(parts["final"]))
+    learned = preprocess.fit(data, numeric, categorical, parts)["final"]
+    model = models.fit(models.logistic_regression(), learned, rows)
+    w0, w1 = models.balanced_weights(learned)
+    weight = F.when(F.col("churn") == 1, w1).otherwise(w0)
+    scored = model.transform(rows).select(
+        (weight * (vector_to_array("probability")[1] - F.col("churn"))).alias("e"),
+        vector_to_array("features").alias("x"))
+    names = learned.feature_names
+    sums = scored.agg(*[F.sum(F.col("e") * F.col("x")[i]).alias(f"g{i}")
+                        for i in range(len(names))])
+    slopes = model.stages[-1].coefficients.toArray().tolist()
+    pairs = [F.struct(F.lit(n).alias("feature"),
+                      (F.round((F.col(f"g{i}") + slopes[i]) / learned.rows, 4) + F.lit(0.0))
+                      .alias("gradient")) for i, n in enumerate(names)]
+    return sums.select(F.inline(F.array(*pairs)))
+
+
 def model_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stored model says of itself after loading."""
-    artifact, _ = _linear(spark, sf_dir)
+    artifact = _train(spark, sf_dir).artifact
     path = new_path(spark, "model")
     artifacts.save(artifact, spark, path)
     return artifacts.load(spark, path).metadata(spark).select(
@@ -474,15 +579,38 @@ def model_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "decision_threshold")
 
 
+def identity_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loaded model is the run's: same name, version and threshold."""
+    run = _train(spark, sf_dir)
+    return model_identity(spark, sf_dir).select(
+        "status", (F.col("model") == run.artifact.model_name).alias("same_model"),
+        (F.col("model_version") == run.artifact.model_version).alias("same_version"),
+        (F.col("decision_threshold") == run.artifact.decision_threshold).alias("same_threshold"))
+
+
 def driver_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attributions over all rows, as the nested driver report, unnested again."""
-    artifact, data = _linear(spark, sf_dir)
-    importance = training.attributions(artifact, data)
-    nested = reports.driver_report(importance, artifact.model_name,
-                                   F.lit(artifact.model_version), fv.ATTRIBUTION_TOP)
+    """The winner's drivers over all rows as the nested report, unnested again."""
+    run = _train(spark, sf_dir)
+    if training.is_linear(run.artifact):
+        importance = training.attributions(run.artifact, run.data)
+    else:
+        importance = training.tree_importances(run.artifact, spark).withColumnRenamed(
+            "importance", "mean_abs_shap")
+    nested = reports.driver_report(importance, run.artifact.model_name,
+                                   F.lit(run.artifact.model_version))
     return nested.select("model_name", "method", "top_n", F.inline("drivers"))
 
 
+def driver_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten drivers, all of them model features with a name, strongest first."""
+    rows = driver_report(spark, sf_dir)
+    features = _train(spark, sf_dir).artifact.feature_names
+    return rows.agg(
+        F.count("*").alias("drivers"), F.max("top_n").cast("long").alias("top_n"),
+        F.bool_and(F.col("feature").isin(*features) & (F.col("display_name") != ""))
+        .alias("named"), F.bool_and(F.col("mean_abs_shap") >= 0).alias("not_negative"))
+
+
 QUERIES: dict[str, Query] = {
     "feature_table": feature_table,
     "feature_view": feature_view,
@@ -502,9 +630,12 @@ QUERIES: dict[str, Query] = {
     "attribute_merge": attribute_merge,
     "plan_price_lookup": plan_price_lookup,
     "clamped_usage": clamped_usage,
+    "clamped_customers": clamped_customers,
     "city_tier": city_tier,
     "tenure_bucket": tenure_bucket,
     "not_null_violations": not_null_violations,
+    "not_null_orders": not_null_orders,
+    "order_key_duplicates": order_key_duplicates,
     "pk_duplicates": pk_duplicates,
     "usage_key_duplicates": usage_key_duplicates,
     "churn_by_plan": churn_by_plan,
@@ -516,7 +647,6 @@ QUERIES: dict[str, Query] = {
     "eda_summary": eda_summary,
     "scorecard": scorecard,
     "scorecard_decisions": scorecard_decisions,
-    "roi_curve": roi_curve,
     "roi_curve_histogram": roi_curve_histogram,
     "roi_best": roi_best,
     "roi_by_plan": roi_by_plan,
@@ -525,8 +655,8 @@ QUERIES: dict[str, Query] = {
     "roc_auc": partial(_ranking, "roc_auc"),
     "average_precision": partial(_ranking, "pr_auc"),
     "scorecard_report": scorecard_report,
+    "headline_numbers": headline_numbers,
     "scorecard_attribution": scorecard_attribution,
-    "attribution_sample": attribution_sample,
     "split_assignment": split_assignment,
     "fold_assignment": fold_assignment,
     "class_weights": class_weights,
@@ -537,9 +667,16 @@ QUERIES: dict[str, Query] = {
     "default_fill": default_fill,
     "reasons": reason_texts,
     "driver_names": driver_names,
+    "standardize_constant": standardize_constant,
+    "logistic_gradient": logistic_gradient,
     "model_comparison": model_comparison,
+    "model_facts": model_facts,
     "test_report": test_report,
+    "test_facts": test_facts,
     "scored_customers": scored_customers,
+    "scored_facts": scored_facts,
     "model_identity": model_identity,
+    "identity_facts": identity_facts,
     "driver_report": driver_report,
+    "driver_facts": driver_facts,
 }

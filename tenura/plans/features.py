@@ -27,7 +27,9 @@ def feature_table(
     """Customers with their behaviour features; customers without usage are left out.
 
     The panel is aggregated before the join, so the join is one row to one row. ``trend`` adds
-    data_usage_trend, which the scorecard needs and the model does not.
+    data_usage_trend, which the scorecard needs and the model does not. The declared panel has one
+    row per customer and period, six at most; for panels with long histories name a
+    ``chunk_width``, and a customer's rows are split over tasks.
     """
     behaviour = panel.customer_behaviour(usage, trend, chunk_width)
     columns = FEATURE_COLUMNS + (("data_usage_trend",) if trend else ())
@@ -38,13 +40,6 @@ def feature_table(
             .select(*columns))
 
 
-def build_feature_table(customers: DataFrame, usage: DataFrame, trend: bool = False) -> DataFrame:
-    """``feature_table`` with the window strategy chosen from the panel's measured span."""
-    span = panel.order_span(usage)
-    width = panel.chunk_width(span) if span > panel.MAX_PLAIN_SPAN else None
-    return feature_table(customers, usage, trend, width)
-
-
 def scorecard(features: DataFrame) -> DataFrame:
     """Churn probability of the linear scorecard; expects data_usage_trend."""
     return features.withColumn("p", scalars.sigmoid(scalars.scorecard_logit()))

@@ -20,6 +20,8 @@ from tenura.sources.artifacts import Artifact
 from tenura.sources.scratch import materialize
 
 VALIDATION = "validation"
+# Files per part at most, and so tasks of a fit per part.
+FILES = 256
 CV_METRICS = ("roc_auc", "pr_auc", "recall", "f1")
 VALIDATION_METRICS = ("precision", "recall", "f1", "roc_auc", "pr_auc")
 
@@ -45,7 +47,12 @@ def split_table(
     parted = splits.stratified(
         features, seed=params.seed, test=params.test_share,
         validation=params.validation_share, folds=params.folds)
-    return materialize(parted, "parts", ("split", "fold") if by_part else ())
+    if not by_part:
+        return materialize(parted, "parts")
+    # Rows of a part meet in as many tasks as the key's hash deals them to, so its folder gets
+    # one file from each of them and not one from every input task.
+    dealt = parted.repartition("split", "fold", F.pmod(F.xxhash64(schema.KEY), F.lit(FILES)))
+    return materialize(dealt, "parts", ("split", "fold"))
 
 
 def fit_sets(folds: int) -> dict[str, list[preprocess.Part]]:
@@ -117,7 +124,8 @@ def train(
     Training rows choose the model, validation rows the threshold, test rows are scored once by
     the refit.
     """
-    candidates = list(candidates or models.default_candidates())
+    candidates = list(candidates
+                      or models.default_candidates(forest_depth=params.forest_depth))
     spark = features.sparkSession
     numeric, categorical = input_columns(features)
     inputs = [c for c in features.columns if c in {*numeric, *categorical}]
@@ -193,15 +201,11 @@ def tree_importances(artifact: Artifact, spark: SparkSession) -> DataFrame:
             .orderBy(F.desc("importance"), "feature"))
 
 
-def attributions(artifact: Artifact, rows: DataFrame, sample: int | None = None) -> DataFrame:
-    """Mean absolute contribution per feature of a linear winner, in log-odds.
-
-    ``sample`` limits the rows whose contributions are averaged; means are over all rows.
-    """
+def attributions(artifact: Artifact, rows: DataFrame) -> DataFrame:
+    """Mean absolute contribution per feature of a linear winner, in log-odds, over all rows."""
     if not is_linear(artifact):
         raise ValueError(f"{artifact.model_name} is not linear; see tree_importances")
     weights = artifact.pipeline.stages[-1].coefficients.toArray().tolist()
-    transformed = artifact.pipeline.transform(rows)
+    terms = artifact.pipeline.transform(rows).select(vector_to_array("features").alias("x"))
     return attribution.mean_abs_contribution(
-        transformed, vector_to_array("features"), weights, artifact.feature_names,
-        None if sample is None else attribution.first_rows(transformed, sample))
+        materialize(terms, "terms"), F.col("x"), weights, artifact.feature_names)

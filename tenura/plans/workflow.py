@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura import fixed_values as fv
 from tenura import schema
 from tenura.operators import attribution, economics, models, profile, quality, reports
 from tenura.plans import features as plans
@@ -65,11 +64,11 @@ def write_training(run: training.Training, out: str) -> None:
     sinks.write_document(selection, f"{out}/model_selection.json")
 
 
-def write_drivers(run: training.Training, out: str,
-                  sample: int | None = fv.ATTRIBUTION_SAMPLE) -> None:
-    """Attributions of a linear winner; the trees' own importances otherwise."""
+def write_drivers(run: training.Training, out: str) -> None:
+    """Attributions of a linear winner, all and the strongest; else the trees' importances."""
     if training.is_linear(run.artifact):
-        importance = training.attributions(run.artifact, run.data, sample)
+        importance = training.attributions(run.artifact, run.data)
+        sinks.write_table(importance, f"{out}/shap_features.csv")
         sinks.write_table(attribution.top_features(importance), f"{out}/shap_top_features.csv")
     else:
         sinks.write_table(training.tree_importances(run.artifact, run.data.sparkSession),
@@ -92,7 +91,7 @@ def run_all(
     if broken:
         raise ValueError(f"base tables break integrity rules: {broken}")
     write_profile(customers, f"{out}/reports")
-    features = plans.build_feature_table(customers, usage)
+    features = plans.feature_table(customers, usage)
     sinks.write_table(features, f"{out}/model_features.parquet")
     stored = tables.read_report(spark, f"{out}/model_features.parquet", features.schema)
     run = training.train(stored, candidates, params)

@@ -70,3 +70,4 @@ class RunParams:
     threshold_start: float = fv.THRESHOLD_START
     threshold_end: float = fv.THRESHOLD_END
     threshold_step: float = fv.THRESHOLD_STEP
+    forest_depth: int = fv.FOREST_DEPTH

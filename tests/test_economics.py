@@ -79,11 +79,6 @@ def test_best_skips_nan(spark):
     assert economics.best_threshold(df).first()["threshold"] == 0.2
 
 
-def test_published_money():
-    assert economics.net_of(119, 331) == pytest.approx(2565.0)
-    assert 331 / 960 == pytest.approx(0.3447916667)
-
-
 def test_known_optima(spark, medium):
     from tenura.plans import catalog
     scored = catalog._scores(spark, medium).select("churn", "p").cache()

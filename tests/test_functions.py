@@ -46,12 +46,6 @@ def test_clamped_usage(spark):
     assert panel.clamped(df).schema == df.schema
 
 
-def test_ratio_is_zero_on_empty_denominator(spark):
-    df = spark.createDataFrame([(1, 0), (3, 4)], "a long, b long")
-    got = [r[0] for r in df.select(scalars.ratio(F.col("a"), F.col("b"))).collect()]
-    assert got == [0.0, 0.75]
-
-
 def test_at_or_above_is_inclusive_and_rejects_nan(spark):
     scores = [0.5, 0.49999, float("nan"), None]
     assert column(spark, scores, "double", lambda c: scalars.at_or_above(c, 0.5)) == [

@@ -49,6 +49,13 @@ def test_ranking_metrics(spark, scored):
         assert row["pr_auc"] == pytest.approx(brute_ap(y, p), abs=1e-12)
 
 
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_rows_without_a_score_are_refused(spark, bad):
+    df = spark.createDataFrame([("m", 1, 0.5), ("m", 0, bad)], "model string, churn int, p double")
+    with pytest.raises(ValueError, match="1 rows have no score"):
+        metrics.ranking_metrics(df, ["model"])
+
+
 def test_ranking_metrics_of_one_class(spark):
     df = spark.createDataFrame([("m", 0, 0.2), ("m", 0, 0.4)], "model string, churn int, p double")
     row = metrics.ranking_metrics(df, ["model"]).first()

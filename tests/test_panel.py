@@ -126,11 +126,13 @@ def test_binding_counts(spark, small, medium):
         assert r[1] == pytest.approx(churn, abs=1e-6)
 
 
-def test_automatic_strategy_matches(worked, monkeypatch):
-    customers, usage = worked
-    assert panel.order_span(usage) == 6
-    plain = sorted(map(str, features.build_feature_table(customers, usage).collect()))
+def test_chunk_width():
     assert panel.chunk_width(10**12) == 10**6 and panel.chunk_width(50) == 1024
-    monkeypatch.setattr(panel, "MAX_PLAIN_SPAN", 2)
-    monkeypatch.setattr(panel, "MIN_CHUNK_WIDTH", 2)
-    assert sorted(map(str, features.build_feature_table(customers, usage).collect())) == plain
+
+
+def test_chunks_of_large_order_values(spark):
+    first = 2**60 + 1
+    rows = [(1, first + i, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, i long, v double")
+    got = panel.with_windows_chunked(df, 3, "k", "i", "v", None).orderBy("i").collect()
+    assert [r["prev_data_gb"] for r in got] == [None, *[float(i) for i in range(39)]]

@@ -78,11 +78,7 @@ def test_tiny_classes(spark):
     assert splits.stratified(df.limit(0)).count() == 0
 
 
-def test_class_weights(spark, labelled):
-    row = splits.class_weights(labelled).first()
-    assert (row["negatives"], row["positives"]) == (714, 286)
-    total = 714 * row["negative_weight"] + 286 * row["positive_weight"]
-    assert total == pytest.approx(1000)
-    assert row["scale_pos_weight"] == pytest.approx(714 / 286)
-    empty = splits.class_weights(labelled.limit(0)).first()
-    assert (empty["negatives"], empty["positives"]) == (1, 1)
+def test_rows_without_a_label_are_refused(spark):
+    df = spark.createDataFrame([(1, 0), (2, None), (3, 1)], "customer_id long, churn int")
+    with pytest.raises(ValueError, match="1 rows have no churn"):
+        splits.stratified(df)

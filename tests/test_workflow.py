@@ -24,7 +24,7 @@ def test_run_writes_every_report(spark, stored, tmp_path):
     assert made == {
         "eda_summary.json", "churn_by_plan.csv", "churn_by_tenure.csv", "churn_distribution.csv",
         "model_comparison.csv", "roi_thresholds.csv", "roi_optimal.json", "test_metrics.json",
-        "model_selection.json", "shap_top_features.csv"}
+        "model_selection.json", "shap_features.csv", "shap_top_features.csv"}
     report = tables.read_report(spark, f"{out}/reports/test_metrics.json").first()
     assert report["model_version"] == run.artifact.model_version
     assert tables.read_report(spark, f"{out}/reports/roi_thresholds.csv").count() == 86
