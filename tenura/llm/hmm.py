@@ -129,9 +129,21 @@ class Vocabulary:
 
 
 def learn_vocabulary(counts: DataFrame, ends: int, size: ModelSize) -> Vocabulary:
-    """``counts`` (word, c) must be stored; ``ends`` is the number of training texts."""
+    """``counts`` (word, c) must be stored; ``ends`` is the number of training texts.
+
+    The head is all words from a count on, found from a histogram of counts in steps of a sixteenth
+    of a power of two, so that no more than ``head`` words ever travel to the driver.
+    """
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(size.head).collect()
+    step = F.floor(F.log2("c") * 16)
+    room, least = size.head, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    top = counts.where(step >= least).collect() if least is not None else []
+    top.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     words = tuple(bytes(r["word"]) for r in top)
     return Vocabulary(words, np.array([r["c"] for r in top], np.int64),
                       _bucket_totals(counts, words[:size.frequent], size),
