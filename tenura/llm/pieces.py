@@ -237,15 +237,13 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id",
 
     ``round_trip`` says whether decoding gives back the text; it is false for texts that hold the
     space mark itself, which the vocabulary cannot tell from a space. Null texts have no ids and
-    a null round_trip. The model file travels with the job, so executors need no path of their own.
+    a null round_trip. Columns of ``docs`` that have one of the three names give way to them. The
+    model file travels with the job, so executors need no path of their own.
     """
     docs.sparkSession.sparkContext.addFile(model_file)
     name = model_file.rsplit("/", 1)[-1]
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens", "round_trip")]
     rows = docs.select(*others, F.col(text_col).alias("__text"))
-    clash = {"ids", "n_tokens", "round_trip"} & set(others)
-    if clash:
-        raise ValueError(f"rename the columns {sorted(clash)} first")
     schema = docs.select(*others).schema
     for column, kind in (("n_tokens", LongType()), ("round_trip", BooleanType()),
                          ("ids", ArrayType(IntegerType()))):

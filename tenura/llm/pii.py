@@ -218,10 +218,8 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", back: bool =
     Nulls and texts without personal data stay as they are, and so do matches that are not valid
     (a card number with a wrong check digit, an address above 255, the 31st of June). ``back``
     with the same key restores the original values, but for capitals in e-mail addresses and
-    leading zeros of days and months.
+    leading zeros of days and months. A column that has the name ``found_col`` gives way to it.
     """
-    if found_col in docs.columns:
-        raise ValueError(f"there is a column {found_col}")
     rows = docs.withColumn("__m", F.regexp_extract_all(text_col, F.lit(PATTERN), F.lit(0)))
     rows = rows.withColumn("__p", F.when(F.size("__m") > 0, F.transform(
         "__m", lambda m: pseudonym(m, key, back))))
@@ -232,5 +230,5 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", back: bool =
     count = F.size(F.filter("__p", lambda p: p.isNotNull()))
     return rows.select(
         *[F.when(F.col("__p").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col
-          else F.col(c) for c in docs.columns],
+          else F.col(c) for c in docs.columns if c != found_col],
         F.when(F.col("__p").isNull(), F.lit(0)).otherwise(count).cast("long").alias(found_col))

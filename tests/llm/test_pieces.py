@@ -105,5 +105,6 @@ def test_edge_rows(spark):
     assert sorted((r.doc_id or 0, r.text) for r in back.collect()) == [
         (0, " x "), (1, ""), (2, ""), (4, long), (4, long), (5, "a b")]
     assert pieces.encode_documents(docs.limit(0), MODEL).count() == 0
-    with pytest.raises(ValueError):
-        pieces.encode_documents(docs.withColumnRenamed("lang", "ids"), MODEL)
+    named = pieces.encode_documents(docs.withColumnRenamed("lang", "ids"), MODEL)
+    assert named.columns == ["doc_id", "n_tokens", "round_trip", "ids"]
+    assert named.where("doc_id = 2").first().ids == []

@@ -95,8 +95,8 @@ def test_documents(spark, small):
 def test_edge_rows(spark):
     rows = spark.createDataFrame([(1, VALID[1], 3), (1, VALID[1], 3), (None, None, None)],
                                  "doc_id long, text string, m int")
+    again = pii.pseudonymize(rows, KEY, found_col="m")
+    assert again.columns == ["doc_id", "text", "m"] and [r.m for r in again.collect()] == [1, 1, 0]
     got = pii.pseudonymize(rows, KEY)
     assert got.columns == ["doc_id", "text", "m", "n_replaced"] and got.count() == 3
     assert pii.pseudonymize(rows.limit(0), KEY).count() == 0
-    with pytest.raises(ValueError):
-        pii.pseudonymize(rows, KEY, found_col="m")
