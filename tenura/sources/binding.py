@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenura.sources.scratch import materialize
+
 # Window, outcome year, category names by source code.
 FIRST_YEAR = 1995
 PERIODS = 6
@@ -150,14 +152,13 @@ def usage(spark: SparkSession, sf_dir: str, dense: bool = True) -> DataFrame:
 
 
 def period_frames(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """One frame per period, each reading only its own year of orders."""
-    return [
-        (_orders(spark, sf_dir, FIRST_YEAR + k - 1, FIRST_YEAR + k)
-         .groupBy("o_custkey")
-         .agg(F.expr("count(1) AS recharges"),
-              F.expr("CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) "
-                     "AS recharge_amount_inr"))
-         .selectExpr("o_custkey AS customer_id", f"{k} AS month_index", "recharges",
-                     "recharge_amount_inr"))
-        for k in range(1, PERIODS + 1)
-    ]
+    """One stored frame per period: orders are read and grouped once, each frame is a folder."""
+    yearly = (_orders(spark, sf_dir, FIRST_YEAR, OUTCOME_YEAR)
+              .groupBy("o_custkey", F.expr(f"year(o_orderdate) - {FIRST_YEAR - 1}")
+                       .alias("month_index"))
+              .agg(F.expr("count(1) AS recharges"),
+                   F.expr("CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) "
+                          "AS recharge_amount_inr"))
+              .withColumnRenamed("o_custkey", "customer_id"))
+    stored = materialize(yearly, "periods", ("month_index",))
+    return [stored.filter(F.col("month_index") == k) for k in range(1, PERIODS + 1)]
