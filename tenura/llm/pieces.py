@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType
 
 SPACE = "▁"
-_REMEMBERED = 400_000
+_REMEMBERED = 600_000
 _BPE = 2
 
 
@@ -51,6 +51,7 @@ class PieceModel:
                 self.scores[piece] = source.get_score(i)
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids), default=1)
+        self.unknown_score = min(self.scores.values(), default=0.0) - 10.0
         self.bpe = _model_type(source.serialized_model_proto()) == _BPE
         # Without pieces such as "a_b" no arc crosses from a letter to a following space.
         self.split_at_spaces = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
@@ -84,39 +85,42 @@ class PieceModel:
         """Ids of a stream of characters, each as soon as it is final."""
         longest = self.longest
         window = ""  # characters from the last committed boundary
+        before = ""  # the last committed piece
         back: list[int] = [0]  # start of the last piece for each boundary of the window
         best: list[float] = [0.0]
         for char in chars:
             window += char
             end = len(window)
-            self._arc(window, end, back, best)
+            self._arc(window, end, back, best, before)
             if end >= 2 * longest:
                 cut = self._meeting(back, end)
                 if cut:
                     yield from self._commit(window, back, cut)
+                    before = window[back[cut]:cut]
                     # Scores count from the cut; a piece across it cannot survive.
                     window = window[cut:]
                     back = [0] + [max(b - cut, 0) for b in back[cut + 1:]]
                     best = [x - best[cut] for x in best[cut:]]
         yield from self._commit(window, back, len(window))
 
-    def _arc(self, window: str, end: int, back: list[int], best: list[float]) -> None:
+    def _arc(self, window: str, end: int, back: list[int], best: list[float],
+             before: str) -> None:
         """Adds boundary ``end`` with its best incoming arc."""
-        start, score = -1, -np.inf
+        ids, start, score = self.ids, -1, -np.inf
         for begin in range(max(0, end - self.longest), end):
             piece = window[begin:end]
-            if piece not in self.ids:
+            if piece not in ids:
                 continue
             if self.bpe:
-                if begin == 0 or self._follows(window[back[begin]:begin], piece):
-                    if begin or self._whole(piece):
-                        start = begin
-                        break
+                # At the very start a piece follows nothing, but must be whole itself.
+                if self._follows(window[back[begin]:begin] if begin else before, piece):
+                    start = begin
+                    break
             elif best[begin] + self.scores[piece] > score:
                 start, score = begin, best[begin] + self.scores[piece]
         if start < 0:  # a character outside the vocabulary is an arc of its own
             start = end - 1
-            score = best[start] + min(self.scores.values(), default=0.0) - 10.0
+            score = best[start] + self.unknown_score
         back.append(start)
         best.append(0.0 if self.bpe else score)
 
@@ -158,14 +162,11 @@ class PieceModel:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _whole(self, piece: str) -> bool:
-        return self._follows("", piece)
-
     def _follows(self, left: str, right: str) -> bool:
         key = (left, right)
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= 4 * _REMEMBERED:
+            if len(self._pairs) >= _REMEMBERED:
                 self._pairs.clear()
             known = self._merged(left + right) == ([left, right] if left else [right])
             self._pairs[key] = known

@@ -47,6 +47,14 @@ def test_streaming_over_spaces_gives_the_same_ids(model, library):
         assert list(model.stream(marked)) == library.encode(text)
 
 
+def test_long_runs_without_spaces(model, library):
+    rng = random.Random(9)
+    for letters in ("ab", "aehinorst", "aehinorstdlcumé日\n", "=-_.", "0123456789"):
+        for _ in range(20):
+            text = "".join(rng.choice(letters) for _ in range(900))
+            assert model.encode(text) == library.encode(text)
+
+
 def test_ids_are_committed_early(model):
     taken = 0
 
@@ -66,6 +74,7 @@ def test_unigram_path_has_the_best_score(model):
     model = pieces.PieceModel(MODEL)
     model.bpe = False
     model.scores = {p: -rng.uniform(1, 12) for p in model.ids}
+    model.unknown_score = -30.0
 
     def best(text):
         scores = [(0.0, ())]
