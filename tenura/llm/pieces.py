@@ -73,14 +73,35 @@ class PieceModel:
         for chunk in self._chunks.findall(marked):
             ids = spans.get(chunk)
             if ids is None:
-                ids = tuple(self.stream(chunk))
-                if len(chunk) <= 64:
-                    if len(spans) >= _REMEMBERED:
-                        spans.clear()
-                    spans[chunk] = ids
+                if len(chunk) > 64:
+                    out.extend(self.stream(chunk))
+                    continue
+                ids = tuple(self._short(chunk) if self.bpe else self.stream(chunk))
+                if len(spans) >= _REMEMBERED:
+                    spans.clear()
+                spans[chunk] = ids
             out.extend(ids)
         return out
 
+    def _short(self, text: str) -> Iterator[int]:
+        """Ids of a short span: the search of ``stream`` for merges, without commits on the way."""
+        known, pairs, longest = self.ids, self._pairs, self.longest
+        back = [0]
+        for end in range(1, len(text) + 1):
+            for begin in range(end - longest if end > longest else 0, end):
+                piece = text[begin:end]
+                if piece in known:
+                    left = text[back[begin]:begin]
+                    fits = pairs.get((left, piece))
+                    if fits is None:
+                        fits = self._follows(left, piece)
+                    if fits:
+                        break
+            else:
+                begin = end - 1
+            back.append(begin)
+        return self._commit(text, back, len(text))
+
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
         """Ids of a stream of characters, each as soon as it is final."""
         longest = self.longest
