@@ -39,7 +39,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the divergence verdict of all documents."""
-    return quality.judge(table(spark, sf_dir, "documents")).drop("lang")
+    found = quality.judge(table(spark, sf_dir, "documents")).drop("lang")
+    return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +122,77 @@ k_{level} AS (SELECT CASE WHEN sum(extra) IS NULL OR sum(extra) <= 0 OR sum(over
         SELECT sum(good) AS g, sum(n) AS t, count(*) AS c, sum(n * n) AS sq,
             sum(good * good / n) AS gg FROM {level}s WHERE n > 0 GROUP BY {parent})))"""
 
+_COMMON = "[" + ", ".join(f"'{w}'" for w in quality.VOCABULARY) + "]"
+_CLASS_COUNTS = ", ".join(
+    f"length(regexp_replace(text, '{pattern}', '', 'g'))" for pattern in (
+        "[^A-Z]+", "[\\x00-\\x7F]+|\\P{L}+", "[^0-9]+", "[^\\x20\\x09-\\x0D]+",
+        "[^.,;:!?''\"()\\-]+", "[^#*$%&|<>]+",
+        "[A-Za-z\\p{L}0-9\\x20\\x09-\\x0D.,;:!?''\"()\\-#*$%&|<>]+"))
+
+
+def _js(p: str, q: str) -> str:
+    """Jensen-Shannon distance of two lists."""
+    def part(a: str, b: str) -> str:
+        return f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+
+    terms = f"{part(f'{p}[i]', f'{q}[i]')} + {part(f'{q}[i]', f'{p}[i]')}"
+    return (f"sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), "
+            f"lambda i: {terms})) / 2, 0))")
+
+
+def _quality_round(n: int) -> str:
+    """References from what round n - 1 keeps, and the verdicts by them."""
+    means = ", ".join(
+        f"(SELECT list(m ORDER BY i) FROM (SELECT i, avg({c}[i]) AS m FROM fit{n} f, "
+        f"range(1, {size} + 1) t(i) WHERE f.lang = l.lang GROUP BY i)) AS {c}"
+        for c, size in (("p", len(quality.CHAR_CLASSES) + 1), ("q", len(quality.VOCABULARY) + 1)))
+    langs = ", ".join(f"'{x}'" for x in quality.COMMON_WORDS)
+    return f"""
+fit{n} AS (SELECT lang, p, q FROM kept{n - 1} WHERE kept AND lang IN ({langs}) AND n_words >= 50
+    AND n_chars >= 200),
+ref{n} AS (SELECT lang, {means} FROM (SELECT DISTINCT lang FROM fit{n}) l),
+far{n} AS (SELECT d.* EXCLUDE (kept, char_distance, word_distance),
+    CASE WHEN n_chars >= 200 THEN {_js("d.p", "r.p")} END AS char_distance,
+    CASE WHEN n_words >= 50 THEN {_js("d.q", "r.q")} END AS word_distance
+    FROM kept{n - 1} d LEFT JOIN ref{n} r ON d.lang = r.lang),
+kept{n} AS (SELECT *, NOT base_failed
+    AND coalesce(char_distance, 0) <= 0.10::DOUBLE + 3.2::DOUBLE / sqrt(n_chars)
+    AND coalesce(word_distance, 0) <= 0.08::DOUBLE + 1.9::DOUBLE / sqrt(n_words) AS kept
+    FROM far{n})"""
+
+
 SQL: dict[str, str] = {
+    "op2_quality": f"""
+WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+        lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+        lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM texts)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM windows),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 8) t(k)
+    WHERE twice.n > 1 GROUP BY doc_id),
+counted AS (SELECT t.doc_id, lang, len(w)::BIGINT AS n_words, length(text) AS n_chars,
+    [{_CLASS_COUNTS}] AS c, coalesce(covered.n, 0) AS n_repeat_words,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    list_filter(list_transform(w, lambda x: lower(x)), lambda x: x IN {_COMMON}) AS f
+    FROM texts t LEFT JOIN covered USING (doc_id)),
+shaped AS (SELECT *, n_chars - c[4] AS word_chars, c[6] AS n_symbols,
+    list_append(c, n_chars - list_sum(c)::BIGINT) AS chars,
+    list_append(list_transform({_COMMON}, lambda v: len(list_filter(f, lambda x: x = v))),
+        n_words - len(f)) AS common,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted),
+kept0 AS (SELECT * EXCLUDE (c, f, chars, common), NOT base_failed AS kept,
+    list_transform(chars, lambda x: x / greatest(list_sum(chars), 1)::DOUBLE) AS p,
+    list_transform(common, lambda x: x / greatest(list_sum(common), 1)::DOUBLE) AS q,
+    NULL AS char_distance, NULL AS word_distance FROM shaped),
+{_quality_round(1)},
+{_quality_round(2)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance, kept
+FROM kept2
+""",
     "op4_urls": f"""
 WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://')
         THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+import duckdb
+
 from tenura.llm import quality, queries
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -83,10 +85,21 @@ def test_counts_and_verdicts_match_brute_force(spark, small):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words,
                 r.base_failed) == base
         for a, b in zip((r.char_distance, r.word_distance), far, strict=True):
-            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-6)
         assert r.kept == kept
 
 
+def test_matches_sql(spark, medium):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{medium}/documents.parquet'")
+    cursor = con.execute(queries.SQL["op2_quality"])
+    names = [c[0] for c in cursor.description]
+    df = queries.op2_quality(spark, medium)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(tuple, df.select(*names).collect()), key=lambda r: r[0]) == sorted(
+        cursor.fetchall())
+
+
 def test_labelled_documents(spark, medium):
     labels = spark.read.parquet(f"{medium}/labels.parquet")
     rows = queries.op2_quality(spark, medium).join(labels, "doc_id").where("not base_failed")
