@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from tenura.operators.reports import headline, metrics_report
 from tenura.plans.workflow import run_all
+from tenura.sources import scratch
 
 
 def main() -> None:
@@ -19,6 +20,7 @@ def main() -> None:
     spark = SparkSession.builder.appName("tenura").getOrCreate()
     run = run_all(spark, args.customers, args.usage, args.out)
     headline(metrics_report(run.report)).show(truncate=False, vertical=True)
+    scratch.clear(spark)
     spark.stop()
 
 

@@ -5,7 +5,7 @@ import pytest
 from tenura import schema
 from tenura.operators import models
 from tenura.plans import workflow
-from tenura.sources import artifacts, binding, sinks, tables
+from tenura.sources import artifacts, binding, scratch, sinks, tables
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +51,16 @@ def test_broken_tables_are_refused(spark, stored, tmp_path):
     sinks.write_table(twice, path)
     with pytest.raises(ValueError, match="unique key"):
         workflow.run_all(spark, path, stored[1], str(tmp_path / "out"))
+
+
+def test_scratch_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "scratch_dir", lambda _: str(tmp_path))
+    stored = scratch.materialize(spark.range(10), "numbers")
+    assert stored.count() == 10
+    kept = f"{tmp_path}/other"
+    spark.range(1).write.parquet(kept)
+    scratch.clear(spark)
+    assert spark.read.parquet(kept).count() == 1
+    with pytest.raises(Exception, match="does not exist|not found|FileNotFound"):
+        spark.range(0).unionByName(stored).collect()
+    assert scratch.materialize(spark.range(3), "numbers").count() == 3
