@@ -57,6 +57,7 @@ class PieceModel:
         self.split_at_spaces = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self._spans: dict[str, tuple[int, ...]] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
+        self._id_pairs: dict[int, bool] = {}
         self._chunks = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
     # -------------------------------------------------------------------------- encoding
@@ -83,24 +84,49 @@ class PieceModel:
             out.extend(ids)
         return out
 
-    def _short(self, text: str) -> Iterator[int]:
-        """Ids of a short span: the search of ``stream`` for merges, without commits on the way."""
-        known, pairs, longest = self.ids, self._pairs, self.longest
-        back = [0]
+    def _short(self, text: str) -> list[int]:
+        """Ids of a short span: the search of ``stream`` for merges, without commits on the way.
+
+        ``last`` holds the id of the last piece for each boundary, -1 for a character outside the
+        vocabulary and at the start.
+        """
+        get, pairs, longest = self.ids.get, self._id_pairs, self.longest
+        back, last = [0], [-1]
         for end in range(1, len(text) + 1):
             for begin in range(end - longest if end > longest else 0, end):
-                piece = text[begin:end]
-                if piece in known:
-                    left = text[back[begin]:begin]
-                    fits = pairs.get((left, piece))
-                    if fits is None:
-                        fits = self._follows(left, piece)
-                    if fits:
-                        break
+                right = get(text[begin:end])
+                if right is None:
+                    continue
+                left = last[begin]
+                fits = pairs.get(left << 32 | right)
+                if fits is None:
+                    before = text[back[begin]:begin] if left >= 0 else ""
+                    piece = text[begin:end]
+                    fits = self._merged(before + piece) == ([before, piece] if before else [piece])
+                    pairs[left << 32 | right] = fits
+                if fits:
+                    break
             else:
-                begin = end - 1
+                begin, right = end - 1, -1
             back.append(begin)
-        return self._commit(text, back, len(text))
+            last.append(right)
+        if len(pairs) > _REMEMBERED:
+            pairs.clear()
+        out, at = [], len(text)
+        while at:
+            if last[at] >= 0:
+                out.append(last[at])
+            else:
+                out.extend(reversed(self._spelled(text[back[at]:at])))
+            at = back[at]
+        out.reverse()
+        return out
+
+    def _spelled(self, char: str) -> list[int]:
+        """Ids of a character outside the vocabulary."""
+        if not self.bytes:
+            return [self.unknown]
+        return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
 
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
         """Ids of a stream of characters, each as soon as it is final."""
@@ -163,25 +189,23 @@ class PieceModel:
             found = self.ids.get(piece)
             if found is not None:
                 yield found
-            elif self.bytes:
-                for byte in piece.encode("utf-8", "surrogatepass"):
-                    yield self.bytes[byte]
             else:
-                yield self.unknown
+                yield from self._spelled(piece)
 
     # -------------------------------------------------------------------------- merges
 
     def _merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging the best-scored neighbours, leftmost first."""
-        parts, ids, scores = list(text), self.ids, self.scores
-        while len(parts) > 1:
-            pairs = [(-scores[p], i) for i in range(len(parts) - 1)
-                     if (p := parts[i] + parts[i + 1]) in ids]
-            if not pairs:
-                break
-            i = min(pairs)[1]
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        parts, get = list(text), self.scores.get
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                score = get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if at < 0:
+                return parts
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
     def _follows(self, left: str, right: str) -> bool:
         key = (left, right)
