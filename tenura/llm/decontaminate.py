@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenura.llm import shingling
+from tenura.llm.joins import checked_side
 from tenura.sources.scratch import materialize
 
 
@@ -198,5 +199,5 @@ def leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules(),
 
 def drop_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
     """The rows of ``docs`` that contain no item, columns unchanged; rows without an id stay."""
-    gone = leaks(docs, items, rules).select("doc_id").distinct()
+    gone = checked_side(leaks(docs, items, rules).select("doc_id").distinct(), "leaks-gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura.llm import text as tx
+from tenura.llm.joins import checked_side
 from tenura.sources.scratch import materialize
 
 # Frequent function words of each language with a reference.
@@ -206,5 +207,5 @@ def keep_good(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id"
     Rows that share an id, or have none, stay only if all of them are kept.
     """
     gone = judge(docs, limits, id_col, text_col, lang_col).where("not kept")
-    gone = gone.select(F.col(id_col).alias("__gone")).distinct()
+    gone = checked_side(gone.select(F.col(id_col).alias("__gone")).distinct(), "rejected")
     return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")

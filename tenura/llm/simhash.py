@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura.llm.components import connected_components
+from tenura.llm.joins import checked_side
 from tenura.sources.scratch import materialize
 
 SEED = 42
@@ -218,4 +219,5 @@ def one_per_group(docs: DataFrame, **options) -> DataFrame:
     """
     groups = near_duplicates(docs.select("doc_id", "text"), **options)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = checked_side(gone, "near-duplicates-gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
