@@ -50,6 +50,9 @@ class PieceModel:
                 self.ids[piece] = i
                 self.scores[piece] = source.get_score(i)
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self._high = {i for b, i in self.bytes.items() if b > 127}
+        self._texts = [chr(self.byte_of.get(i, 0)) if self.byte_of.get(i, 128) < 128 else p
+                       for i, p in enumerate(self.pieces)]
         self.longest = max(map(len, self.ids), default=1)
         self.unknown_score = min(self.scores.values(), default=0.0) - 10.0
         self.bpe = _model_type(source.serialized_model_proto()) == _BPE
@@ -221,6 +224,10 @@ class PieceModel:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids. Byte pieces that are no valid UTF-8 become replacement characters."""
+        ids = list(ids)
+        if self._high.isdisjoint(ids):  # every piece is a text of its own
+            texts = self._texts
+            return "".join([texts[i] for i in ids]).replace(SPACE, " ").removeprefix(" ")
         pieces, byte_of = self.pieces, self.byte_of
         out, raw = [], bytearray()
         for i in ids:
