@@ -83,7 +83,8 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with repeated lines taken out."""
-    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                             lines.LineRules())
 
 
 def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
