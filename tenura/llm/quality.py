@@ -204,8 +204,12 @@ def keep_good(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id"
               text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, columns unchanged.
 
-    Rows that share an id, or have none, stay only if all of them are kept.
+    Every row is decided by itself: a verdict follows from text and language, so these are the key,
+    the text as a 64-bit hash, and rows that share an id or have none don't matter to each other.
     """
-    gone = judge(docs, limits, id_col, text_col, lang_col).where("not kept")
-    gone = checked_side(gone.select(F.col(id_col).alias("__gone")).distinct(), "rejected")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    keyed = docs.withColumn("__row", F.xxhash64(text_col))
+    gone = judge(keyed, limits, "__row", text_col, lang_col).where("not kept")
+    gone = gone.select(F.col("__row").alias("__gone"), F.col("lang").alias("__lang")).distinct()
+    gone = checked_side(gone, "rejected")
+    same = (F.col("__row") == F.col("__gone")) & keyed[lang_col].eqNullSafe(F.col("__lang"))
+    return keyed.join(gone, same, "left_anti").select(*docs.columns)

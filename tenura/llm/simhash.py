@@ -212,12 +212,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its near-duplicate group, columns unchanged.
-
-    Of rows that share an id all stay or all go; rows without an id stay.
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
+                  cell_limit: int = CELL_LIMIT) -> DataFrame:
+    """One row of each near-duplicate group of ``docs``, columns unchanged.
+
+    The row with the least id stays, of rows that share it the one with the least hash of its text,
+    and one of those that have the same id and text. A row without an id stays where its group has
+    no row with one.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), **options)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    gone = checked_side(gone, "near-duplicates-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("__row", F.xxhash64(text_col))
+    prints = fingerprints(keyed, "__row", text_col, size).distinct()
+    prints = materialize(prints.withColumnRenamed("id", "row"), "fingerprints")
+    # Groups are named by their least fingerprint: ids may be null or stand in several groups.
+    reps = materialize(prints.select("fp", F.col("fp").alias("rep")).distinct(), "representatives")
+    found = connected_components(links(reps, max_bits, cell_limit), "near-duplicates")
+    classes = reps.join(found, reps.rep == found.node, "left").select(
+        "fp", F.coalesce("component", "rep").alias("part"))
+    parts = prints.join(classes, "fp").select("row", "part")
+    rows = keyed.groupBy(F.col(id_col).alias("id"), F.col("__row").alias("row")).agg(
+        F.count("*").alias("n"))
+    rows = materialize(rows.join(parts, "row").select(
+        "part", "n", F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("k")),
+        "near-duplicate-rows")
+    first = rows.groupBy("part").agg(F.min("k").alias("first"))
+    rows = rows.join(first, "part")
+
+    def keys(chosen: DataFrame, name: str) -> DataFrame:
+        return checked_side(chosen.select(F.col("k.id").alias("__id"),
+                                          F.col("k.row").alias("__key")), name)
+
+    gone = keys(rows.where("k <> first"), "near-duplicates-gone")
+    twice = keys(rows.where("k = first and n > 1"), "near-duplicates-equal")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key"))
+    kept = keyed.join(gone, same, "left_anti")
+    copies = kept.join(twice, same, "left_semi").dropDuplicates([id_col, "__row"])
+    return kept.join(twice, same, "left_anti").unionByName(copies).select(*docs.columns)
