@@ -3,24 +3,27 @@
 A document has features x of its text and a worth w.x; document a is preferred to b with probability
 1 / (1 + exp(-w.(x_a - x_b))). The weights are fitted by logistic loss on the feature differences of
 pairs of a good and a bad labelled document, so nothing but the order of scores is learned. The
-threshold is a quantile of the worths of the training documents: the one that as many of them exceed
-as are labelled good. Worths are then shifted so that this quantile scores ``threshold``.
+threshold is a quantile of the worths of all training documents, computed exactly by Spark: the one
+that as many of them exceed as are labelled good. Worths are then shifted so that this quantile
+scores ``threshold``.
 
-Features are computed where the texts are, for all documents. The fit uses a sample of labelled
-documents whose size is bounded by ``Training.sample`` per class, whatever the size of the corpus.
+Features are computed where the texts are, for all documents. Only the weights come from a sample:
+labelled documents that differ in id or features, ``Training.sample`` per class, whatever the size of
+the corpus and however many rows share an id.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenura.operators.ordering import ordered_prefix
 from tenura.sources.scratch import materialize
 
 # Frequent short words of several languages.
@@ -149,6 +152,25 @@ def fit(good: np.ndarray, bad: np.ndarray, share: float, training: Training) ->
     return Ranker(center, scale, weights, cut, training.threshold)
 
 
+def _worth(ranker: Ranker) -> Column:
+    """Worth of the column ``x``."""
+    center, scale = ranker.center.tolist(), ranker.scale.tolist()
+    worth = F.lit(0.0)
+    for i, w in enumerate(ranker.weights.tolist()):
+        z = (F.col("x")[i] - F.lit(center[i])) / F.lit(scale[i])
+        worth = worth + F.greatest(F.least(z, F.lit(6.0)), F.lit(-6.0)) * F.lit(w)
+    return worth
+
+
+def _exact_cut(labelled: DataFrame, ranker: Ranker, below: int) -> float:
+    """The worth that ``below`` of the rows of ``labelled`` (x, n rows each) do not exceed."""
+    worths = labelled.select(F.lit(0).alias("all"), _worth(ranker).alias("worth"), "n")
+    order = ordered_prefix(worths, ["all"], "worth", {"rows": "n"})
+    spot = order.where((F.col("before_rows") < below)
+                       & (F.col("before_rows") + F.col("rows") >= below))
+    return spot.first()["worth"]
+
+
 def score(docs: DataFrame, labels: DataFrame, training: Training = Training(),
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, worth, predicted) per row of ``docs``.
@@ -162,30 +184,29 @@ def score(docs: DataFrame, labels: DataFrame, training: Training = Training(),
     known = labels.toDF("id", "good").where("id is not null and good is not null")
     known = known.groupBy("id").agg(F.min("good").alias("good"))
     known = known.where(~held_out(F.col("id")))
-    sizes = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count("*").alias("n"))
-             .collect()}
+    featured = materialize(_featured(rows), "document-features")
+    labelled = featured.select("id", "x").join(known, "id").groupBy("id", "good", "x").agg(
+        F.count("*").alias("n"))
+    labelled = materialize(labelled, "labelled-features")
+    sizes = {r["good"]: r for r in labelled.groupBy("good").agg(
+        F.count("*").alias("n"), F.sum("n").alias("rows")).collect()}
     # A hash decides who is in the sample, so that its size is bounded for any number of labels.
     kept = F.lit(False)
-    for good, n in sizes.items():
-        rate = min(1.0, training.sample / n)
+    for good, r in sizes.items():
+        rate = min(1.0, training.sample / r["n"])
         kept = kept | ((F.col("good") == good)
-                       & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000)))
-    featured = materialize(_featured(rows), "document-features")
-    sample = featured.select("id", "x").join(known.where(kept), "id").select("good", "x").orderBy(
-        "good", "x").collect()
+                       & (F.pmod(F.xxhash64("id", "x"), F.lit(1_000_000)) < int(rate * 1_000_000)))
+    sample = labelled.where(kept).select("good", "x").orderBy("good", "x").collect()
     x = {k: np.array([r["x"] for r in sample if r["good"] == k], float).reshape(-1, len(FEATURES))
          for k in (0, 1)}
-    total = sum(sizes.values())
-    ranker = fit(x[1], x[0], sizes.get(1, 0) / total if total else 0.5, training)
+    good, bad = (sizes[k]["rows"] if k in sizes else 0 for k in (1, 0))
+    ranker = fit(x[1], x[0], good / (good + bad) if good + bad else 0.5, training)
+    if len(x[1]) and len(x[0]):
+        ranker = replace(ranker, cut=_exact_cut(labelled, ranker, bad))
 
-    center, scale = ranker.center.tolist(), ranker.scale.tolist()
-    worth = F.lit(0.0)
-    for i, w in enumerate(ranker.weights.tolist()):
-        z = (F.col("x")[i] - F.lit(center[i])) / F.lit(scale[i])
-        worth = worth + F.greatest(F.least(z, F.lit(6.0)), F.lit(-6.0)) * F.lit(w)
     shift = float(np.log(training.threshold / (1 - training.threshold)))
-    out = featured.withColumn("worth", worth)
+    out = featured.withColumn("worth", _worth(ranker))
     out = out.withColumn("score", 1 / (1 + F.exp(-(F.col("worth") - ranker.cut + shift))))
     return out.select(F.col("id").alias(id_col), "held_out", "score", "worth",
-                      F.when(F.col("score") >= training.threshold, 1).otherwise(0)
+                      F.when(F.col("worth") >= ranker.cut, 1).otherwise(0)
                       .alias("predicted"))

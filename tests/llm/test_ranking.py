@@ -60,3 +60,36 @@ def test_edge_rows(spark):
         assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
         assert len({r.score for r in got if r.doc_id in (1, 2, 3)}) == 1
     assert ranking.score(docs.limit(0), labels).count() == 0
+
+
+def labelled_rows(spark, n):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join("".join(rng.choice(list("abcde#9"), rng.integers(1, 9)))
+                         for _ in range(rng.integers(5, 40))), int(rng.random() < 0.3))
+            for i in range(n)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, good int")
+    return data.select("doc_id", "text"), data.select("doc_id", "good")
+
+
+def test_threshold_covers_all_labelled_documents(spark):
+    docs, labels = labelled_rows(spark, 800)
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0"))
+    for training in (ranking.Training(), ranking.Training(sample=40)):
+        got = ranking.score(docs, labels, training).where("not held_out").join(
+            labels, "doc_id").toPandas()
+        cut = np.sort(got.worth.values)[(got.good == 0).sum() - 1]
+        assert (got.predicted == (got.worth >= cut)).all()
+        at = got.score[got.worth == cut]
+        assert np.allclose(at, training.threshold, atol=1e-9)
+
+
+def test_sample_is_bounded_where_rows_share_an_id(spark, monkeypatch):
+    docs, labels = labelled_rows(spark, 400)
+    docs = docs.selectExpr("CASE WHEN doc_id < 300 THEN doc_id % 5 ELSE doc_id END AS doc_id", "text")
+    docs = docs.unionByName(docs)
+    seen, fit = [], ranking.fit
+    monkeypatch.setattr(ranking, "fit", lambda good, bad, *a: seen.extend(
+        (len(good), len(bad))) or fit(good, bad, *a))
+    ranking.score(docs, labels.replace({1: 0}, subset="good").where("doc_id < 5").unionByName(
+        labels.where("doc_id >= 350")), ranking.Training(sample=50)).count()
+    assert 0 < max(seen) <= 80
