@@ -24,12 +24,19 @@ FIRST_DAY, DATE_SPLIT = "1900-01-01", (271, 270)
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9][A-Za-z0-9.\-]*\.[A-Za-z]{2,}"
 IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 PHONE = r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}"
-US_PHONE = r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}"
+US_PHONE = (r"(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}"
+            r"|[0-9]{3}\.[0-9]{3}\.[0-9]{4})")
+PAIRS = (r"(?:\+[0-9]{1,3}[ .\-]?(?:\(0\) ?)?[0-9]{1,4}(?:[ .\-][0-9]{2}){3,5}"
+         r"|0[0-9](?:[ .\-][0-9]{2}){4})")
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}"
 CARD = r"[0-9](?:[ \-]?[0-9]){12,18}"
-_EDGE = r"(?<![A-Za-z0-9@.+])", r"(?![A-Za-z0-9@]|[.\-][0-9])"
-PATTERN = (f"{_EDGE[0]}(?:{EMAIL}|{IP}|{PHONE}|{US_PHONE}|{DATE}|{IBAN}|{CARD}){_EDGE[1]}")
+# A full stop before a match is the end of a number's part, unless it ends a word ("No.4111...").
+_EDGE = r"(?<![A-Za-z0-9@+])(?<!(?:^|[^A-Za-z])\.)", r"(?![A-Za-z0-9@]|[.\-][0-9])"
+PATTERN = (f"{_EDGE[0]}(?:{EMAIL}|{IP}|{PAIRS}|{PHONE}|{US_PHONE}|{DATE}|{IBAN}|{CARD})"
+           f"{_EDGE[1]}")
+# Written into a text behind the valid part of a match; _MARK of the text itself gets _OWN.
+_MARK, _OWN, _CUT = "\uFDD0", "\uFDD1", "\uFDD2"
 
 
 def _keyed(key: str, tweak: Column, turn: Column, value: Column) -> Column:
@@ -158,19 +165,31 @@ def _phone(m: Column, key: str, back: bool) -> Column:
         rest, _string(_digits(rest), 10, key, "phone", back), "0-9")))
 
 
+def _is_card(m: Column) -> Column:
+    digits = _digits(m)
+    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    return _luhn(body) == F.substring(digits, -1, 1)
+
+
 def _card(m: Column, key: str, back: bool) -> Column:
     digits = _digits(m)
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    valid = _luhn(body) == F.substring(digits, -1, 1)
+    valid = _is_card(m)
     out = _let(_string(body, 10, key, "card", back), lambda b: F.concat(b, _luhn(b)))
     return F.when(valid, _refill(m, out, "0-9"))
 
 
-def _iban(m: Column, key: str, back: bool) -> Column:
+def _is_iban(m: Column) -> Column:
     plain = F.regexp_replace(m, " ", "")
     land, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
-    valid = (_mod97(F.concat(body, land, F.substring(plain, 3, 2))) == 1) & (
+    return (_mod97(F.concat(body, land, F.substring(plain, 3, 2))) == 1) & (
         F.length(plain).between(15, 34))
+
+
+def _iban(m: Column, key: str, back: bool) -> Column:
+    plain = F.regexp_replace(m, " ", "")
+    land, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+    valid = _is_iban(m)
     digits = _digits(body)
 
     def whole(b: Column) -> Column:
@@ -181,25 +200,52 @@ def _iban(m: Column, key: str, back: bool) -> Column:
     return F.when(valid, _refill(m, _let(new, whole), "A-Z0-9"))
 
 
+def _month_first(day: Column, key: str, back: bool) -> Column:
+    """Pseudonym of a date behind the 12th of a month, again one behind a 12th: it can't be read with
+    the day first, so the way back knows it. A day that its month doesn't have is moved on."""
+    def day_of(s: Column) -> Column:
+        first = F.make_date((F.lit(1900) + F.floor(s["l"] / 12)).cast("int"),
+                            (s["l"] % 12 + 1).cast("int"), F.lit(1))
+        return _let(first, lambda d: F.when(s["r"] + 13 <= F.dayofmonth(F.last_day(d)),
+                                            F.date_add(d, (s["r"] + 12).cast("int"))))
+
+    def step(s: Column, _: Column) -> Column:
+        return F.when((s["n"] > 0) & day_of(s).isNotNull(), s).otherwise(_let(
+            feistel(s["l"], s["r"], (F.lit(2400), F.lit(19)), key, F.lit("month first"), back),
+            lambda x: F.struct(x["l"].alias("l"), x["r"].alias("r"), (s["n"] + 1).alias("n"))))
+
+    start = F.struct(((F.year(day) - 1900) * 12 + F.month(day) - 1).cast("long").alias("l"),
+                     (F.dayofmonth(day) - 13).cast("long").alias("r"), F.lit(0).alias("n"))
+    # Three in a hundred pairs are no day; twelve steps in a row don't end on one.
+    return _let(F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, step), day_of)
+
+
 def _date(m: Column, key: str, back: bool) -> Column:
     iso = m.rlike("^[0-9]{4}-")
     mark = F.when(m.contains("."), ".").otherwise("/")
     parts = F.split(m, r"[./\-]")
-    text = F.when(iso, m).otherwise(F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"),
-                                                F.lpad(parts[0], 2, "0")))
+    pad = [F.lpad(p, 2, "0") for p in (parts[0], parts[1])]
+    text = F.when(iso, m).otherwise(F.concat_ws("-", parts[2], pad[1], pad[0]))
     day = F.try_to_date(text, "yyyy-MM-dd")
+    other = F.when(~iso, F.try_to_date(F.concat_ws("-", parts[2], *pad), "yyyy-MM-dd"))
     index = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     a, b = DATE_SPLIT
     moved = feistel(F.floor(index / b), index % b, (F.lit(a), F.lit(b)), key, F.lit("date"), back)
     new = F.date_add(F.lit(FIRST_DAY).cast("date"),
                      _let(moved, lambda x: (x["l"] * b + x["r"]).cast("int")))
-    out = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat_ws(
-        "", F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark,
-        F.date_format(new, "yyyy")))
-    return F.when(day.isNotNull() & index.between(0, a * b - 1), out)
 
+    def spelled(d: Column, *order: str) -> Column:
+        return F.concat_ws("", F.date_format(d, order[0]), mark, F.date_format(d, order[1]), mark,
+                           F.date_format(d, "yyyy"))
 
-_KINDS = ((EMAIL, _email), (IP, _ip), (PHONE, _phone), (US_PHONE, _phone), (DATE, _date),
+    out = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(spelled(new, "dd", "MM"))
+    month_first = _let(_month_first(other, key, back), lambda d: spelled(d, "MM", "dd"))
+    return F.when(day.isNotNull() & index.between(0, a * b - 1), out).when(
+        day.isNull() & F.year(other).between(1900, 2099), month_first)
+
+
+# Later patterns stand back where an earlier one matches as well.
+_KINDS = ((EMAIL, _email), (IP, _ip), (PAIRS, _phone), (PHONE, _phone), (US_PHONE, _phone), (DATE, _date),
           (IBAN, _iban), (CARD, _card))
 
 
@@ -211,22 +257,58 @@ def pseudonym(match: Column, key: str, back: bool = False) -> Column:
     return out
 
 
+def _part(m: Column) -> Column:
+    """The longest part of a match before a separator that is a card number or an IBAN where the
+    whole match is neither; null if there is none."""
+    def valid(p: Column) -> Column:
+        return F.when(p.rlike(f"^(?:{IBAN})$"), _is_iban(p)).when(
+            p.rlike(f"^(?:{CARD})$"), _is_card(p)).otherwise(F.lit(False))
+
+    ends = F.filter(F.sequence(F.length(m) - 1, F.lit(1), F.lit(-1)),
+                    lambda i: F.substring(m, i + 1, F.lit(1)).isin(" ", "-"))
+    parts = F.filter(F.transform(ends, lambda i: F.substring(m, F.lit(1), i)), valid)
+    return F.when(m.rlike(f"^(?:{IBAN}|{CARD})$") & ~m.rlike(f"^(?:{PAIRS}|{PHONE}|{US_PHONE})$")
+                  & m.rlike("[ -]") & ~valid(m), F.get(parts, F.lit(0)))
+
+
+def _cut(text: Column) -> Column:
+    """``text`` with a mark behind the valid part of every match that goes on behind it, so that the
+    part and what follows are found on their own; null where there is none."""
+    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    parts = F.transform(found, _part)
+    filled = F.concat(F.zip_with(found, parts, lambda m, p: F.coalesce(F.concat(
+        p, F.lit(_MARK + _CUT), F.substring(m, F.length(p) + 1, F.length(m))), m)),
+        F.array(F.lit("")))
+    between = F.split(text, PATTERN)
+    whole = F.array_join(F.zip_with(between, filled, lambda a, b: F.concat(a, b)), "")
+    return F.when(F.exists(parts, lambda p: p.isNotNull()), whole)
+
+
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", back: bool = False,
                  found_col: str = "n_replaced") -> DataFrame:
     """``docs`` with personal data replaced in ``text_col`` and the number of replacements added.
 
+    A card number or an IBAN that other digits or capitals follow ("4111 ... 1111 123") is replaced
+    and these stay. There the way back is not always sure: with the pseudonym the whole may be valid
+    by chance (a card number in about one of ten places where an odd number of digits follows).
+
     Nulls and texts without personal data stay as they are, and so do matches that are not valid
     (a card number with a wrong check digit, an address above 255, the 31st of June). ``back``
     with the same key restores the original values, but for capitals in e-mail addresses and
     leading zeros of days and months. A column that has the name ``found_col`` gives way to it.
     """
-    rows = docs.withColumn("__m", F.regexp_extract_all(text_col, F.lit(PATTERN), F.lit(0)))
+    own = F.replace(F.col(text_col), F.lit(_MARK), F.lit(_MARK + _OWN))
+    rows = docs.withColumn("__cut", _cut(own))
+    source = F.coalesce("__cut", F.col(text_col))
+    rows = rows.withColumn("__m", F.regexp_extract_all(source, F.lit(PATTERN), F.lit(0)))
     rows = rows.withColumn("__p", F.when(F.size("__m") > 0, F.transform(
         "__m", lambda m: pseudonym(m, key, back))))
-    between = F.split(text_col, PATTERN)
+    between = F.split(source, PATTERN)
     filled = F.concat(F.zip_with("__p", "__m", lambda p, m: F.coalesce(p, m)),
                       F.array(F.lit("")))
     text = F.array_join(F.zip_with(between, filled, lambda a, b: F.concat(a, b)), "")
+    text = F.when(F.col("__cut").isNull(), text).otherwise(F.replace(F.replace(
+        text, F.lit(_MARK + _CUT), F.lit("")), F.lit(_MARK + _OWN), F.lit(_MARK)))
     count = F.size(F.filter("__p", lambda p: p.isNotNull()))
     return rows.select(
         *[F.when(F.col("__p").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col

@@ -100,3 +100,38 @@ def test_edge_rows(spark):
     got = pii.pseudonymize(rows, KEY)
     assert got.columns == ["doc_id", "text", "m", "n_replaced"] and got.count() == 3
     assert pii.pseudonymize(rows.limit(0), KEY).count() == 0
+
+
+CARD_NO, IBAN_NO = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+INSIDE = [(f"{CARD_NO} 123", CARD_NO), ("4111111111111111 12/27", "4111111111111111"),
+          ("4111-1111-1111-1111 7", "4111-1111-1111-1111"), (f"{IBAN_NO} EUR 500", IBAN_NO),
+          ("BE68539007547034 EUR 500", "BE68539007547034"), (f"{IBAN_NO} PAID INTO", IBAN_NO),
+          ("No.4111111111111111", "4111111111111111"), ("12/25/2020", "12/25/2020"),
+          ("due 2.29.2024!", "2.29.2024"), ("+33 1 23 45 67 89", "1 23 45 67 89"),
+          ("01 23 45 67 89", "01 23 45 67 89"), ("212-555-0123", "212-555-0123"),
+          ("﷐﷒ 4111111111111111 12", "4111111111111111")]
+
+
+def test_valid_data_before_and_behind_other_characters(spark):
+    got = run(spark, [t for t, _ in INSIDE])
+    alone = dict(run(spark, [CARD_NO, IBAN_NO, "4111111111111111"]))
+    for (old, value), (new, n) in zip(INSIDE, got, strict=True):
+        begin, end = old.split(value)
+        assert n == 1 and value not in new, old
+        assert new.startswith(begin) and new.endswith(end), (old, new)
+        part = new[len(begin):len(new) - len(end)]
+        if "." not in value:
+            assert re.sub("[0-9]", "0", part) == re.sub("[0-9]", "0", value)
+        if value in (CARD_NO, IBAN_NO, "4111111111111111"):
+            assert part in alone
+    (new, n), = run(spark, [f"4111111111111111 12/05/2020 and {IBAN_NO} EUR 500"])
+    assert n == 3 and "12/05/2020" not in new and new.endswith(" EUR 500")
+
+
+def test_month_first_dates_go_back(spark):
+    days = [datetime.date(1900, 1, 13) + datetime.timedelta(97 * i) for i in range(750)]
+    texts = [f"{d:%m/%d/%Y}" for d in days if d.day > 12]
+    got = [t for t, n in run(spark, texts) if n == 1]
+    assert len(set(got)) == len(texts) > 400
+    assert all(datetime.datetime.strptime(t, "%m/%d/%Y").day > 12 for t in got)
+    assert [t for t, _ in run(spark, got, back=True)] == texts
