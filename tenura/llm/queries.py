@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import chat, decontaminate, hmm, lines, pieces, pii, quality, ranking, simhash, urls
+from tenura.llm import (
+    chat, decontaminate, hmm, lines, pieces, pii, quality, ranking, simhash, spelling,
+    token_counts, urls, whitening,
+)
 
-# The public vocabulary that the query encodes with; operators take the path as a parameter.
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+# The public vocabularies that the queries use; operators take the path as a parameter.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 # The key of the registered query; who keeps pseudonyms secret passes another to the operator.
 PSEUDONYM_KEY = "registered query"
@@ -93,6 +98,21 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
                                table(spark, sf_dir, "benchmark"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and roots of all words of all documents."""
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of all embeddings."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -104,6 +124,9 @@ QUERIES: dict[str, Query] = {
     "op8_pieces": op8_pieces,
     "op9_lines": op9_lines,
     "op10_leaks": op10_leaks,
+    "op11_tokens": op11_tokens,
+    "op12_spelling": op12_spelling,
+    "op13_whitening": op13_whitening,
 }
 
 _LEAK_WORDS = """

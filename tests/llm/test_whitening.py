@@ -1,0 +1,128 @@
+import math
+
+import numpy as np
+import pytest
+
+from tenura.llm import bidiagonal, whitening
+
+
+def brute(rows, k=4):
+    """[(id, vector)] -> {id: (n, deviation, whitened by component up to sign)}, explained."""
+    kept = [(i, v) for i, v in rows
+            if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    steps = {i: tuple(math.floor(256 * float(np.float32(x))) for x in v) for i, v in kept}
+    fit = sorted(set(steps.values()))
+    n, sums = len(fit), [sum(c) for c in zip(*fit)]
+    centred = np.array(fit, float) - np.array(sums) / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+    out = {i: (n, sum((n * a - s) ** 2 for a, s in zip(x, sums)),
+               (np.array(x) - np.array(sums) / n) @ vectors / np.sqrt(values))
+           for i, x in steps.items()}
+    return out, values / np.trace(centred.T @ centred / n)
+
+
+def compare(got, want, explained, k):
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.vec_id, {})[r.component] = r
+    assert set(by_id) == set(want)
+    signs = {}
+    for i, (n, deviation, white) in want.items():
+        assert sorted(by_id[i]) == list(range(1, k + 1))
+        for c in range(k):
+            r = by_id[i][c + 1]
+            assert (r.n, r.deviation) == (n, deviation)
+            assert r.identity_error <= 1e-9
+            assert abs(r.explained / explained[c] - 1) < 1e-9
+            if c not in signs and abs(white[c]) > 1e-3:
+                signs[c] = math.copysign(1, r.whitened * white[c])
+            assert abs(r.whitened * signs.get(c, 1) - white[c]) < 1e-7
+
+
+def test_embeddings_match_brute_force(spark, small):
+    rows = spark.read.parquet(f"{small}/embeddings.parquet")
+    want, explained = brute([(r.vec_id, r.embedding) for r in rows.collect()])
+    compare(whitening.whiten(rows).collect(), want, explained, 4)
+
+
+def test_many_parts_are_reduced_in_groups(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, [float(x) for x in rng.normal(size=6) * [9, 5, 3, 2, 1, 1]]) for i in range(400)]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(70)
+    want, explained = brute([(i, [np.float64(x) for x in v]) for i, v in data])
+    got = whitening.whiten(rows).collect()
+    assert len(got) == 1600
+    assert {r.component: round(r.explained, 2) for r in got} == {
+        c + 1: round(float(explained[c]), 2) for c in range(4)}
+    assert max(r.identity_error for r in got) < 1e-9
+
+
+def test_edge_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 2.0], 7), (1, [1.0, 2.0], 8), (None, [3.0, -1.0], 9), (4, None, 0),
+            (5, [nan, 1.0], 0), (6, [inf, 1.0], 0), (7, [None, 1.0], 0), (8, [], 0),
+            (9, [1.0, 2.0, 3.0], 0), (10, [0.0, 0.5], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n long")
+    got = whitening.whiten(df).collect()
+    assert sorted((r.vec_id or 0, r.component) for r in got) == [
+        (0, 1), (0, 2), (1, 1), (1, 1), (1, 2), (1, 2), (10, 1), (10, 2)]
+    assert {r.n for r in got} == {3}
+    want, explained = brute([(1, [1.0, 2.0]), (0, [3.0, -1.0]), (10, [0.0, 0.5])], 2)
+    assert {r.vec_id or 0: r.deviation for r in got} == {i: w[1] for i, w in want.items()}
+    same = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(5)], df.schema)
+    for nothing in (same, df.limit(0), df.where("embedding is null")):
+        assert whitening.whiten(nothing).columns == [
+            "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+        assert whitening.whiten(nothing).count() == 0
+
+
+def test_a_hot_vector_counts_once_and_equal_values_have_any_basis(spark):
+    unit = [[1.0 if i == j else 0.0 for j in range(5)] for i in range(5)]
+    both = unit + [[-x for x in v] for v in unit]
+    rows = [(i, v) for i, v in enumerate(both + both[:1] * 200)]
+    got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got.count() == 4 * len(rows)
+    row = got.first()
+    assert row.n == 10 and row.identity_error < 1e-9 and abs(row.explained - 0.2) < 1e-12
+
+
+def test_a_deviation_beyond_a_long_is_null(spark):
+    rows = [(i, [float(i) * 1e9, 1.0]) for i in range(9)]
+    got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r.deviation for r in got.where("vec_id = 8").collect()} == {None}
+    assert {r.deviation for r in got.where("vec_id = 4").collect()} == {0}
+
+
+RNG = np.random.default_rng(1)
+TURN = np.linalg.qr(RNG.normal(size=(30, 30)))[0]
+WILKINSON = (np.diag(np.abs(np.arange(21) - 10.0) + 3) + np.diag(np.ones(20), 1)
+             + np.diag(np.ones(20), -1))
+
+
+@pytest.mark.parametrize("r", [
+    np.linalg.qr(RNG.normal(size=(300, 40)), mode="r"), np.eye(10), np.array([[2.0]]),
+    np.linalg.qr(np.diag([5.0] * 10 + [3.0] * 10 + [1e-3] * 10) @ TURN, mode="r"),
+    np.diag(10.0 ** -np.arange(20)), np.diag(10.0 ** -np.arange(20)[::-1]),
+    np.linalg.cholesky(WILKINSON).T,
+    np.linalg.qr(np.outer(RNG.normal(size=40), RNG.normal(size=12)), mode="r"),
+], ids=["random", "identity", "single", "clusters", "falling", "rising", "wilkinson", "rank one"])
+def test_solver_matches_a_dense_decomposition(r):
+    diagonal, above, reflections = bidiagonal.bidiagonalise(r)
+    values = bidiagonal.dqds_values(diagonal, above)
+    exact = np.linalg.svd(r, compute_uv=False) ** 2
+    assert np.abs(values - exact).max() < 1e-13 * exact[0]
+    top = values[values > 1e-24 * values[0]]
+    found = np.array([bidiagonal.back(z, reflections)
+                      for z in bidiagonal.leading_vectors(diagonal, above, top)])
+    assert np.abs(found @ found.T - np.eye(len(top))).max() < 1e-12
+    assert np.abs(r.T @ r @ found.T - found.T * top).max() < 1e-12 * exact[0]
+
+
+def test_small_values_are_accurate_relative_to_themselves():
+    diagonal, above = 10.0 ** -np.arange(9.0), 0.5 * 10.0 ** -np.arange(8.0)
+    values = bidiagonal.dqds_values(diagonal, above)
+    assert abs(np.prod(values / np.sort(values)[::-1]) - 1) < 1e-15
+    # The product of all values is that of the diagonal, squared.
+    assert abs(np.prod(np.sqrt(values)) / np.prod(diagonal) - 1) < 1e-12
+    assert not bidiagonal.dqds_values(np.zeros(5), np.zeros(4)).any()
