@@ -421,10 +421,14 @@ GAPS = """orders_with_gaps AS (SELECT o_custkey, o_totalprice,
 
 def _fitted() -> dict[str, str]:
     """What must hold of any fitted model, from the tables alone."""
-    learned = "split IN ('train', 'validation')"
-    gradient = [f"SELECT 'num__{c}' AS feature, 0.0::DOUBLE AS gradient" for c in NUMERIC]
-    gradient += [f"SELECT DISTINCT 'cat__{c}_' || {c}, 0.0::DOUBLE FROM features "
-                 f"JOIN parts USING (customer_id) WHERE {learned}" for c in CATEGORICAL]
+    learned = {**{f"cv{k}": f"split = 'train' AND fold <> {k}" for k in range(5)},
+               "train": "split = 'train'", "final": "split IN ('train', 'validation')"}
+    gradient = []
+    for name, rows in learned.items():
+        gradient += [f"SELECT '{name}' AS fit_set, 'num__{c}' AS feature, 0.0::DOUBLE AS gradient"
+                     for c in NUMERIC]
+        gradient += [f"SELECT DISTINCT '{name}', 'cat__{c}_' || {c}, 0.0::DOUBLE FROM features "
+                     f"JOIN parts USING (customer_id) WHERE {rows}" for c in CATEGORICAL]
     return {
         "standardize_constant": f"""WITH {ALL_PARTS}, t AS (
   SELECT avg(tenure_months) AS m, stddev_pop(tenure_months) AS s FROM customers

@@ -1,22 +1,35 @@
-"""Candidate classifiers and their fits."""
+"""Candidate classifiers, fitted for all fit sets together.
+
+A candidate learns from the encoded rows of every fit set in shared passes (``newton``, ``trees``).
+What it leaves are ordinary pyspark.ml models over the ``features`` vector of the preprocessing, so
+scoring, storing and streaming need nothing of their own.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml import Estimator, PipelineModel
+import numpy as np
+from py4j.java_gateway import JavaObject
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, RandomForestClassifier,
+    GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel,
 )
+from pyspark.ml.common import _py2java
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura import fixed_values as fv
-from tenura.operators.preprocess import Preprocessing, to_stages
+from tenura import schema
+from tenura.operators import newton, trees
+from tenura.operators.encoded import Encoded, FillSet, encode
+from tenura.operators.preprocess import Part, Preprocessing, in_parts, to_stages
 
-WEIGHT = "fit_weight"
+Weights = dict[str, tuple[float, float]]
 
 
 def balanced_weights(p: Preprocessing) -> tuple[float, float]:
@@ -30,66 +43,200 @@ def positive_weights(p: Preprocessing) -> tuple[float, float]:
     return 1.0, max(p.negatives, 1) / max(p.positives, 1)
 
 
+@dataclass(frozen=True)
+class Fits:
+    """A candidate's fits: scores of some parts by one set's fit, and that fit as a Spark model."""
+
+    scores: Callable[[str, list[int]], DataFrame]  # key, label, p
+    model: Callable[[str], Model]
+
+
 @dataclass(frozen=True)
 class Candidate:
-    """A named classifier: its class weights and its estimator given the fit set."""
+    """A named classifier: its class weights and how it is fitted."""
 
     name: str
     weights: Callable[[Preprocessing], tuple[float, float]]
-    estimator: Callable[[Preprocessing], Estimator]
+    fit_all: Callable[[Encoded, Weights], Fits]
+
+    def fit_sets(self, rows: Encoded) -> Fits:
+        return self.fit_all(rows, {s: self.weights(f.preprocessing)
+                                   for s, f in rows.sets.items()})
 
 
-def logistic_regression(max_iter: int = 2000, label: str = "churn") -> Candidate:
+def logistic_regression(max_iter: int = 2000) -> Candidate:
     """L2-penalised with unit strength; the penalty leaves the intercept out."""
-    return Candidate(
-        "LogisticRegression", balanced_weights,
-        lambda p: LogisticRegression(
-            labelCol=label, weightCol=WEIGHT, regParam=1.0 / max(p.rows, 1), elasticNetParam=0.0,
-            standardization=False, maxIter=max_iter, tol=1e-8))
 
+    def fit_all(rows: Encoded, weights: Weights) -> Fits:
+        beta = newton.fit(rows, weights, penalty=1.0, max_iter=max_iter)
+        spark = rows.rows.sparkSession
+        return Fits(lambda s, parts: newton.scores(rows, s, beta[s], parts),
+                    lambda s: _logistic_model(spark, beta[s]))
 
-def random_forest(
-    trees: int = 350, depth: int = 12, min_leaf: int = 5, label: str = "churn"
-) -> Candidate:
+    return Candidate("LogisticRegression", balanced_weights, fit_all)
+
+
+def random_forest(trees_: int = 350, depth: int = 12, min_leaf: int = 5) -> Candidate:
     """Depth is bounded: a distributed forest grows level by level over all rows."""
-    return Candidate(
-        "RandomForest", balanced_weights,
-        lambda p: RandomForestClassifier(
-            labelCol=label, weightCol=WEIGHT, numTrees=trees, maxDepth=depth,
-            minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=fv.SEED))
 
+    def fit_all(rows: Encoded, weights: Weights) -> Fits:
+        f = trees.Forest(trees_, depth, min_leaf, fv.SEED)
+        grown = trees.grow_forest(rows, weights, f)
+        return Fits(
+            lambda s, parts: trees.forest_scores(rows, s, grown[s], parts, depth),
+            lambda s: _forest_model(rows.rows.sparkSession, grown[s], rows, rows.sets[s]))
+
+    return Candidate("RandomForest", balanced_weights, fit_all)
+
+
+def boosted_trees(rounds: int = 250, depth: int = 3) -> Candidate:
+    """Second-order boosting of the logistic loss, its rows and columns sampled per tree."""
 
-def boosted_trees(rounds: int = 250, depth: int = 3, label: str = "churn") -> Candidate:
-    return Candidate(
-        "GradientBoostedTrees", positive_weights,
-        lambda p: GBTClassifier(
-            labelCol=label, weightCol=WEIGHT, maxIter=rounds, maxDepth=depth, stepSize=0.04,
-            subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=fv.SEED))
+    def fit_all(rows: Encoded, weights: Weights) -> Fits:
+        b = trees.Boosting(rounds=rounds, depth=depth, seed=fv.SEED)
+        grown, margins = trees.boost(rows, weights, b)
+
+        def scores(s: str, parts: list[int]) -> DataFrame:
+            margin = F.get("margins", F.lit(rows.names.index(s)))
+            return margins.where(F.col("part").isin(*parts)).select(
+                "key", "label", (1 / (1 + F.exp(-margin))).alias("p"))
+
+        return Fits(scores, lambda s: _boosted_model(rows.rows.sparkSession, grown[s], rows,
+                                                     rows.sets[s]))
+
+    return Candidate("GradientBoostedTrees", positive_weights, fit_all)
 
 
 def default_candidates(
-    max_iter: int = 2000, trees: int = 350, rounds: int = 250, forest_depth: int = 12
+    max_iter: int = 2000, trees_: int = 350, rounds: int = 250, forest_depth: int = 12
 ) -> list[Candidate]:
-    return [logistic_regression(max_iter), random_forest(trees, forest_depth),
+    return [logistic_regression(max_iter), random_forest(trees_, forest_depth),
             boosted_trees(rounds)]
 
 
-def fit(candidate: Candidate, p: Preprocessing, rows: DataFrame,
-        label: str = "churn") -> PipelineModel:
-    """Preprocessing and classifier as one fitted pipeline over raw feature rows.
+def pipeline(p: Preprocessing, model: Model, rows: DataFrame) -> PipelineModel:
+    """Preprocessing and classifier over raw rows like ``rows``, of which only the schema counts."""
+    return PipelineModel(stages=[*to_stages(p, rows).stages, model])
+
+
+def fit(
+    candidate: Candidate, learned: Mapping[str, Preprocessing], data: DataFrame,
+    sets: Mapping[str, Sequence[Part]], label: str = schema.LABEL,
+) -> dict[str, PipelineModel]:
+    """The fitted pipelines of all sets, for a table that carries ``split`` and ``fold``."""
+    numeric = _in_order(data, [p.medians for p in learned.values()])
+    categorical = _in_order(data, [p.categories for p in learned.values()])
+    rows = encode(data, numeric, categorical, learned, sets, schema.KEY, label)
+    fits = candidate.fit_sets(rows)
+    return {s: pipeline(learned[s], fits.model(s), data) for s in sets}
 
-    The fit runs over the partitions of the scan, that is of the stored files.
-    """
-    stages = to_stages(p, rows)
-    w0, w1 = candidate.weights(p)
-    weighted = (stages.transform(rows)
-                .withColumn(WEIGHT, F.when(F.col(label) == 1, w1).otherwise(w0))
-                .select("features", label, WEIGHT))
-    model = candidate.estimator(p).fit(weighted)
-    return PipelineModel(stages=[*stages.stages, model])
+
+def _in_order(data: DataFrame, found: Sequence[Mapping]) -> list[str]:
+    return [c for c in data.columns if any(c in names for names in found)]
+
+
+def held_out_scores(name: str, fits: Fits, rows: Encoded,
+                    parts: Mapping[str, Part]) -> DataFrame:
+    """model, part (the fit set's name), key, label, p of a part that each set's fit hasn't seen."""
+    tables = [fits.scores(s, [rows.parts.index(part)]).select(
+        F.lit(name).alias("model"), F.lit(s).alias("part"), F.col("key").alias(rows.key),
+        F.col("label").cast("int").alias(schema.LABEL), "p")
+        for s, part in parts.items() if part in rows.parts]
+    return reduce(DataFrame.unionByName, tables)
 
 
 def with_probability(model: PipelineModel, rows: DataFrame, out: str = "p") -> DataFrame:
     """Rows with the probability of class 1; the model's working columns are dropped."""
     scored = model.transform(rows)
     return scored.select(*rows.columns, vector_to_array("probability")[1].alias(out))
+
+
+# ------------------------------------------------------------- fits as models that Spark stores
+
+
+def _logistic_model(spark: SparkSession, beta: np.ndarray) -> LogisticRegressionModel:
+    ml = spark.sparkContext._jvm.org.apache.spark.ml.classification
+    weights = _py2java(spark.sparkContext, Vectors.dense(beta[:-1]))
+    return LogisticRegressionModel(
+        ml.LogisticRegressionModel("logistic_newton", weights, float(beta[-1])))
+
+
+def _feature_places(rows: Encoded, s: FillSet) -> dict[tuple[int, int], int]:
+    """The vector's place of a numeric input (i, 0) and of a category (input, code)."""
+    places = {(int(i), 0): n for n, i in enumerate(s.numeric)}
+    start = len(places)
+    for j, known in enumerate(s.known):
+        for code in np.flatnonzero(known >= 0):
+            places[len(rows.numeric) + j, int(code)] = start + int(known[code])
+        start += int((known >= 0).sum())
+    return places
+
+
+def _root(spark: SparkSession, tree: trees.Tree, rows: Encoded, s: FillSet,
+          places: dict[tuple[int, int], int], impurity: Callable[[tuple], JavaObject],
+          count: Callable[[tuple], float], value: Callable[[float], float]) -> JavaObject:
+    """A tree's nodes as Spark's, leaves first."""
+    made = spark.sparkContext._jvm.org.apache.spark.ml.tree
+    nodes: list[JavaObject | None] = [None] * len(tree.col)
+    for i in reversed(range(len(tree.col))):
+        stats, col = tree.stats[i], tree.col[i]
+        if col < 0:
+            nodes[i] = made.LeafNode(value(tree.value[i]), 0.0, impurity(stats))
+            continue
+        if col < tree.inputs:
+            cut = (rows.cuts[col][tree.cut[i]] - s.means[col]) / s.scales[col]
+            split = made.ContinuousSplit(places[col, 0], float(cut))
+        else:
+            split = made.ContinuousSplit(places[col, tree.cut[i]], 0.5)
+        gain = tree.gain[i] / max(count(stats), 1e-300)
+        left = tree.left[i]
+        nodes[i] = made.InternalNode(value(tree.value[i]), 0.0, float(gain), nodes[left],
+                                     nodes[left + 1], split, impurity(stats))
+    return nodes[0]
+
+
+def _doubles(spark: SparkSession, values: Sequence[float]) -> JavaObject:
+    gateway = spark.sparkContext._gateway
+    out = gateway.new_array(gateway.jvm.double, len(values))
+    for i, v in enumerate(values):
+        out[i] = float(v)
+    return out
+
+
+def _forest_model(spark: SparkSession, grown: Sequence[trees.Tree], rows: Encoded,
+                  s: FillSet) -> RandomForestClassificationModel:
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    gini = jvm.org.apache.spark.mllib.tree.impurity.GiniCalculator
+    ml = jvm.org.apache.spark.ml.classification
+    places, width = _feature_places(rows, s), len(s.preprocessing.feature_names)
+
+    def impurity(stats: tuple) -> JavaObject:
+        return gini(_doubles(spark, stats[:2]), int(stats[2]))
+
+    array = gateway.new_array(ml.DecisionTreeClassificationModel, len(grown))
+    for i, tree in enumerate(grown):
+        root = _root(spark, tree, rows, s, places, impurity, lambda x: x[0] + x[1],
+                     lambda v: float(v > 0.5))
+        array[i] = ml.DecisionTreeClassificationModel(f"tree_{i}", root, width, 2)
+    return RandomForestClassificationModel(
+        ml.RandomForestClassificationModel("forest_by_levels", array, width, 2))
+
+
+def _boosted_model(spark: SparkSession, grown: Sequence[trees.Tree], rows: Encoded,
+                   s: FillSet) -> GBTClassificationModel:
+    """Spark's margin is half of the log-odds, so leaves are halved."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    variance = jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator
+    places, width = _feature_places(rows, s), len(s.preprocessing.feature_names)
+
+    def impurity(stats: tuple) -> JavaObject:
+        return variance(_doubles(spark, (max(stats[1], 1e-300), stats[0], 0.0)), int(stats[1]))
+
+    regression = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    array = gateway.new_array(regression, len(grown))
+    for i, tree in enumerate(grown):
+        root = _root(spark, tree, rows, s, places, impurity, lambda x: x[1], lambda v: v / 2)
+        array[i] = regression(f"round_{i}", root, width)
+    model = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        "boosted_by_levels", array, _doubles(spark, [1.0] * len(grown)), width, 2)
+    return GBTClassificationModel(model)

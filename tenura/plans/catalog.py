@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -488,7 +488,7 @@ def driver_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @lru_cache(maxsize=4)
 def _trained(app: str, spark: SparkSession, sf_dir: str) -> training.Training:
     stored = materialize(_features(spark, sf_dir), "features")
-    return training.train(stored, params=RunParams(economics=COSTLY), parallelism=8)
+    return training.train(stored, params=RunParams(economics=COSTLY))
 
 
 def _train(spark: SparkSession, sf_dir: str) -> training.Training:
@@ -519,13 +519,14 @@ def test_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def test_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's sizes, and whether its figures agree with each other."""
     r = test_report(spark, sf_dir)
-    money = F.col("gross_expected_value_inr") - F.col("intervention_cost_inr")
+    money = (F.col("validation_gross_expected_value_inr")
+             - F.col("validation_intervention_cost_inr"))
     return r.select(
         "test_size", F.round("test_churn_rate", 6).alias("test_churn_rate"),
-        (F.round(F.col("decision_threshold") * 100, 6).between(5, 90)).alias("on_grid"),
+        (F.round(F.col("validation_optimal_threshold") * 100, 6).between(5, 90)).alias("on_grid"),
         F.forall(F.array("precision", "recall", "f1", "roc_auc", "pr_auc"),
                  lambda m: (m >= 0) & (m <= 1)).alias("in_range"),
-        (F.abs(F.col("net_expected_value_inr") - money) < 0.01).alias("money_adds_up"))
+        (F.abs(F.col("validation_net_expected_value_inr") - money) < 0.01).alias("money_adds_up"))
 
 
 def scored_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -547,26 +548,28 @@ def scored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logistic_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The penalised loss has no slope at the fitted weights: feature, gradient per row."""
+    """The penalised loss has no slope at the weights of any fit: set, feature, slope per row."""
     data = _split_features(spark, sf_dir)
     numeric, categorical = training.input_columns(data)
-    parts = {"final": training.fit_sets(fv.CV_FOLDS)["final"]}
-    rows = data.filter(preprocess.in_parts(parts["final"]))
-    learned = preprocess.fit(data, numeric, categorical, parts)["final"]
-    model = models.fit(models.logistic_regression(), learned, rows)
-    w0, w1 = models.balanced_weights(learned)
-    weight = F.when(F.col("churn") == 1, w1).otherwise(w0)
-    scored = model.transform(rows).select(
-        (weight * (vector_to_array("probability")[1] - F.col("churn"))).alias("e"),
-        vector_to_array("features").alias("x"))
-    names = learned.feature_names
-    sums = scored.agg(*[F.sum(F.col("e") * F.col("x")[i]).alias(f"g{i}")
-                        for i in range(len(names))])
-    slopes = model.stages[-1].coefficients.toArray().tolist()
-    pairs = [F.struct(F.lit(n).alias("feature"),
-                      (F.round((F.col(f"g{i}") + slopes[i]) / learned.rows, 4) + F.lit(0.0))
-                      .alias("gradient")) for i, n in enumerate(names)]
-    return sums.select(F.inline(F.array(*pairs)))
+    sets = training.fit_sets(fv.CV_FOLDS)
+    learned = preprocess.fit(data, numeric, categorical, sets)
+    fitted = models.fit(models.logistic_regression(), learned, data, sets)
+    slopes = []
+    for name, parts in sets.items():
+        p, model = learned[name], fitted[name]
+        w0, w1 = models.balanced_weights(p)
+        weight = F.when(F.col("churn") == 1, w1).otherwise(w0)
+        scored = model.transform(data.filter(preprocess.in_parts(parts))).select(
+            (weight * (vector_to_array("probability")[1] - F.col("churn"))).alias("e"),
+            vector_to_array("features").alias("x"))
+        sums = scored.agg(*[F.sum(F.col("e") * F.get("x", F.lit(i))).alias(f"g{i}")
+                            for i in range(len(p.feature_names))])
+        weights = model.stages[-1].coefficients.toArray().tolist()
+        pairs = [F.struct(F.lit(n).alias("feature"),
+                          (F.round((F.col(f"g{i}") + weights[i]) / p.rows, 6) + F.lit(0.0))
+                          .alias("gradient")) for i, n in enumerate(p.feature_names)]
+        slopes.append(sums.select(F.lit(name).alias("fit_set"), F.inline(F.array(*pairs))))
+    return reduce(DataFrame.unionByName, slopes)
 
 
 def model_identity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tenura import schema
 from tenura.operators import attribution, economics, metrics, models, preprocess, quality, splits
 from tenura.operators import reports
+from tenura.operators.encoded import Encoded, encode
 from tenura.sources.artifacts import Artifact
 from tenura.sources.scratch import materialize
 
@@ -70,31 +71,27 @@ def input_columns(features: DataFrame) -> tuple[list[str], list[str]]:
     return schema.numeric_columns(features, skip), schema.string_columns(features, skip)
 
 
-def _score_parts(
-    data: DataFrame,
-    learned: dict[str, preprocess.Preprocessing],
-    candidates: Sequence[models.Candidate],
-    sets: dict[str, list[preprocess.Part]],
-    folds: int,
-    parallelism: int,
-) -> DataFrame:
-    """Out-of-sample scores of every candidate on every fold and on the validation rows."""
-    runs = [(c, f"cv{k}", ("train", k)) for c in candidates for k in range(folds)]
-    runs += [(c, "train", (VALIDATION, None)) for c in candidates]
+def held_out_parts(folds: int) -> dict[str, preprocess.Part]:
+    """The part that scores each fit set's models: the fold left out, and the validation rows."""
+    return {**{f"cv{k}": ("train", k) for k in range(folds)}, "train": (VALIDATION, None)}
 
-    def run(job: tuple[models.Candidate, str, preprocess.Part]) -> DataFrame:
-        candidate, fit_set, held_out = job
-        rows = data.filter(preprocess.in_parts(sets[fit_set]))
-        model = models.fit(candidate, learned[fit_set], rows)
-        scored = models.with_probability(model, data.filter(preprocess.in_parts([held_out])))
-        part = VALIDATION if held_out[0] == VALIDATION else fit_set
-        return scored.select(F.lit(candidate.name).alias("model"), F.lit(part).alias("part"),
-                             schema.KEY, schema.LABEL, "p")
 
-    spark = data.sparkSession
-    with ThreadPool(parallelism) as pool:
-        scored = pool.map(inheritable_thread_target(spark)(run), runs, chunksize=1)
-    return materialize(reduce(DataFrame.unionByName, scored), "scores")
+def _fit_all(
+    rows: Encoded, candidates: Sequence[models.Candidate], folds: int
+) -> tuple[dict[str, models.Fits], DataFrame]:
+    """Every candidate's fits, and its scores of rows that the fits haven't seen.
+
+    Candidates are fitted side by side: each is a sequence of short passes over the same rows.
+    """
+    spark = rows.rows.sparkSession
+    with ThreadPool(max(len(candidates), 1)) as pool:
+        fitted = pool.map(inheritable_thread_target(spark)(lambda c: c.fit_sets(rows)),
+                          candidates, chunksize=1)
+    fits = {c.name: f for c, f in zip(candidates, fitted)}
+    scores = reduce(DataFrame.unionByName, [
+        models.held_out_scores(name, f, rows, held_out_parts(folds)) for name, f in fits.items()])
+    named = F.when(F.col("part") == "train", VALIDATION).otherwise(F.col("part"))
+    return fits, materialize(scores.withColumn("part", named), "scores")
 
 
 def compare(scores: DataFrame) -> DataFrame:
@@ -117,7 +114,6 @@ def train(
     features: DataFrame,
     candidates: Sequence[models.Candidate] | None = None,
     params: schema.RunParams = schema.RunParams(),
-    parallelism: int = 4,
 ) -> Training:
     """Select a candidate by cross-validation, tune its threshold, refit it and test it once.
 
@@ -132,7 +128,8 @@ def train(
     data = split_table(features.select(schema.KEY, *inputs, schema.LABEL), params)
     sets = fit_sets(params.folds)
     learned = preprocess.fit(data, numeric, categorical, sets)
-    scores = _score_parts(data, learned, candidates, sets, params.folds, parallelism)
+    encoded = encode(data, numeric, categorical, learned, sets, schema.KEY, schema.LABEL)
+    fits, scores = _fit_all(encoded, candidates, params.folds)
 
     # One row per candidate.
     ranked = compare(scores)
@@ -147,8 +144,7 @@ def train(
     curve = economics.threshold_curve(validation, grid, params.economics)
     best = economics.best_threshold(curve).first().asDict()
 
-    winner = next(c for c in candidates if c.name == selected)
-    final = models.fit(winner, learned["final"], data.filter(preprocess.in_parts(sets["final"])))
+    final = models.pipeline(learned["final"], fits[selected].model("final"), data)
     report = test_once(final, data, best, params, selected, inputs, learned["final"].rows,
                        selection_value)
     version = report.first()["model_version"]

@@ -133,20 +133,16 @@ def test_logistic_regression_reaches_the_penalised_optimum(spark):
     p = preprocess.fit(df, ["a", "b"], [], ALL)["all"]
     assert sum(w * c for w, c in zip(models.balanced_weights(p), (p.negatives, p.positives))) \
         == pytest.approx(n)
-    model = models.fit(models.logistic_regression(), p, df)
+    model = models.fit(models.logistic_regression(), {"all": p}, df, ALL)["all"]
     z = (x - x.mean(0)) / x.std(0)
     w = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
     beta = newton(z, y, w, 1.0)
     linear = model.stages[-1]
-    assert [*linear.coefficients, linear.intercept] == pytest.approx(beta, abs=1e-4)
+    assert [*linear.coefficients, linear.intercept] == pytest.approx(beta, abs=1e-8)
 
 
-def test_default_candidates():
+def test_class_weights():
     p = preprocess.Preprocessing({}, {}, {}, {}, {}, rows=100, positives=20)
-    lr, forest, boosted = [c.estimator(p) for c in models.default_candidates()]
-    assert lr.getMaxIter() == 2000 and lr.getRegParam() == 0.01
-    assert forest.getNumTrees() == 350 and forest.getMinInstancesPerNode() == 5
-    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (250, 3, 0.04)
     assert models.balanced_weights(p) == (0.625, 2.5) and models.positive_weights(p) == (1.0, 4.0)
 
 
@@ -162,7 +158,7 @@ def planted(spark, medium):
 @pytest.fixture(scope="module")
 def run(planted):
     candidates = [models.logistic_regression(), models.boosted_trees(rounds=3)]
-    return training.train(planted, candidates, RunParams(economics=Economics()), parallelism=4)
+    return training.train(planted, candidates, RunParams(economics=Economics()))
 
 
 def test_training_run(run, planted):
@@ -294,9 +290,9 @@ def test_tree_winner_has_importances(spark, planted):
     data = training.split_table(planted, RunParams(), by_part=False)
     numeric, categorical = training.input_columns(data)
     sets = {"train": training.fit_sets(5)["train"]}
-    p = preprocess.fit(data, numeric, categorical, sets)["train"]
-    forest = models.fit(models.random_forest(trees=3, depth=4), p,
-                        data.filter(preprocess.in_parts(sets["train"])))
+    learned = preprocess.fit(data, numeric, categorical, sets)
+    p = learned["train"]
+    forest = models.fit(models.random_forest(3, depth=4), learned, data, sets)["train"]
     artifact = artifacts.Artifact(forest, "RandomForest", "v", 0.5, numeric, p.feature_names)
     rows = training.tree_importances(artifact, spark).collect()
     assert len(rows) == 40 and sum(r["importance"] for r in rows) == pytest.approx(1.0)
