@@ -279,13 +279,14 @@ FROM sized GROUP BY conv_id
     "op10_leaks": f"""
 WITH words AS (SELECT 'doc' AS side, * FROM ({_LEAK_WORDS.format(id="doc_id", table="documents")})
     UNION ALL SELECT 'item', * FROM ({_LEAK_WORDS.format(id="item_id", table="benchmark")})),
-places AS (SELECT side, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words
-    WHERE len(w) > 0),
-shingles AS (SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS s FROM places),
-items AS (SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles
+sizes AS (SELECT DISTINCT least(len(w), 5) AS k FROM words WHERE side = 'item' AND len(w) > 0),
+places AS (SELECT side, id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, sizes
+    WHERE len(w) >= k AND (side = 'doc' OR k = least(len(w), 5))),
+shingles AS (SELECT DISTINCT side, id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM places),
+items AS (SELECT id AS item_id, k, s, count(*) OVER (PARTITION BY id) AS n FROM shingles
     WHERE side = 'item')
 SELECT id AS doc_id, item_id, count(*) AS shared, count(*) / max(n) AS containment
-FROM shingles JOIN items USING (s) WHERE side = 'doc'
+FROM shingles JOIN items USING (k, s) WHERE side = 'doc'
 GROUP BY id, item_id HAVING count(*) / max(n) >= 0.8
 """,
 }
