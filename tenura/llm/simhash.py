@@ -198,15 +198,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal fingerprints are one point of the join, so copies are never expanded into pairs. Texts
     that are null, empty or without a word have fingerprint zero and link like any other. Rows
-    with the same id give one row each; a null id is kept and named by its component.
+    with the same id give one row each. Rows without an id are kept and link others like any row;
+    a component is named by the least id in it, and has no name if none of its rows has an id.
+    Ids are read as whole numbers, others raise.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
-    found = connected_components(links(reps.where("rep is not null"), max_bits, cell_limit),
+    reps = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    reps = materialize(reps.withColumn("rep", F.col("fp")), "representatives")
+    # Nodes are the fingerprints themselves: one without an id connects others all the same.
+    found = connected_components(links(reps.select("fp", "rep"), max_bits, cell_limit),
                                  "near-duplicates")
+    parts = materialize(reps.join(found, reps.rep == found.node, "left").select(
+        "fp", "least", F.coalesce("component", "rep").alias("part")), "near-duplicate-parts")
+    names = parts.groupBy("part").agg(F.min("least").alias("component_id"))
     # One component per fingerprint; only fingerprints cross the shuffle, hot ones once per task.
-    classes = reps.join(found, reps.rep == found.node, "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id"))
+    classes = parts.join(names, "part").select("fp", "component_id")
     return prints.join(classes, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
