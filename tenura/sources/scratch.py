@@ -46,4 +46,13 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    stored = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    stored.scratch_path = path
+    return stored
+
+
+def drop(stored: DataFrame) -> None:
+    """Delete a table that ``materialize`` returned, once what was made of it is stored itself."""
+    spark = stored.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored.scratch_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
