@@ -69,11 +69,58 @@ def test_ids_are_committed_early(model):
     assert taken < 200
 
 
+def test_short_spans_are_committed_where_paths_meet(model, library):
+    for word in ("straightforwardness", "Zzyzx-road", "日本語テキスト", "qqqq", "0123456789"):
+        runs = list(model.commits(pieces.SPACE + word))
+        assert [i for run in runs for i in run] == library.encode(word)
+    long_word = pieces.SPACE + "straightforwardness-and-more"
+    assert len(long_word) < 64 and len(list(model.commits(long_word))) > 1
+    taken = 0
+
+    def chars():
+        nonlocal taken
+        for taken, c in enumerate(long_word, 1):
+            yield c
+
+    next(model.commits(chars()))
+    assert taken < len(long_word)
+
+
+def test_the_window_stays_bounded(model):
+    sizes = []
+    path = model._path
+    model._path = lambda window, *rest: sizes.append(len(window)) or path(window, *rest)
+    try:
+        list(model.stream(pieces.SPACE + "internationalization" * 3000))
+    finally:
+        del model._path
+    assert max(sizes) <= 3 * model.longest and len(sizes) > 100
+
+
+def test_other_models_are_refused(tmp_path, library):
+    proto = library.serialized_model_proto()
+    # A second normaliser message wins over the first in protobuf, the first in this reader.
+    changed = tmp_path / "m.model"
+    changed.write_bytes(bytes([3 << 3 | 2, 2, 4 << 3, 1]) + proto)
+    with pytest.raises(ValueError, match="extra spaces"):
+        pieces._refuse_others(changed.read_bytes())
+    with pytest.raises(ValueError, match="model type"):
+        pieces._refuse_others(bytes([2 << 3 | 2, 2, 3 << 3, 4]) + proto)
+    pieces._refuse_others(proto)
+
+
+def test_round_trips_are_judged_by_span(model):
+    for text in ("plain words", "a\u2581b", " é \x00 🙂 ", "", "日本"):
+        ids, same = model.packed(text)
+        assert same == (model.decode(model.encode(text)) == text)
+
+
 def test_unigram_path_has_the_best_score(model):
     rng = random.Random(2)
     model = pieces.PieceModel(MODEL)
     model.bpe = False
     model.scores = {p: -rng.uniform(1, 12) for p in model.ids}
+    model._id_scores = {i: model.scores[p] for p, i in model.ids.items()}
     model.unknown_score = -30.0
 
     def best(text):
