@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tenura import fixed_values as fv
-from tenura.functions.scalars import clamp
+from tenura.functions.scalars import clamp, with_count_at_or_below
+from tenura.sources.scratch import materialize
 
 LOOKBACK = fv.ROLLING_ROWS - 1
-MIN_CHUNK_WIDTH = 1024
+SAMPLE_PER_RANGE = 32
 
 
 def _window_columns(w: WindowSpec, value: str, recency: str | None) -> dict[str, Column]:
@@ -32,64 +32,61 @@ def with_windows(
     order: str = "month_index",
     value: str = "data_gb",
     recency: str | None = "days_since_recharge",
+    bounded: bool = False,
+    pieces: int | None = None,
 ) -> DataFrame:
-    """Previous value and rolling three-row means: one exchange and one sort.
-
-    All rows of a key meet in one task, which a key's number of periods bounds. For a key that may
-    hold a large share of the rows use ``with_windows_chunked``.
-    """
-    w = Window.partitionBy(key).orderBy(order)
-    return panel.withColumns(_window_columns(w, value, recency))
+    """Previous value and rolling three-row means for keys of any size: one exchange of the rows.
 
+    The order of (key, order) is cut into ``pieces`` ranges of about equally many rows, by default
+    as many as a shuffle has partitions. A range receives the last rows of the two ranges before
+    it, so frames at its start are complete: four rows per range travel beside the table's own. A
+    key with a third of all rows is met by a third of the ranges. The cuts come from a bounded
+    sample and only balance the ranges; the results are exact. Rows of equal (key, order) have no
+    defined order; null keys are one key, null orders come first.
 
-def with_windows_chunked(
-    panel: DataFrame,
-    width: int,
-    key: str = "customer_id",
-    order: str = "month_index",
-    value: str = "data_gb",
-    recency: str | None = "days_since_recharge",
-) -> DataFrame:
-    """The same columns as ``with_windows``, with a key's rows split over many tasks.
-
-    A key's order axis is cut into chunks ``width`` wide. Each chunk receives the last two rows
-    before it as carried rows, wherever those lie, so frames at a chunk's start are complete. Only
-    two rows per chunk travel beyond their own task.
+    ``bounded`` says that a declared rule bounds a key's rows, as the panel's periods do. All rows
+    of a key then meet in one task, and an aggregate or join by key needs no further exchange.
     """
+    if bounded:
+        w = Window.partitionBy(key).orderBy(order)
+        return panel.withColumns(_window_columns(w, value, recency))
     measures = [c for c in (value, recency) if c is not None]
-    rows = panel.withColumn("_chunk", F.expr(f"`{order}` div {int(width)}L"))
-    # The rank filter is applied before the exchange as well, so this shuffles 2 rows per chunk.
-    last = Window.partitionBy(key, "_chunk").orderBy(F.desc(order))
-    tails = (rows.select(key, "_chunk", order, *measures)
+    rows = _with_ranges(panel, key, order, pieces)
+    # The rank filter is applied before the exchange as well, so this shuffles 2 rows per range
+    # and task.
+    last = Window.partitionBy("_range").orderBy(F.desc(key), F.desc(order))
+    tails = (rows.select("_range", key, order, *measures)
              .withColumn("_rank", F.row_number().over(last))
-             .filter(F.col("_rank") <= LOOKBACK)
-             .groupBy(key, "_chunk")
-             .agg(F.sort_array(F.collect_list(F.struct(order, *measures)), asc=False)
-                  .alias("_tail")))
-    # A chunk holds at least one row, so the two chunks before it hold the two rows before it.
-    chunks = Window.partitionBy(key).orderBy("_chunk")
-    empty = F.slice("_tail", 1, 0)
-    before = [F.coalesce(F.lag("_tail", i).over(chunks), empty) for i in range(1, LOOKBACK + 1)]
-    carried = (tails
-               .withColumn("_before", F.slice(F.concat(*before), 1, LOOKBACK))
-               .select(key, "_chunk", F.inline("_before"))
+             .filter(F.col("_rank") <= LOOKBACK).drop("_rank"))
+    # Every range but the first holds its own cut, so two ranges hold the two rows before one.
+    carried = (tails.withColumn("_later", F.explode(F.array(
+                   *[F.col("_range") + i for i in range(1, LOOKBACK + 1)])))
+               .drop("_range").withColumnRenamed("_later", "_range")
                .withColumn("_carried", F.lit(True)))
     extended = (rows.withColumn("_carried", F.lit(False))
                 .unionByName(carried, allowMissingColumns=True))
-    w = Window.partitionBy(key, "_chunk").orderBy(order)
+    w = Window.partitionBy(key, "_range").orderBy(order)
     return (extended.withColumns(_window_columns(w, value, recency))
-            .filter(~F.col("_carried")).drop("_carried", "_chunk"))
-
-
-def order_span(panel: DataFrame, order: str = "month_index") -> int:
-    """Width of the order axis: a bound on a key's rows where (key, order) is unique."""
-    low, high = panel.agg(F.min(order), F.max(order)).first()
-    return 0 if low is None else int(high) - int(low) + 1
-
-
-def chunk_width(span: int) -> int:
-    """Width that balances the rows of one chunk against one key's number of chunks."""
-    return max(MIN_CHUNK_WIDTH, math.isqrt(span))
+            .filter(~F.col("_carried")).drop("_carried", "_range"))
+
+
+def _with_ranges(panel: DataFrame, key: str, order: str, pieces: int | None) -> DataFrame:
+    """Add ``_range``: how many of the stored cuts are at or below the row's (key, order)."""
+    pieces = pieces or int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.struct(F.col(key).alias("k"), F.col(order).alias("o"))
+    share = min(1.0, pieces * SAMPLE_PER_RANGE / max(panel.count(), 1))
+    sample = panel.select(place.alias("at")).sample(share, 0)
+    cuts = sample.agg(F.sort_array(F.collect_list("at")).alias("s")).select(F.expr(
+        f"array_distinct(transform(filter(sequence(0, {pieces - 1}), i -> i > 0), "
+        f"i -> get(s, CAST(i * CAST(size(s) AS LONG) div {pieces} AS INT)))) AS cuts"))
+    # Stored, so that every part of a plan and every repeated task sees the same cuts.
+    cuts = materialize(cuts.select(F.expr("filter(cuts, c -> c IS NOT NULL)").alias("cuts")),
+                       "cuts")
+    size = 1
+    while size < pieces:
+        size = 2 * size + 1
+    placed = panel.withColumn("_at", place)
+    return with_count_at_or_below(placed, "_at", cuts.scalar(), size, "_range").drop("_at")
 
 
 def usage_levels() -> list[Column]:
@@ -134,17 +131,14 @@ def usage_trend() -> Column:
 
 
 def customer_behaviour(
-    usage: DataFrame, trend: bool = False, width: int | None = None
+    usage: DataFrame, trend: bool = False, bounded: bool = True
 ) -> DataFrame:
     """One row per customer with the ten behaviour features, and the trend if asked for.
 
-    ``width`` splits each customer's periods into chunks over tasks, for panels in which a
-    customer may have very many periods.
+    The declared panel bounds a customer's rows by its periods; ``bounded=False`` takes panels in
+    which a customer may have any number of them.
     """
-    if width is None:
-        windowed = with_windows(usage)
-    else:
-        windowed = with_windows_chunked(usage, width)
+    windowed = with_windows(usage, bounded=bounded)
     rolling_data, rolling_recency = rolling_levels()
     measures = [
         *usage_levels(), recharge_frequency(), rolling_data, usage_increase_months(),

@@ -99,7 +99,8 @@ def io_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.with_windows(binding.usage(spark, sf_dir))
+    """The panel as binding builds it: six rows per customer."""
+    return panel.with_windows(binding.usage(spark, sf_dir), bounded=True)
 
 
 def lag_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,17 +114,16 @@ def _rolling(column: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lag and rolling mean over every user's whole event sequence, split into chunks."""
+    """Lag and rolling mean over every user's whole event sequence, however long it is."""
     events = binding.table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    width = panel.chunk_width(panel.order_span(events, "event_id"))
-    windowed = panel.with_windows_chunked(events, width, "user_id", "event_id", "value", None)
+    windowed = panel.with_windows(events, "user_id", "event_id", "value", None)
     return _round(windowed, ("rolling_3m_data_gb",))
 
 
 def _behaviour(columns: tuple[Column, ...], spark: SparkSession, sf_dir: str,
                dense: bool = True) -> DataFrame:
     """Some per-customer aggregates; the windows are computed only if the columns use them."""
-    windowed = panel.with_windows(binding.usage(spark, sf_dir, dense))
+    windowed = panel.with_windows(binding.usage(spark, sf_dir, dense), bounded=True)
     out = windowed.groupBy("customer_id").agg(*columns)
     doubles = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
     return _round(out, doubles)
@@ -355,7 +355,7 @@ def scorecard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scorecard_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms, weights, names = attribution.scorecard_terms()
-    rows = _features(spark, sf_dir, trend=True).select("customer_id", terms.alias("x"))
+    rows = materialize(_features(spark, sf_dir, trend=True).select(terms.alias("x")), "terms")
     importance = attribution.mean_abs_contribution(rows, F.col("x"), weights, names)
     return _round(attribution.top_features(importance), ("mean_abs_shap",))
 

@@ -22,16 +22,16 @@ def feature_table(
     customers: DataFrame,
     usage: DataFrame,
     trend: bool = False,
-    chunk_width: int | None = None,
+    bounded: bool = True,
 ) -> DataFrame:
     """Customers with their behaviour features; customers without usage are left out.
 
     The panel is aggregated before the join, so the join is one row to one row. ``trend`` adds
     data_usage_trend, which the scorecard needs and the model does not. The declared panel has one
-    row per customer and period, six at most; for panels with long histories name a
-    ``chunk_width``, and a customer's rows are split over tasks.
+    row per customer and period, six at most; with ``bounded=False`` a customer may have any number
+    of rows, which are then split over tasks.
     """
-    behaviour = panel.customer_behaviour(usage, trend, chunk_width)
+    behaviour = panel.customer_behaviour(usage, trend, bounded)
     columns = FEATURE_COLUMNS + (("data_usage_trend",) if trend else ())
     return (customers
             .join(behaviour, "customer_id")

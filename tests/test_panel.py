@@ -38,10 +38,10 @@ def worked(spark):
     return customers, usage
 
 
-@pytest.mark.parametrize("chunk_width", [None, 1, 2, 4])
-def test_worked_customers(worked, chunk_width):
+@pytest.mark.parametrize("bounded", [True, False])
+def test_worked_customers(worked, bounded):
     customers, usage = worked
-    rows = features.feature_table(customers, usage, trend=True, chunk_width=chunk_width).collect()
+    rows = features.feature_table(customers, usage, trend=True, bounded=bounded).collect()
     by_id = {r["customer_id"]: r for r in rows}
     assert set(by_id) == {1, 2}
     for key, name in ((1, "A"), (2, "B")):
@@ -69,25 +69,52 @@ def test_missing_measures(spark):
     assert row["avg_data_gb"] == 6.0
 
 
-def test_chunked_windows_equal_plain_with_a_hot_key(spark):
+@pytest.fixture(scope="module")
+def hot(spark):
+    """One key with most of the rows, one without a name, many small ones."""
     rnd = random.Random(7)
     rows = [(0, i, rnd.random()) for i in rnd.sample(range(-500, 5000), 900)]
+    rows += [(None, i, rnd.random()) for i in range(20)] + [(5, None, 0.5)]
     for key in range(1, 40):
         rows += [(key, i, rnd.random()) for i in rnd.sample(range(0, 3000), rnd.randint(1, 9))]
-    df = spark.createDataFrame(rows, "k int, i int, v double")
-    plain = panel.with_windows(df, "k", "i", "v", None)
+    return spark.createDataFrame(rows, "k int, i int, v double").repartition(7)
+
+
+@pytest.mark.parametrize("pieces", [None, 1, 2, 7, 64, 5000])
+def test_windows_over_ranges_equal_plain_ones(hot, pieces):
+    plain = panel.with_windows(hot, "k", "i", "v", None, bounded=True)
     names = sorted(plain.columns)
     expected = sorted(map(tuple, plain.select(names).collect()), key=str)
-    for width in (1, 3, 64, 100_000):
-        chunked = panel.with_windows_chunked(df, width, "k", "i", "v", None)
-        got = sorted(map(tuple, chunked.select(names).collect()), key=str)
-        assert [g[:3] for g in got] == [e[:3] for e in expected]
-        for g, e in zip(got, expected):
-            assert g[3:] == pytest.approx(e[3:])
+    ranged = panel.with_windows(hot, "k", "i", "v", None, pieces=pieces)
+    assert ranged.columns == plain.columns
+    got = sorted(map(tuple, ranged.select(names).collect()), key=str)
+    assert [g[:3] for g in got] == [e[:3] for e in expected]
+    for g, e in zip(got, expected):
+        assert g[3:] == pytest.approx(e[3:])
+
+
+def test_a_hot_key_is_spread_over_ranges(hot):
+    sizes = [r["count"] for r in panel._with_ranges(hot, "k", "i", 16).groupBy("_range").count()
+             .collect()]
+    assert len(sizes) == 16 and max(sizes) < 3 * sum(sizes) / 16
+
+
+def test_windows_of_repeated_places_and_other_types(spark):
+    same = spark.createDataFrame([("a", "x", 1.0)] * 50 + [("b", "y", 2.0)], "k string, i string, v double")
+    out = panel.with_windows(same, "k", "i", "v", None, pieces=8).collect()
+    assert sorted(r["prev_data_gb"] or 0.0 for r in out) == [0.0] * 2 + [1.0] * 49
+    assert panel.with_windows(same.limit(0), "k", "i", "v", None).collect() == []
+
+
+def test_the_rows_are_shuffled_once(hot):
+    df = panel.with_windows(hot.select("k", "i", "v"), "k", "i", "v", None)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(k", plan)) == 1
 
 
 def test_rolling_mean_lies_in_its_frame(spark, small):
-    w = panel.with_windows(binding.usage(spark, small))
+    w = panel.with_windows(binding.usage(spark, small), bounded=True)
     assert w.filter(F.col("rolling_3m_data_gb") < 0).count() == 0
     dense = panel.customer_behaviour(binding.usage(spark, small))
     ends = (binding.usage(spark, small).groupBy("customer_id")
@@ -126,13 +153,9 @@ def test_binding_counts(spark, small, medium):
         assert r[1] == pytest.approx(churn, abs=1e-6)
 
 
-def test_chunk_width():
-    assert panel.chunk_width(10**12) == 10**6 and panel.chunk_width(50) == 1024
-
-
-def test_chunks_of_large_order_values(spark):
+def test_large_order_values(spark):
     first = 2**60 + 1
     rows = [(1, first + i, float(i)) for i in range(40)]
     df = spark.createDataFrame(rows, "k long, i long, v double")
-    got = panel.with_windows_chunked(df, 3, "k", "i", "v", None).orderBy("i").collect()
+    got = panel.with_windows(df, "k", "i", "v", None, pieces=13).orderBy("i").collect()
     assert [r["prev_data_gb"] for r in got] == [None, *[float(i) for i in range(39)]]
