@@ -7,19 +7,24 @@ reduced to one per distinct value before the shuffle, so a value held by many ro
 
 Groups are things like columns or (model, fold) pairs: their number must not grow with the data,
 since the cuts (1023 values per group) and the bin counts (1024 rows per group) are broadcast.
+Quantiles of whole columns need no order at all: ``counted_quantiles`` finds them by counting.
 """
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura.functions.scalars import with_count_at_or_below
+from tenura.sources.scratch import drop, materialize
 
 CUTS = 1023
 CUT_ACCURACY = 10_000
+CELL_BITS = 11
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -141,6 +146,118 @@ def exact_quantiles(
             .selectExpr(*by, f"inline(array({', '.join(quantiles)}))"))
 
 
+def ordered_bits(value: str) -> str:
+    """SQL for a BIGINT that orders as the double expression ``value`` does, NULL for NaN.
+
+    The bits of the double's size, negative for negative values. Scaling by powers of two is exact,
+    so equal numbers, and only those, share a result; both zeros are 0.
+    """
+    size = f"abs({value})"
+    guess = f"floor(log2({size}))"
+    # The logarithm may be off by one beside a power of two, at 1.8e308 beyond the last one.
+    exponent = (f"({guess} + CASE WHEN {size} < pow(2D, {guess}) THEN -1 "
+                f"WHEN {guess} < 1023 AND {size} >= pow(2D, {guess} + 1) THEN 1 ELSE 0 END)")
+    normal = (f"(CAST({exponent} AS BIGINT) + 1022) * {2 ** 52}L "
+              f"+ CAST({size} / pow(2D, {exponent}) * {2 ** 52}D AS BIGINT)")
+    tiny = f"CAST({size} * {2.0 ** 537!r}D * {2.0 ** 537!r}D AS BIGINT)"
+    bits = (f"CASE WHEN isnan({value}) THEN NULL WHEN {size} = double('Infinity') "
+            f"THEN {2047 * 2 ** 52}L WHEN {size} < {2.0 ** -1022!r}D THEN {tiny} ELSE {normal} END")
+    return f"(CASE WHEN {value} < 0 THEN -1L ELSE 1L END * {bits})"
+
+
+def _from_bits(bits: int) -> float:
+    size = struct.unpack("<d", struct.pack("<q", abs(bits)))[0]
+    return -size if bits < 0 else size
+
+
+def _cell_of(bits: str, ranges: Sequence[tuple[int, int, int]]) -> str:
+    """SQL for the first value of the cell that holds ``bits``; NULL outside the ranges."""
+    arms = " ".join(f"WHEN {bits} BETWEEN {low}L AND {high}L THEN {low}L + ({bits} - {low}L) "
+                    f"div {width}L * {width}L" for low, high, width in ranges)
+    return f"CASE {arms} END" if arms else "CAST(NULL AS BIGINT)"
+
+
+def counted_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    weights: Mapping[str, str] | None = None,
+) -> dict[tuple[str, str, float], float]:
+    """Exact interpolated quantiles of columns: (column, weight, prob) -> value.
+
+    No value is sorted or shuffled. A round counts the rows of all columns and weights in 2,048
+    cells per range of ordered bits, in one scan; ranges are then narrowed to the cells that hold a
+    wanted position, between the least and greatest value found there, until a cell holds one
+    value: two rounds for few values, at most six. What is shuffled and reaches the driver is one row
+    per cell, at most 2,048 for each of the places still sought. Weights are 0/1 expressions.
+    NULL and NaN are left out; a subset without values has no entry. ``df`` is read once.
+    """
+    if not columns:
+        return {}
+    weights = weights or {"all": "1"}
+    names = list(weights)
+    # Values are bounded by 2047 * 2**52 on both sides; the first ranges cover them all.
+    span = 2 ** 63 - 2 ** 52
+    width = 2 ** (64 - CELL_BITS)
+    first = [(-span, -1, width), (0, span, width)]
+    # Stored once: rounds then read whole numbers only.
+    bits = materialize(df.selectExpr(
+        *[f"{ordered_bits(f'CAST(`{c}` AS DOUBLE)')} AS b{i}" for i, c in enumerate(columns)],
+        *[f"CAST({w} AS BIGINT) AS w{j}" for j, w in enumerate(weights.values())]), "bits")
+    ranges: dict[int, list[tuple[int, int, int]]] = {i: first for i in range(len(columns))}
+    base: dict[tuple[int, int], list[int]] = {
+        (i, low): [0] * len(names) for i in ranges for low, *_ in first}
+    totals: dict[int, list[int]] = {}
+    wanted: dict[int, set[tuple[int, int]]] = {}
+    found: dict[tuple[int, int, int], int] = {}
+    while ranges:
+        pairs = ", ".join(f"named_struct('i', {i}, 'bits', b{i}, 'cell', {_cell_of(f'b{i}', r)})"
+                          for i, r in ranges.items())
+        cells = (bits.selectExpr(*[f"w{j}" for j in range(len(names))], f"inline(array({pairs}))")
+                 .filter("cell IS NOT NULL").groupBy("i", "cell")
+                 .agg(*[F.expr(f"sum(w{j}) AS w{j}") for j in range(len(names))],
+                      F.min("bits").alias("low"), F.max("bits").alias("high"))
+                 .collect())
+        by_column: dict[int, list] = {i: [] for i in ranges}
+        for r in sorted(cells, key=lambda r: (r["i"], r["cell"])):
+            by_column[r["i"]].append(r)
+        if not totals:
+            for i, rows in by_column.items():
+                totals[i] = [sum(r[f"w{j}"] for r in rows) for j in range(len(names))]
+                # The first two ranges join up: what lies below zero comes before the rest.
+                base[i, 0] = [sum(r[f"w{j}"] for r in rows if r["cell"] < 0)
+                              for j in range(len(names))]
+                wanted[i] = {(j, end((n - 1) * p)) for j, n in enumerate(totals[i]) if n
+                             for p in probs for end in (math.floor, math.ceil)}
+        following: dict[int, list[tuple[int, int, int]]] = {}
+        for i, rows in by_column.items():
+            for low, high, _ in ranges[i]:
+                before = list(base[i, low])
+                for r in (r for r in rows if low <= r["cell"] <= high):
+                    here = [r[f"w{j}"] for j in range(len(names))]
+                    held = [(j, at) for j, at in wanted[i]
+                            if (i, j, at) not in found and before[j] <= at < before[j] + here[j]]
+                    if held and r["low"] == r["high"]:
+                        found.update({(i, j, at): r["low"] for j, at in held})
+                    elif held:
+                        base[i, r["low"]] = list(before)
+                        step = max(1, -(-(r["high"] - r["low"] + 1) // 2 ** CELL_BITS))
+                        following.setdefault(i, []).append((r["low"], r["high"], step))
+                    before = [b + n for b, n in zip(before, here)]
+        ranges = following
+    drop(bits)
+
+    quantiles = {}
+    for i, c in enumerate(columns):
+        for j, name in enumerate(names):
+            for p in probs if totals[i][j] else ():
+                at = (totals[i][j] - 1) * p
+                low, high = (_from_bits(found[i, j, end(at)]) for end in (math.floor, math.ceil))
+                part = at - math.floor(at)
+                quantiles[c, name, p] = low + (high - low) * part if high != low else low
+    return quantiles
+
+
 def approximate_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000
 ) -> DataFrame:

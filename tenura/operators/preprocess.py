@@ -1,14 +1,15 @@
 """Imputation, scaling and one-hot encoding, learned for many training subsets at once.
 
 A fit set is a set of (split, fold) parts. Cross-validation needs one per fold, the refits two
-more; they overlap almost fully, so their statistics are learned together: one ordering pass for
-all medians, one count per (column, category, part) for modes and categories, and one aggregate
+more; they overlap almost fully, so their statistics are learned together: a few counting scans
+for all medians, one count per (column, category, part) for modes and categories, and one aggregate
 per part for means and variances, which are then combined. The learned values become ordinary
 pyspark.ml stages.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -57,11 +58,14 @@ def in_parts(parts: Sequence[Part]) -> str:
 
 def fit_medians(
     df: DataFrame, numeric: Sequence[str], fit_sets: Mapping[str, Sequence[Part]]
-) -> DataFrame:
-    """Exact median per column and fit set: feature, weight (the fit set), quantile."""
-    long = ordering.unpivot(df, numeric, keep=("split", "fold"))
+) -> dict[str, dict[str, float]]:
+    """Exact medians: fit set -> column -> median; no entry where all values are missing."""
     weights = {name: f"CAST({in_parts(parts)} AS INT)" for name, parts in fit_sets.items()}
-    return ordering.exact_quantiles(long, ["feature"], "value", (0.5,), weights)
+    medians: dict[str, dict[str, float]] = {name: {} for name in fit_sets}
+    found = ordering.counted_quantiles(df, numeric, (0.5,), weights)
+    for (column, name, _), value in found.items():
+        medians[name][column] = value
+    return medians
 
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -132,10 +136,7 @@ def fit(
     """
     used = sorted({p for parts in fit_sets.values() for p in parts}, key=str)
     df = df.filter(in_parts(used))
-    medians: dict[str, dict[str, float]] = {name: {} for name in fit_sets}
-    for r in fit_medians(df, numeric, fit_sets).collect() if numeric else ():
-        if r["quantile"] is not None:
-            medians[r["weight"]][r["feature"]] = r["quantile"]
+    medians = fit_medians(df, numeric, fit_sets)
 
     def moments_of(c: str) -> list[Column]:
         known = f"FILTER (WHERE NOT isnan(CAST(`{c}` AS DOUBLE)))"
@@ -153,11 +154,18 @@ def fit(
     if categorical:
         counts = materialize(category_counts(df, categorical), "categories")
         refuse_wide_columns(counts)
-        for r in modes_of(counts, fit_sets).filter("mode IS NOT NULL").collect():
-            modes_by_set[r["weight"]][r["feature"]] = r["mode"]
+        numbers: dict[tuple[Part, str], dict[str, int]] = {}
         for r in counts.collect():
-            columns = present_in.setdefault((r["split"], r["fold"]), {})
-            columns.setdefault(r["feature"], []).append(r["value"])
+            part = (r["split"], r["fold"])
+            present_in.setdefault(part, {}).setdefault(r["feature"], []).append(r["value"])
+            numbers.setdefault((part, r["feature"]), {})[r["value"]] = r["n"]
+        for name, parts in fit_sets.items():
+            for c in categorical:
+                sums: Counter[str] = Counter()
+                for part in parts:
+                    sums.update(numbers.get((part, c), {}))
+                if sums:
+                    modes_by_set[name][c] = min(sums, key=lambda v: (-sums[v], v.encode()))
 
     learned = {}
     for name, parts in fit_sets.items():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tenura.functions.scalars import tenure_interval
 from tenura.operators import ordering
+from tenura.sources.scratch import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -41,17 +42,24 @@ def numeric_profile(
 
     ``exact=False`` takes the quartiles from a one-pass sketch.
     """
+    df = materialize(df.select(*columns), "profile")
     long = ordering.unpivot(df, columns)
     long = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     moments = long.groupBy("feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
-    quantiles = ordering.exact_quantiles if exact else ordering.approximate_quantiles
-    quartiles = (quantiles(long, ["feature"], "value", QUARTILES)
-                 .groupBy("feature").agg(*[
-                     F.max(F.when(F.col("prob") == p, F.col("quantile")))
-                     .alias(f"p{round(100 * p)}") for p in QUARTILES]))
+    if exact:
+        found = ordering.counted_quantiles(df, columns, QUARTILES)
+        rows = [(c, *[found[c, "all", p] for p in QUARTILES])
+                for c in columns if (c, "all", QUARTILES[0]) in found]
+        names = ", ".join(f"p{round(100 * p)} double" for p in QUARTILES)
+        quartiles = df.sparkSession.createDataFrame(rows, f"feature string, {names}")
+    else:
+        quartiles = (ordering.approximate_quantiles(long, ["feature"], "value", QUARTILES)
+                     .groupBy("feature").agg(*[
+                         F.max(F.when(F.col("prob") == p, F.col("quantile")))
+                         .alias(f"p{round(100 * p)}") for p in QUARTILES]))
     # Both sides hold one row per column of the profiled table.
     return (moments.join(F.broadcast(quartiles), "feature")
             .select("feature", "count",

@@ -404,9 +404,10 @@ def impute_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _split_features(spark, sf_dir)
     numeric, categorical = training.input_columns(data)
     sets = {"train": training.fit_sets(fv.CV_FOLDS)["train"]}
-    medians = preprocess.fit_medians(data, numeric, sets).select(
-        "feature", F.round("quantile", 6).alias("median"),
-        F.lit(None).cast("string").alias("mode"))
+    found = preprocess.fit_medians(data, numeric, sets)["train"]
+    medians = spark.createDataFrame([(c, found.get(c), None) for c in numeric],
+                                    "feature string, median double, mode string")
+    medians = medians.withColumn("median", F.round("median", 6))
     modes = preprocess.fit_modes(data, categorical, sets).select(
         "feature", F.lit(None).cast("double").alias("median"), "mode")
     return medians.unionByName(modes)

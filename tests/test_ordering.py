@@ -1,6 +1,8 @@
 """Exact order statistics and ranking metrics against brute force."""
 
+import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -113,6 +115,70 @@ def test_exact_quantiles_of_overlapping_subsets(spark):
     assert got["one", "all", 0.5] == 5.0 and got["one", "only1", 0.5] is None
 
 
+def bits_of(value):
+    bits = struct.unpack("<q", struct.pack("<d", abs(value)))[0]
+    return -bits if value < 0 else bits
+
+
+def test_ordered_bits(spark):
+    rnd = random.Random(13)
+    edge = [0.0, -0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308,
+            float("inf"), 0.1, 1.0, 3.0]
+    edge += [np.nextafter(2.0 ** e, side) for e in (-1074, -1022, -30, 0, 1, 52, 53, 1000, 1023)
+             for side in (0.0, float("inf"))] + [2.0 ** e for e in range(-1074, 1024)]
+    values = [float(v) for v in edge] + [struct.unpack("<d", rnd.randbytes(8))[0] for _ in range(4000)]
+    values = [v for v in values if v == v]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.selectExpr("v", f"{ordering.ordered_bits('v')} AS b").collect()
+    assert [r["b"] for r in got] == [bits_of(r["v"]) for r in got]
+    assert spark.sql(f"SELECT {ordering.ordered_bits('double(\'NaN\')')} AS b").first()["b"] is None
+    assert all(ordering._from_bits(bits_of(v)) == v for v in values)
+
+
+def test_counted_quantiles_of_overlapping_subsets(spark):
+    rnd = random.Random(17)
+    rows = [(i % 3, rnd.gauss(0, 1), 7.0 if i % 3 == 0 else float(rnd.randint(-4, 4)),
+             rnd.choice([-1, 1]) * 10.0 ** rnd.uniform(-300, 300), rnd.randint(-9, 9), None)
+            for i in range(900)]
+    rows += [(0, None, float("nan"), float("inf"), None, None)]
+    rows += [(3, 5.0, -0.0, float("-inf"), 2, None), (None, 1.0, 1.0, 1.0, 1, None)]
+    df = spark.createDataFrame(rows, "part int, a double, b double, c double, d int, e double")
+    sets = {"all": "1", "not0": "CAST(coalesce(part <> 0, false) AS INT)",
+            "only3": "CAST(coalesce(part = 3, false) AS INT)",
+            "none": "CAST(coalesce(part = 9, false) AS INT)"}
+    keep = {"all": {0, 1, 2, 3, None}, "not0": {1, 2, 3}, "only3": {3}}
+    probs = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = ordering.counted_quantiles(df.repartition(5), ["a", "b", "c", "d", "e"], probs, sets)
+    expected = {}
+    for k, column in enumerate("abcd", start=1):
+        for name, parts in keep.items():
+            values = sorted(r[k] for r in rows if r[0] in parts and r[k] is not None and r[k] == r[k])
+            for p in probs:
+                at = (len(values) - 1) * p
+                low, high = values[math.floor(at)], values[math.ceil(at)]
+                expected[column, name, p] = (
+                    low if low == high else low + (high - low) * (at - math.floor(at)))
+    assert got.keys() == expected.keys()
+    assert all(got[k] == expected[k] or got[k] == pytest.approx(expected[k], rel=1e-15) for k in got)
+    assert ordering.counted_quantiles(df.limit(0), ["a"], (0.5,)) == {}
+    assert ordering.counted_quantiles(df, [], (0.5,)) == {}
+
+
+def test_counting_takes_few_jobs(spark):
+    rnd = random.Random(19)
+    df = spark.createDataFrame([(rnd.lognormvariate(0, 9), rnd.random()) for _ in range(5000)],
+                               "a double, b double").repartition(4)
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counting", "counting")
+    try:
+        found = ordering.counted_quantiles(df, ["a", "b"], (0.25, 0.5, 0.75))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Adaptive execution runs a round's map stage and its result as a job each.
+    assert len(found) == 6 and len(status.getJobIdsForGroup("counting")) <= 12
+
+
 def test_even_median(spark):
     df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 3.0, 10.0)], "f string, v double")
     assert ordering.exact_quantiles(df, ["f"], "v", (0.5,)).first()["quantile"] == 2.5
