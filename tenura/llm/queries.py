@@ -136,6 +136,8 @@ _LEAK_WORDS = """
 
 _RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
 
+_SUFFIXES = ", ".join(f"'{p}'" for p in urls.PUBLIC_SUFFIXES)
+
 # {level}: strength of the prior of a level by moments, between 2 and 1000 pages.
 _STRENGTH = """
 k_{level} AS (SELECT CASE WHEN sum(extra) IS NULL OR sum(extra) <= 0 OR sum(over) IS NULL
@@ -230,10 +232,20 @@ ruled AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, leng
     GROUP BY page_id),
 known AS (SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END)
     AS good FROM labels GROUP BY doc_id),
-split AS (SELECT host, good, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l
+named AS (SELECT host, good, regexp_replace(host, ':[0-9]*$', '') AS name
     FROM rows LEFT JOIN known USING (page_id)),
-hosts AS (SELECT host, array_to_string(l[greatest(len(l) - 1, 1):], '.') AS domain, l[-1] AS suffix,
-    sum(coalesce(good, 0))::BIGINT AS good, count(good) AS n FROM split GROUP BY host, l),
+split AS (SELECT host, good, name, string_split(name, '.') AS l,
+    regexp_matches(name, '^([0-9]{{1,3}}[.]){{3}}[0-9]{{1,3}}$|^\\[(.|\n)*\\]$') AS address,
+    CASE WHEN array_to_string(l[greatest(len(l) - 2, 1):], '.') IN ({_SUFFIXES}) THEN 3
+        WHEN array_to_string(l[greatest(len(l) - 1, 1):], '.') IN ({_SUFFIXES}) THEN 2 ELSE 1 END
+        AS depth FROM named),
+hosts AS (SELECT host,
+    CASE WHEN address THEN name
+        ELSE array_to_string(l[greatest(len(l) - depth, 1):], '.') END AS domain,
+    CASE WHEN address THEN '(address)'
+        ELSE array_to_string(l[greatest(len(l) - depth + 1, 1):], '.') END AS suffix,
+    sum(coalesce(good, 0))::BIGINT AS good, count(good) AS n
+    FROM split GROUP BY host, name, l, address, depth),
 domains AS (SELECT suffix, domain, sum(good)::BIGINT AS good, sum(n)::BIGINT AS n FROM hosts
     GROUP BY suffix, domain),
 suffixs AS (SELECT suffix, sum(good)::BIGINT AS good, sum(n)::BIGINT AS n, 0 AS everything

@@ -2,7 +2,9 @@
 
 Pages with a labelled outcome (good or not) are counted per host. The rate of good pages is shrunk
 through three levels of beta-binomial priors: a suffix towards all pages, a registered domain
-towards its suffix, a host towards its domain. The strength of each level's prior comes from the
+towards its suffix, a host towards its domain. The suffix is one of the given public suffixes of
+several labels, else the last label; the registered domain has one label more. Numeric addresses are
+domains of their own under one suffix. The strength of each level's prior comes from the
 spread of rates at that level (method of moments). A page whose host is, with the given confidence,
 below the wanted rate is blocked; hosts without evidence inherit their domain's or suffix's.
 """
@@ -19,6 +21,32 @@ from tenura.llm.text import lower_ascii
 from tenura.sources.scratch import materialize
 
 
+# Second-level labels under which country registries hand out domains, by country.
+REGISTRY_LABELS = {
+    "uk": "ac co gov ltd me net nhs org plc police sch",
+    "au": "asn com edu gov id net org",
+    "nz": "ac co geek gen govt iwi maori net org school",
+    "jp": "ac ad co ed go gr lg ne or",
+    "kr": "ac co go ne or pe re",
+    "in": "ac co edu firm gen gov ind net org res",
+    "za": "ac co gov law net org school web",
+    "br": "com edu gov net org",
+    "cn": "ac com edu gov net org",
+    "tw": "com edu gov idv net org",
+    "hk": "com edu gov idv net org",
+    "sg": "com edu gov net org per",
+    "mx": "com edu gob net org",
+    "ar": "com edu gob net org",
+    "tr": "com edu gov net org",
+    "il": "ac co gov net org",
+    "id": "ac co go net or sch web",
+    "th": "ac co go in net or",
+}
+PUBLIC_SUFFIXES = tuple(f"{label}.{country}" for country, labels in REGISTRY_LABELS.items()
+                        for label in labels.split())
+ADDRESS = r"(?s)\A([0-9]{1,3}\.){3}[0-9]{1,3}\z|\A\[.*\]\z"
+
+
 @dataclass(frozen=True)
 class Reputation:
     """Block when the upper bound of the good rate, ``sds`` deviations up, is under ``min_good``.
@@ -63,11 +91,28 @@ def first_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Colum
     return text, verdict
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix): the last two labels and the last label, without a port."""
-    labels = F.split(F.regexp_replace(host, r":[0-9]*$", ""), r"\.")
-    domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
-    return domain, F.element_at(labels, -1)
+def levels(host: Column, public: Sequence[str] = PUBLIC_SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host, without a port.
+
+    ``public`` lists suffixes of two or three labels; the longest that ends a host counts, and a host
+    that is itself a suffix is its own domain. IPv4 and bracketed addresses share the suffix
+    ``(address)`` and are domains of their own, with which nothing else is pooled.
+    """
+    name = F.regexp_replace(host, r":[0-9]*$", "")
+    labels = F.split(name, r"\.")
+    known = F.array(*[F.lit(p) for p in sorted(set(public))]).cast("array<string>")
+
+    def last(n: int) -> Column:
+        return F.array_join(F.slice(labels, F.greatest(F.size(labels) - (n - 1), F.lit(1)),
+                                    F.lit(n)), ".")
+
+    depth = F.when(F.array_contains(known, last(3)), 3).when(
+        F.array_contains(known, last(2)), 2).otherwise(1)
+    suffix = F.when(depth == 3, last(3)).when(depth == 2, last(2)).otherwise(last(1))
+    domain = F.when(depth == 3, last(4)).when(depth == 2, last(3)).otherwise(last(2))
+    address = name.rlike(ADDRESS)
+    return (F.when(address, name).otherwise(domain),
+            F.when(address, F.lit("(address)")).otherwise(suffix))
 
 
 def _strength(groups: DataFrame, by: Sequence[str], limits: Reputation) -> float:
@@ -88,13 +133,14 @@ def _strength(groups: DataFrame, by: Sequence[str], limits: Reputation) -> float
     return min(max(row["extra"] / row["over"] - 1.0, limits.least), limits.most)
 
 
-def reputations(pages: DataFrame, limits: Reputation = Reputation()) -> DataFrame:
+def reputations(pages: DataFrame, limits: Reputation = Reputation(),
+                public: Sequence[str] = PUBLIC_SUFFIXES) -> DataFrame:
     """(host, n, good, mean, upper) of each host of ``pages`` (host, good).
 
     ``good`` is 1 or 0 for labelled pages and null for others. Sums are whole numbers and every
     group is summed in parts first, so a host with a third of all pages costs one row per task.
     """
-    domain, suffix = levels(F.col("host"))
+    domain, suffix = levels(F.col("host"), public)
     hosts = pages.groupBy("host").agg(F.sum(F.coalesce("good", F.lit(0))).alias("good"),
                                       F.count("good").alias("n"))
     hosts = materialize(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
@@ -121,11 +167,12 @@ def reputations(pages: DataFrame, limits: Reputation = Reputation()) -> DataFram
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule],
           limits: Reputation = Reputation(), id_col: str = "page_id",
-          url_col: str = "url") -> DataFrame:
+          url_col: str = "url", public: Sequence[str] = PUBLIC_SUFFIXES) -> DataFrame:
     """(id, host, path, rule, verdict, host_pages, host_mean, host_upper) for each row of ``pages``.
 
     ``outcomes`` (id, good) are the labelled pages; an id with several outcomes is good if all
-    are. Null and malformed urls share the empty host. The rules are a short list; at most 1,000.
+    are. Null and malformed urls share the empty host. The rules are a short list, at most 1,000;
+    ``public`` are the suffixes of several labels under which domains are registered.
     """
     if len(rules) > 1000:
         raise ValueError("more than 1,000 rules")
@@ -134,7 +181,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule],
     known = outcomes.toDF("id", "good").where("id is not null and good is not null")
     known = known.groupBy("id").agg(F.min("good").alias("good"))
     marked = rows.select("id", "host").join(known, "id", "left")
-    found = reputations(marked.select("host", "good"), limits)
+    found = reputations(marked.select("host", "good"), limits, public)
     rule, verdict = first_rule(F.col("host"), F.col("path"), rules)
     rows = rows.join(found, "host").withColumns({"rule": rule, "verdict": verdict})
     by_host = F.when(F.col("upper") < limits.min_good, "block").otherwise("allow")
