@@ -311,6 +311,25 @@ train_rows AS (SELECT f.* FROM features f JOIN parts q USING (customer_id)
 {numeric} UNION ALL {text}"""
 
 
+def _rule_violations() -> str:
+    texts = ("city", "plan_name", "autopay_type", "tenure_bucket", "contract_type")
+    least = {"city_tier": 1, "tenure_months": 1, "support_tickets": 0, "data_cap_gb": 0,
+             "avg_data_gb": 0, "avg_calls": 0, "avg_days_since_recharge": 0,
+             "max_days_since_recharge": 0, "avg_recharge_amount_inr": 0, "recharge_frequency": 0,
+             "avg_rolling_3m_data_gb": 0, "usage_increase_months": 0,
+             "max_rolling_recharge_recency": 0}
+    rules = []
+    for c in (*texts, *least, "avg_monthly_data_delta"):
+        rules.append(f"SELECT '{c}:missing' AS rule, count(*) FILTER ({c} IS NULL) AS rows FROM r")
+        rules.append(f"SELECT '{c}:type', 0 FROM (SELECT 1)")
+    for c, low in least.items():
+        above = f" OR {c} > 3" if c == "city_tier" else ""
+        rules.append(f"SELECT '{c}:range', count(*) FILTER ({c} < {low}{above}) FROM r")
+    return f"""WITH {CUSTOMERS}, {SPARSE_USAGE}, {FEATURES},
+r AS (SELECT * REPLACE (tenure_months - 12 AS tenure_months) FROM features)
+{' UNION ALL '.join(rules)}"""
+
+
 def _profile() -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS feature, count({c}) AS count, round(avg({c}), 3) AS mean,
@@ -601,6 +620,14 @@ FROM (SELECT greatest(count(*) FILTER (WHERE churn = 0), 1) AS n0,
         "validate_inputs": f"""WITH {CUSTOMERS}, {SPARSE_USAGE}, {FEATURES}
 SELECT customer_id, 'avg_monthly_data_delta:missing' AS violations FROM features
 WHERE avg_monthly_data_delta IS NULL""",
+        "rule_violations": _rule_violations(),
+        "rejected_rows": f"""WITH {CUSTOMERS}, {SPARSE_USAGE}, {FEATURES},
+judged AS (SELECT customer_id, concat_ws(' | ',
+    CASE WHEN tenure_months - 12 < 1 THEN 'tenure_months:range' END,
+    CASE WHEN avg_monthly_data_delta IS NULL THEN 'avg_monthly_data_delta:missing' END)
+    AS violations FROM features)
+SELECT customer_id, violations FROM judged WHERE violations <> ''
+UNION ALL SELECT NULL, 'valid ' || count(*) FROM judged WHERE violations = ''""",
         "default_fill": _default_fill(),
         "reasons": f"""WITH {ALL_FEATURES}
 SELECT customer_id, {TOP_REASONS} AS top_reasons

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenura import fixed_values as fv
+from tenura.sources.scratch import materialize
 
 
 def not_null_violations(df: DataFrame, columns: Sequence[str], table: str) -> DataFrame:
@@ -83,10 +84,45 @@ def with_violations(df: DataFrame) -> DataFrame:
     return df.withColumn("violations", F.array_compact(F.array(*rules)))
 
 
+def _typed(valid: DataFrame) -> DataFrame:
+    return valid.withColumns({name: F.col(name).cast(kind) for name, kind, *_ in fv.SCORING_FIELDS})
+
+
+def rule_names() -> list[str]:
+    """Every rule ``with_violations`` can report, field by field."""
+    names = []
+    for name, _, _, low, high in fv.SCORING_FIELDS:
+        names += [f"{name}:missing", f"{name}:type"]
+        names += [f"{name}:range"] if low is not None or high is not None else []
+    return names
+
+
+def store_checked(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(valid rows, rejected rows with violations, rows per rule) of a batch table in one pass.
+
+    The rows are checked, counted and written once, in folders of valid and of rejected rows, so
+    either side reads its own folder. The counts are taken while the rows are written: one row per
+    rule, rules nobody broke with 0. A row that breaks several rules counts for each.
+    """
+    checked = with_violations(df).withColumn("_valid", F.size("violations") == 0)
+    rules = rule_names()
+    seen = Observation()
+    counted = checked.observe(seen, *[
+        F.count_if(F.array_contains("violations", rule)).alias(rule) for rule in rules])
+    stored = materialize(counted, "checked", ("_valid",))
+    found = seen.get
+    counts = df.sparkSession.createDataFrame(
+        [(rule, found.get(rule, 0)) for rule in rules], "rule string, rows long")
+    valid = _typed(stored.filter(F.col("_valid")).drop("_valid", "violations"))
+    return valid, stored.filter(~F.col("_valid")).drop("_valid"), counts
+
+
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows under the declared types, rejected rows with their violations)."""
+    """(valid rows under the declared types, rejected rows with their violations).
+
+    Two filters over the same rows, for streams and small requests; ``store_checked`` makes both from
+    one pass over a table.
+    """
     checked = with_violations(df)
     good = F.size("violations") == 0
-    casts = {name: F.col(name).cast(kind) for name, kind, *_ in fv.SCORING_FIELDS}
-    valid = checked.filter(good).drop("violations").withColumns(casts)
-    return valid, checked.filter(~good)
+    return _typed(checked.filter(good).drop("violations")), checked.filter(~good)

@@ -458,6 +458,23 @@ def validate_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected.select("customer_id", _joined("violations").alias("violations"))
 
 
+def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that break each rule, where tenure is taken a year earlier and panels have gaps."""
+    rows = _features(spark, sf_dir, dense=False)
+    rows = rows.withColumn("tenure_months", F.col("tenure_months") - 12)
+    return quality.store_checked(rows)[2]
+
+
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table's rejected rows, and how many rows are valid beside them."""
+    rows = _features(spark, sf_dir, dense=False)
+    rows = rows.withColumn("tenure_months", F.col("tenure_months") - 12)
+    valid, rejected, _ = quality.store_checked(rows)
+    return rejected.select("customer_id", _joined("violations").alias("violations")).unionByName(
+        valid.agg(F.lit(None).cast("bigint").alias("customer_id"),
+                  F.concat_ws(" ", F.lit("valid"), F.count(F.lit(1))).alias("violations")))
+
+
 def default_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring rows made from the customer table alone."""
     filled = quality.fill_absent(binding.customers(spark, sf_dir).drop("churn"))
@@ -668,6 +685,8 @@ QUERIES: dict[str, Query] = {
     "standardize": standardize,
     "one_hot": one_hot,
     "validate_inputs": validate_inputs,
+    "rule_violations": rule_violations,
+    "rejected_rows": rejected_rows,
     "default_fill": default_fill,
     "reasons": reason_texts,
     "driver_names": driver_names,

@@ -179,10 +179,19 @@ def score(rows: DataFrame, artifact: Artifact) -> tuple[DataFrame, DataFrame]:
     batch and streaming frames alike.
     """
     valid, rejected = quality.split_valid(quality.fill_absent(rows))
+    return _answers(valid, artifact), rejected
+
+
+def score_table(rows: DataFrame, artifact: Artifact) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``score`` of a whole table, read and checked once: (answers, rejected, rows per rule)."""
+    valid, rejected, counts = quality.store_checked(quality.fill_absent(rows))
+    return _answers(valid, artifact), rejected, counts
+
+
+def _answers(valid: DataFrame, artifact: Artifact) -> DataFrame:
     scored = models.with_probability(artifact.pipeline, valid)
-    answers = reports.scored(scored, artifact.model_name, artifact.model_version,
-                             artifact.decision_threshold)
-    return answers, rejected
+    return reports.scored(scored, artifact.model_name, artifact.model_version,
+                          artifact.decision_threshold)
 
 
 def is_linear(artifact: Artifact) -> bool:

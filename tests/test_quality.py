@@ -53,6 +53,52 @@ def test_split_and_fill(spark):
     assert quality.with_violations(null).first()["violations"] == ["city:missing"]
 
 
+def test_checked_once(spark):
+    """Both sides and the counts come from one job and agree with the two-filter form."""
+    rows = [(i, [1, 9, None][i % 3], [5, 0][i % 2], float(i) if i % 5 else float("nan"))
+            for i in range(60)]
+    df = quality.fill_absent(spark.createDataFrame(
+        rows, "customer_id long, city_tier int, tenure_months long, avg_calls double").repartition(4))
+    valid, rejected, counts = quality.store_checked(df)
+    plain, refused = quality.split_valid(df)
+    assert valid.dtypes == plain.dtypes and rejected.columns == refused.columns
+    assert sorted(valid.collect()) == sorted(plain.collect()) != []
+    assert (sorted(rejected.select("customer_id", "violations").collect())
+            == sorted(refused.select("customer_id", "violations").collect()))
+    expected = {rule: 0 for rule in quality.rule_names()}
+    for r in refused.collect():
+        for rule in r["violations"]:
+            expected[rule] += 1
+    assert {r["rule"]: r["rows"] for r in counts.collect()} == expected
+    assert expected["city_tier:missing"] == expected["city_tier:range"] == 20
+    read = rejected._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_valid" in read
+
+
+def test_checking_reads_the_rows_once(spark):
+    source = spark.range(300).repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = source.mapInArrow(note, "id long").selectExpr("id AS customer_id",
+                                                       "CAST(id % 4 AS INT) AS city_tier")
+    valid, rejected, counts = quality.store_checked(quality.fill_absent(df))
+    assert (valid.count(), rejected.count()) == (225, 75)
+    assert counts.filter("rows > 0").collect() == [("city_tier:range", 75)]
+    assert seen.value == 300
+
+
+def test_nothing_to_check(spark):
+    empty = quality.fill_absent(spark.createDataFrame([], "customer_id long"))
+    valid, rejected, counts = quality.store_checked(empty)
+    assert valid.count() == rejected.count() == 0
+    assert {r["rows"] for r in counts.collect()} == {0}
+
+
 def test_rules_on_tables(spark):
     df = spark.createDataFrame(
         [(1, 1, "a"), (1, 1, None), (1, 2, "b"), (None, 1, "c"), (None, 3, None)],
