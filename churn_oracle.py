@@ -486,6 +486,7 @@ SELECT size, round(churn_rate, 6) AS churn_rate, tp, fp, fn, round(precision, 6)
        round(recall, 6) AS recall, round(f1, 6) AS f1 FROM counted"""
     return {
         "feature_table": features,
+        "bucketed_features": features,
         "feature_view": f"""WITH {ALL_FEATURES}
 SELECT plan_name, tenure_bucket, count(*) AS customers,
        round(avg(avg_data_gb), 6) AS avg_data_gb FROM features GROUP BY 1, 2""",

@@ -98,6 +98,17 @@ def io_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(tables.read_report(spark, f"{folder}/features.parquet"), FEATURE_DOUBLES)
 
 
+def bucketed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table over a stored pair of base tables that share their buckets."""
+    folder = new_path(spark, "bucketed")
+    suffix = folder.rsplit("-", 1)[-1]
+    customers = sinks.write_bucketed(binding.customers(spark, sf_dir), f"customers_{suffix}",
+                                     f"{folder}/customers", "customer_id")
+    usage = sinks.write_bucketed(binding.usage(spark, sf_dir), f"usage_{suffix}",
+                                 f"{folder}/usage", "customer_id", ("month_index",))
+    return _round(plans.feature_table(customers, usage), FEATURE_DOUBLES)
+
+
 def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel as binding builds it: six rows per customer."""
     return panel.with_windows(binding.usage(spark, sf_dir), bounded=True)
@@ -634,6 +645,7 @@ def driver_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "feature_table": feature_table,
+    "bucketed_features": bucketed_features,
     "feature_view": feature_view,
     "io_roundtrip": io_roundtrip,
     "lag_usage": lag_usage,

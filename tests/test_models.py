@@ -262,6 +262,16 @@ def test_scoring_a_record(spark, run):
     assert sparse.first()["top_reasons"] == [fv.REASON_CONTRACT]
 
 
+def test_a_table_is_scored_as_its_rows(spark, run):
+    rows = spark.createDataFrame([{**RECORD, "customer_id": i, "tenure_months": i % 3}
+                                  for i in range(30)])
+    answers, rejected = training.score(rows, run.artifact)
+    stored, refused, counts = training.score_table(rows, run.artifact)
+    assert sorted(stored.collect()) == sorted(answers.collect())
+    assert rejected.count() == refused.count() == 10
+    assert counts.filter("rows > 0").collect() == [("tenure_months:range", 10)]
+
+
 def test_artifact_round_trip(spark, run, planted, tmp_path):
     artifacts.save(run.artifact, spark, str(tmp_path / "model"))
     loaded = artifacts.load(spark, str(tmp_path / "model"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tenura.operators import panel
 from tenura.plans import features
-from tenura.sources import binding
+from tenura.sources import binding, sinks
 
 A_DATA, A_DAYS = (10, 12, 11, 15, 15, 18), (5, 9, 12, 10, 20, 3)
 WORKED = {
@@ -141,6 +141,36 @@ def test_plan_has_one_window_and_one_exchange_per_side(spark, tmp_path, small):
     assert "EvalPython" not in plan
 
 
+def test_stored_pair_needs_no_exchange(spark, tmp_path, small):
+    """Windows, aggregate and join run on the buckets; rows equal those of the plain tables."""
+    customers, usage = binding.customers(spark, small), binding.usage(spark, small)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = sinks.write_bucketed(customers, "kept_customers", str(tmp_path / "c"), "customer_id",
+                                    buckets=4)
+        months = sinks.write_bucketed(usage, "kept_usage", str(tmp_path / "u"), "customer_id",
+                                      ("month_index",), buckets=4)
+        table = features.feature_table(kept, months, trend=True)
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, table.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    files = [f for f in (tmp_path / "u").iterdir() if f.suffix == ".parquet"]
+    assert len(files) == 4
+    expected = sorted(map(tuple, features.feature_table(customers, usage, trend=True).collect()))
+    assert [g[:6] for g in got] == [e[:6] for e in expected]
+    for g, e in zip(got, expected):
+        assert [v for v in g if isinstance(v, float)] == pytest.approx(
+            [v for v in e if isinstance(v, float)])
+    again = sinks.write_bucketed(customers.limit(3), "kept_customers", str(tmp_path / "c2"),
+                                 "customer_id", buckets=2)
+    assert again.count() == 3
+    for name in ("kept_customers", "kept_usage"):
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_binding_counts(spark, small, medium):
     expected = {small: (150, 900, 0.433333, 275, 355), medium: (1500, 9000, 0.41, 2648, 3563)}
     for folder, (customers, rows, churn, recharges, increases) in expected.items():
