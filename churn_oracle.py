@@ -487,6 +487,7 @@ SELECT size, round(churn_rate, 6) AS churn_rate, tp, fp, fn, round(precision, 6)
     return {
         "feature_table": features,
         "bucketed_features": features,
+        "incremental_features": features,
         "feature_view": f"""WITH {ALL_FEATURES}
 SELECT plan_name, tenure_bucket, count(*) AS customers,
        round(avg(avg_data_gb), 6) AS avg_data_gb FROM features GROUP BY 1, 2""",

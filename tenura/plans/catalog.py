@@ -13,13 +13,13 @@ from tenura import schema
 from tenura import fixed_values as fv
 from tenura.functions import naming, reasons, scalars
 from tenura.operators import (
-    attribution, economics, metrics, models, panel, preprocess, profile, quality, reports, splits,
+    attribution, economics, incremental, metrics, models, panel, preprocess, profile, quality, reports, splits,
 )
 from tenura.plans import features as plans
 from tenura.plans import training
 from tenura.schema import Economics, RunParams
 from tenura.sources import artifacts, binding, sinks, tables
-from tenura.sources.scratch import materialize, new_path
+from tenura.sources.scratch import drop, materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 COSTLY = Economics(intervention_cost=45.0)
@@ -109,6 +109,20 @@ def bucketed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(plans.feature_table(customers, usage), FEATURE_DOUBLES)
 
 
+def incremental_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table from states that took in the panel's periods one after another."""
+    usage = materialize(binding.usage(spark, sf_dir), "panel", ("month_index",))
+    state = incremental.empty_state(spark)
+    for k in range(1, binding.PERIODS + 1):
+        before, state = state, incremental.update(state, usage.filter(F.col("month_index") == k))
+        if k > 1:
+            drop(before)
+    drop(usage)
+    behaviour = incremental.behaviour(state)
+    return _round(plans.with_behaviour(binding.customers(spark, sf_dir), behaviour),
+                  FEATURE_DOUBLES)
+
+
 def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel as binding builds it: six rows per customer."""
     return panel.with_windows(binding.usage(spark, sf_dir), bounded=True)
@@ -646,6 +660,7 @@ def driver_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "feature_table": feature_table,
     "bucketed_features": bucketed_features,
+    "incremental_features": incremental_features,
     "feature_view": feature_view,
     "io_roundtrip": io_roundtrip,
     "lag_usage": lag_usage,

@@ -31,7 +31,11 @@ def feature_table(
     row per customer and period, six at most; with ``bounded=False`` a customer may have any number
     of rows, which are then split over tasks.
     """
-    behaviour = panel.customer_behaviour(usage, trend, bounded)
+    return with_behaviour(customers, panel.customer_behaviour(usage, trend, bounded), trend)
+
+
+def with_behaviour(customers: DataFrame, behaviour: DataFrame, trend: bool = False) -> DataFrame:
+    """The feature table from customers and their behaviour features, one row each."""
     columns = FEATURE_COLUMNS + (("data_usage_trend",) if trend else ())
     return (customers
             .join(behaviour, "customer_id")
