@@ -76,4 +76,4 @@ def model_metrics(
 ) -> DataFrame:
     """Threshold and ranking metrics side by side; both sides hold one row per group."""
     left = threshold_metrics(df, threshold, by, label, score)
-    return left.join(F.broadcast(ranking_metrics(df, by, label, score)), list(by), "left")
+    return left.join(ranking_metrics(df, by, label, score), list(by), "left")

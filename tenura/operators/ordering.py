@@ -5,8 +5,9 @@ is cut at approximate quantiles, counts before each bin come from a small per-bi
 rows of one bin meet in a task. The cuts only balance the bins; the results are exact. Rows are
 reduced to one per distinct value before the shuffle, so a value held by many rows costs one row.
 
-Groups are things like columns or (model, fold) pairs: their number must not grow with the data,
-since the cuts (1023 values per group) and the bin counts (1024 rows per group) are broadcast.
+The cuts come from one mergeable sketch per group and are stored, since sketches draw at random: every
+pass sees the same ones. There are as many bins as the largest group's rows ask for. Cuts and bin
+counts are broadcast if all groups together have few of them, and joined by shuffle otherwise.
 Quantiles of whole columns need no order at all: ``counted_quantiles`` finds them by counting.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,12 @@ from pyspark.sql import functions as F
 from tenura.functions.scalars import with_count_at_or_below
 from tenura.sources.scratch import drop, materialize
 
-CUTS = 1023
-CUT_ACCURACY = 10_000
+# Rows of the largest group per bin, and the least and most bins; powers of two.
+BIN_ROWS = 1 << 18
+LEAST_BINS = 64
+MOST_BINS = 1 << 16
+# Cuts of all groups that may be sent to every task: some tens of MB.
+MOST_SENT = 1 << 21
 CELL_BITS = 11
 
 
@@ -38,12 +43,34 @@ def _known(df: DataFrame, value: str) -> DataFrame:
     return df.filter(f"`{value}` IS NOT NULL AND NOT isnan(`{value}`)")
 
 
-def _binned(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    shares = ", ".join(f"{i / (CUTS + 1)}D" for i in range(1, CUTS + 1))
-    sketch = F.expr(f"percentile_approx(`{value}`, array({shares}), {CUT_ACCURACY})")
-    cuts = df.groupBy(*by).agg(sketch.alias("_cuts"))
-    joined = df.join(F.broadcast(cuts), list(by))
-    return with_count_at_or_below(joined, value, F.col("_cuts"), CUTS, "_bin").drop("_cuts")
+def bins_for(rows: int) -> int:
+    """Bins for a group of ``rows`` rows: a power of two, BIN_ROWS rows each where bounds allow."""
+    wanted = max(LEAST_BINS, -(-rows // BIN_ROWS))
+    return min(MOST_BINS, 1 << (wanted - 1).bit_length())
+
+
+def _binned(
+    df: DataFrame, by: Sequence[str], value: str, bins: int | None
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with the row's ``_bin``, and what marks tables of one row per bin for their join."""
+    if bins is None:
+        largest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        bins = bins_for(largest or 0)
+    if bins < 2 or bins & (bins - 1):
+        raise ValueError("bins must be a power of two, two or more")
+    # A sketch of k values misplaces a cut by about 2.3 / k ** 0.9 of the rows.
+    sketch = F.kll_sketch_agg_double(F.col(value).cast("double"),
+                                     F.lit(min(65535, max(200, 4 * bins))))
+    # As text: tens of thousands of literals would slow the analysis down.
+    shares = F.split(F.lit(" ".join(str(i / bins) for i in range(1, bins))), " ").cast(
+        "array<double>")
+    cuts = materialize(
+        df.groupBy(*by).agg(sketch.alias("_sketch"))
+        .select(*by, F.kll_sketch_get_quantile_double("_sketch", shares).alias("_cuts")), "cuts")
+    send = F.broadcast if cuts.count() * bins <= MOST_SENT else (lambda table: table)
+    joined = df.join(send(cuts), list(by))
+    binned = with_count_at_or_below(joined, value, F.col("_cuts"), bins - 1, "_bin")
+    return binned.drop("_cuts"), send
 
 
 def _sums(weights: Mapping[str, str], prefix: str = "") -> list[Column]:
@@ -71,6 +98,7 @@ def _within_bins(
     value: str,
     weights: Mapping[str, str],
     descending: bool,
+    send: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     distinct = binned.groupBy(*by, "_bin", value).agg(*_sums(weights))
     earlier = (f"PARTITION BY {', '.join(by)}, _bin ORDER BY {value} "
@@ -78,7 +106,7 @@ def _within_bins(
                "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
     local = [f"coalesce(sum({n}) OVER ({earlier}), 0) AS _local_{n}" for n in weights]
     return (distinct.selectExpr("*", *local)
-            .join(F.broadcast(offsets), [*by, "_bin"])
+            .join(send(offsets), [*by, "_bin"])
             .selectExpr(*by, value, *weights,
                         *[f"_off_{n} + _local_{n} AS before_{n}" for n in weights],
                         *[f"total_{n}" for n in weights]))
@@ -90,15 +118,17 @@ def ordered_prefix(
     value: str,
     weights: Mapping[str, str],
     descending: bool = False,
+    bins: int | None = None,
 ) -> DataFrame:
     """One row per group and distinct value with the exact weight at and before the value.
 
     ``weights`` are SQL expressions. Columns: by.., value, and per weight n: ``n``, ``before_n``,
-    ``total_n``. NULL and NaN values are left out.
+    ``total_n``. NULL and NaN values are left out. ``bins`` a group, a power of two, follow from the
+    rows if not given; they decide how many tasks share a group, never the result.
     """
-    binned = _binned(_known(df, value), by, value)
+    binned, send = _binned(_known(df, value), by, value, bins)
     offsets = _bin_offsets(binned, by, weights, descending)
-    return _within_bins(binned, offsets, by, value, weights, descending)
+    return _within_bins(binned, offsets, by, value, weights, descending, send)
 
 
 def exact_quantiles(
@@ -107,6 +137,7 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     weights: Mapping[str, str] | None = None,
+    bins: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: by.., weight, prob, quantile.
 
@@ -115,7 +146,7 @@ def exact_quantiles(
     bins that hold a wanted position are shuffled.
     """
     weights = weights or {"all": "1"}
-    binned = _binned(_known(df, value), by, value)
+    binned, send = _binned(_known(df, value), by, value, bins)
     offsets = _bin_offsets(binned, by, weights, descending=False)
 
     def spot(n: str, prob: float) -> str:
@@ -128,8 +159,8 @@ def exact_quantiles(
             for n in weights for prob in probs for end in ("floor", "ceil")]
     offsets = offsets.filter(
         " OR ".join(holds(position, f"_off_{n}", f"_in_{n}") for n, position in ends))
-    needed = binned.join(F.broadcast(offsets.select(*by, "_bin")), [*by, "_bin"], "left_semi")
-    rows = _within_bins(needed, offsets, by, value, weights, descending=False)
+    needed = binned.join(send(offsets.select(*by, "_bin")), [*by, "_bin"], "left_semi")
+    rows = _within_bins(needed, offsets, by, value, weights, False, send)
 
     picks, quantiles = [], []
     for n in weights:

@@ -60,8 +60,7 @@ def numeric_profile(
                      .groupBy("feature").agg(*[
                          F.max(F.when(F.col("prob") == p, F.col("quantile")))
                          .alias(f"p{round(100 * p)}") for p in QUARTILES]))
-    # Both sides hold one row per column of the profiled table.
-    return (moments.join(F.broadcast(quartiles), "feature")
+    return (moments.join(quartiles, "feature")
             .select("feature", "count",
                     *[F.round(c, digits).alias(c)
                       for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]))

@@ -198,3 +198,35 @@ def test_numeric_profile_equals_pandas(spark):
     rough = {r["feature"]: r
              for r in profile.numeric_profile(df, ["a"], exact=False).collect()}
     assert rough["a"]["p50"] == pytest.approx(expected["a"]["50%"], abs=0.2)
+
+
+def test_bins_follow_the_rows():
+    assert [ordering.bins_for(n) for n in (0, 1, 10 ** 6)] == [ordering.LEAST_BINS] * 3
+    assert ordering.bins_for(10 ** 9) == 4096 and ordering.bins_for(2 ** 30 + 1) == 8192
+    assert ordering.bins_for(10 ** 15) == ordering.MOST_BINS
+
+
+@pytest.mark.parametrize("most", [ordering.MOST_SENT, 0])
+def test_results_do_not_depend_on_bins_or_on_what_is_sent(spark, scored, monkeypatch, most):
+    monkeypatch.setattr(ordering, "MOST_SENT", most)
+    df = spark.createDataFrame(scored, "model string, churn int, p double").repartition(3)
+    weights = {"pos": "churn", "all": "1"}
+
+    def rows(bins):
+        prefix = ordering.ordered_prefix(df, ["model"], "p", weights, True, bins)
+        quantiles = ordering.exact_quantiles(df, ["model"], "p", (0.1, 0.5), weights, bins)
+        return [sorted(map(tuple, t.select(sorted(t.columns)).collect())) for t in (prefix, quantiles)]
+
+    expected = rows(None)
+    assert len(expected[0]) > 1000 and len(expected[1]) == 12
+    for bins in (2, 4096):
+        assert rows(bins) == expected
+    with pytest.raises(ValueError, match="power of two"):
+        rows(1000)
+
+
+def test_more_bins_than_the_old_fixed_number(spark):
+    df = spark.range(20_000).selectExpr("'g' AS g", "CAST(id AS DOUBLE) AS v")
+    binned, _ = ordering._binned(df, ["g"], "v", 4096)
+    sizes = [r["count"] for r in binned.groupBy("_bin").count().collect()]
+    assert len(sizes) > 3000 and max(sizes) < 60
