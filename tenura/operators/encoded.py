@@ -24,8 +24,10 @@ from tenura.sources.scratch import materialize
 CUTS = 31
 # Rows of a stored file, and so of a task of every later pass.
 ROWS_PER_FILE = 1 << 15
-# Tasks whose sums the driver adds itself; those of more are added by Spark first.
+# Tasks whose sums the driver adds itself, and sums of all of them at most; others are added by
+# Spark first.
 FEW_TASKS = 16
+FEW_SUMS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -223,11 +225,12 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
 
 def summed(rows: Encoded, stored: DataFrame,
            partial: Callable[[Batch, pa.RecordBatch], tuple[np.ndarray, np.ndarray]],
-           width: int) -> tuple[np.ndarray, np.ndarray]:
+           width: int, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Sums by place over all rows: (places in order, one row of ``width`` sums each).
 
-    ``partial`` gives (places, sums) of one task's rows, each place once. A few tasks' sums are
-    added on the driver; more are added by Spark, so that the driver gets one row per place.
+    ``partial`` gives (places, sums) of one task's rows, each place once; there are ``most`` places.
+    A few tasks' sums are added on the driver; more are added by Spark, so that the driver gets one
+    row per place.
     """
     schema = T.StructType([T.StructField("place", T.LongType()), *[
         T.StructField(f"v{i}", T.DoubleType()) for i in range(width)]])
@@ -242,7 +245,7 @@ def summed(rows: Encoded, stored: DataFrame,
                 names=schema.names)
 
     table = stored.mapInArrow(add, schema)
-    if rows.files > FEW_TASKS:
+    if rows.files > FEW_TASKS or rows.files * most > FEW_SUMS:
         table = table.groupBy("place").agg(*[F.sum(n).alias(n) for n in schema.names[1:]])
     table = table.toArrow()
     if not table.num_rows:

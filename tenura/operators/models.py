@@ -1,8 +1,8 @@
 """Candidate classifiers, fitted for all fit sets together.
 
 A candidate learns from the encoded rows of every fit set in shared passes (``newton``, ``trees``).
-What it leaves are ordinary pyspark.ml models over the ``features`` vector of the preprocessing, so
-scoring, storing and streaming need nothing of their own.
+What it leaves are pyspark.ml models over the ``features`` vector of the preprocessing: Spark's own
+for weights and for few small trees, a stage with the nodes in arrays for a forest (``forest_model``).
 """
 
 from __future__ import annotations
@@ -14,9 +14,7 @@ from functools import reduce
 import numpy as np
 from py4j.java_gateway import JavaObject
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel,
-)
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.ml.common import _py2java
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -27,6 +25,7 @@ from tenura import fixed_values as fv
 from tenura import schema
 from tenura.operators import newton, trees
 from tenura.operators.encoded import Encoded, FillSet, encode
+from tenura.operators.forest_model import ForestModel, Nodes, narrow
 from tenura.operators.preprocess import Part, Preprocessing, in_parts, to_stages
 
 Weights = dict[str, tuple[float, float]]
@@ -83,8 +82,8 @@ def random_forest(trees_: int = 350, depth: int = 12, min_leaf: int = 5) -> Cand
         f = trees.Forest(trees_, depth, min_leaf, fv.SEED)
         grown = trees.grow_forest(rows, weights, f)
         return Fits(
-            lambda s, parts: trees.forest_scores(rows, s, grown[s], parts, depth),
-            lambda s: _forest_model(rows.rows.sparkSession, grown[s], rows, rows.sets[s]))
+            lambda s, parts: trees.forest_scores(rows, s, grown, parts, depth),
+            lambda s: _forest_model(grown, s, rows, rows.sets[s]))
 
     return Candidate("RandomForest", balanced_weights, fit_all)
 
@@ -203,23 +202,29 @@ def _doubles(spark: SparkSession, values: Sequence[float]) -> JavaObject:
     return out
 
 
-def _forest_model(spark: SparkSession, grown: Sequence[trees.Tree], rows: Encoded,
-                  s: FillSet) -> RandomForestClassificationModel:
-    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    gini = jvm.org.apache.spark.mllib.tree.impurity.GiniCalculator
-    ml = jvm.org.apache.spark.ml.classification
+def _forest_model(grown: trees.Forests, name: str, rows: Encoded, s: FillSet) -> ForestModel:
     places, width = _feature_places(rows, s), len(s.preprocessing.feature_names)
-
-    def impurity(stats: tuple) -> JavaObject:
-        return gini(_doubles(spark, stats[:2]), int(stats[2]))
-
-    array = gateway.new_array(ml.DecisionTreeClassificationModel, len(grown))
-    for i, tree in enumerate(grown):
-        root = _root(spark, tree, rows, s, places, impurity, lambda x: x[0] + x[1],
-                     lambda v: float(v > 0.5))
-        array[i] = ml.DecisionTreeClassificationModel(f"tree_{i}", root, width, 2)
-    return RandomForestClassificationModel(
-        ml.RandomForestClassificationModel("forest_by_levels", array, width, 2))
+    categories = max([1, *rows.sizes()[len(rows.numeric):]])
+    # The vector's place of (input, code); a numeric input has one, whatever the code.
+    table = np.full((len(rows.numeric) + len(rows.categorical), categories), -1, np.int64)
+    for (i, code), place in places.items():
+        table[i, slice(None) if i < len(rows.numeric) else code] = place
+    edges = np.full((len(rows.numeric), max([1, *map(len, rows.cuts)])), np.nan)
+    for i, cut in enumerate(rows.cuts):
+        edges[i, :len(cut)] = (cut - s.means[i]) / s.scales[i]
+    parts, starts, total = [], [], np.zeros(width)
+    for own in grown.each(name, ["place", "col", "cut", "gain", "value"]):
+        col, cut, inner = own["col"], own["cut"], own["col"] >= 0
+        numeric = inner & (col < len(rows.numeric))
+        feature, number = np.full(len(col), -1), np.where(inner, 0.5, own["value"])
+        feature[inner] = table[col[inner], np.where(numeric, 0, cut)[inner]]
+        number[numeric] = edges[col[numeric], cut[numeric]]
+        gains = np.bincount(feature[inner], own["gain"][inner], width)
+        total += gains / gains.sum() if gains.sum() > 0 else 0.0
+        starts.append(starts[-1] + len(parts[-1][0]) if parts else 0)
+        parts.append((narrow(feature), narrow(trees.left_children(own)), number))
+    nodes = Nodes(np.array(starts, np.int64), *(np.concatenate(c) for c in zip(*parts)))
+    return ForestModel(nodes=nodes, importances=(total / (total.sum() or 1.0)).tolist())
 
 
 def _boosted_model(spark: SparkSession, grown: Sequence[trees.Tree], rows: Encoded,

@@ -2,14 +2,17 @@
 
 One pass per level sums a histogram over (fit set, tree, node, input, code) and the driver picks
 each node's split from the sums; sums are bounded by the number of nodes times codes, never by the
-rows, and a forest's trees go through in batches that keep them small. Rows are drawn by a hash of
-their key, so trees depend neither on the partitioning nor on the batches.
+rows. A forest grows some trees of all sets at a time: nodes of many rows split by such passes, the
+rows of smaller ones are dealt to tasks that grow what is below. Its nodes are a stored table, of
+which the driver reads one set's trees when they score. Rows are drawn by a hash of their key, so
+trees depend neither on the partitioning nor on the batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -20,15 +23,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenura.operators.encoded import (
-    Batch, Encoded, FillSet, dense, drawn, filled_codes, matrix, mixed, read, summed,
+    Batch, Encoded, FillSet, dense, drawn, filled_codes, gathered, matrix, mixed, read,
+    summed,
 )
+from tenura.operators.forest_model import narrow
 from tenura.sources.scratch import materialize
 
 # Rounds after which the margins of all rows are stored anew.
 ROUNDS_KEPT = 10
 # Sums of one pass over a forest's nodes, at most; passes that run side by side.
-CELLS = 1 << 20
-PASSES = 8
+CELLS = 1 << 18
+PASSES = 4
+# Drawn rows of a node that one task takes to grow the tree below it, at most.
+IN_TASK = 1 << 14
+# Trees of each fit set that grow together, and nodes split by passes that the driver holds for them.
+TREES_AT_ONCE = 25
+NODES_AT_ONCE = 1 << 17
+# Bytes of packed rows in a batch of shipped nodes.
+SHIPPED = 1 << 22
 # Gains that differ by less than this share are equal.
 TIE = 1e-9
 
@@ -74,16 +86,24 @@ def arrays(tree: Tree) -> tuple[np.ndarray, ...]:
 def leaves(codes: np.ndarray, tree: tuple[np.ndarray, ...], inputs: int,
            depth: int) -> np.ndarray:
     """The node that each row ends in."""
-    col, cut, left, _ = tree
-    node, at = np.zeros(len(codes), int), np.arange(len(codes))
+    node = np.zeros(len(codes), int)
+    if len(tree[0]) == 1:
+        return node
     for _ in range(depth):
-        c = col[node]
-        code = codes[at, np.maximum(c, 0)]
-        right = np.where(c >= inputs, code == cut[node], code > cut[node])
-        node = np.where(c < 0, node, left[node] + right)
+        node = _stepped(codes, node, tree, inputs)
     return node
 
 
+def _stepped(codes: np.ndarray, node: np.ndarray, tree: tuple[np.ndarray, ...],
+             inputs: int) -> np.ndarray:
+    """The child that each row goes to, or the leaf it is in."""
+    col, cut, left, _ = tree
+    c = col[node]
+    code = codes[np.arange(len(codes)), np.maximum(c, 0)]
+    right = np.where(c >= inputs, code == cut[node], code > cut[node])
+    return np.where(c < 0, node, left[node] + right)
+
+
 # ------------------------------------------------------------------------------ boosted trees
 
 
@@ -381,74 +401,306 @@ def _passes(jobs: list[tuple], rows: Encoded, slots: dict[int, int], bins: int,
     return [r for r in runs if r]
 
 
+def _node_fields() -> list[T.StructField]:
+    return [T.StructField("k", T.IntegerType()), T.StructField("t", T.IntegerType()),
+            T.StructField("place", T.IntegerType()), T.StructField("col", T.IntegerType()),
+            T.StructField("cut", T.IntegerType()), T.StructField("gain", T.DoubleType()),
+            *[T.StructField(f"s{i}", T.DoubleType()) for i in range(3)],
+            T.StructField("value", T.DoubleType())]
+
+
+_NODES = T.StructType(_node_fields())
+_DOUBLES = [x.name for x in _NODES if x.dataType == T.DoubleType()]
+
+
+def _node_rows(k: int, t: int, tree: Tree, kept: Sequence[int]) -> pa.Table:
+    """Some nodes of a tree as rows of the stored table."""
+    at = np.asarray(kept, int)
+    stats = np.array(tree.stats, float).reshape(-1, 3)[at]
+    columns = [np.full(len(at), k, np.int32), np.full(len(at), t, np.int32),
+               *[np.array(c, np.int32)[at] for c in (tree.place, tree.col, tree.cut)],
+               np.array(tree.gain, float)[at], *stats.T, np.array(tree.value, float)[at]]
+    return pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], names=_NODES.names)
+
+
+def _grow_below(codes: np.ndarray, y: np.ndarray, draws: np.ndarray, pair: tuple[float, float],
+                k: int, t: int, place: int, sets: Sequence[FillSet], inputs: int, bins: int,
+                f: Forest, cells: int) -> Tree:
+    """The tree below one node from the node's drawn rows."""
+    tree = Tree(inputs)
+    active, node = [tree.add(place, (0.0, 0.0, 0.0), 0.0)], np.zeros(len(y), int)
+    for _ in range(f.depth - (place.bit_length() - 1)):
+        if not active:
+            break
+        count = len(tree.col)
+        ids = [np.full(len(active), i, np.int64) for i in (k, t)]
+        cols, cats = _slots(sets, *ids, np.array([tree.place[a] for a in active], np.int64), f.seed)
+        step, chosen = max(1, cells // (cols.shape[1] * bins)), []
+        for i in range(0, len(active), step):
+            slot = np.full(count, -1)
+            slot[active[i:i + step]] = np.arange(len(active[i:i + step]))
+            chosen.append(_choose(_forest_sums(codes, y, draws, pair, slot[node], cols[i:i + step],
+                                               cats[i:i + step], inputs, bins), f))
+        total, splits, slot, cut, gain, left, right = (np.concatenate(c) for c in zip(*chosen))
+        col = cols[np.arange(len(active)), slot]
+        cut = np.where(col >= inputs, cats[np.arange(len(active)), slot], cut)
+        active = _grow_level(tree, active, [total, splits, col, cut, gain, left, right], f)
+        node = _stepped(codes, node, arrays(tree), inputs)
+    return tree
+
+
+def _pass_sums(rows: Encoded, run: list[tuple], out: dict[tuple[int, int], Tree], level: int,
+               pairs: Sequence[tuple[float, float]], bins: int, f: Forest, cells: int) -> list[tuple]:
+    """One pass over all rows that splits the nodes of ``run``; the children that may split again."""
+    inputs, sets = len(rows.numeric), list(rows.sets.values())
+    sizes = np.array([len(nodes) for _, nodes in run])
+    ends = np.cumsum(sizes)
+    k, t = (np.repeat([job[i] for job, _ in run], sizes) for i in (0, 1))
+    place = np.array([out[job].place[a] for job, nodes in run for a in nodes], np.int64)
+    cols, cats = _slots(sets, k, t, place, f.seed)
+    per_node = cols.shape[1] * bins
+    plans = []
+    for (job, nodes), end in zip(run, ends):
+        slot = np.full(len(out[job].col), -1)
+        slot[nodes] = np.arange(end - len(nodes), end)
+        plans.append((*job, slot, arrays(out[job])))
+    spans = [slice(e - n, e) for e, n in zip(ends, sizes)]
+
+    def partial(batch: Batch, _) -> tuple[np.ndarray, np.ndarray]:
+        codes = [filled_codes(batch.codes, s) for s in sets]
+        draws_of = {x: _poisson(drawn(batch.key_hash, f.seed, x)) for x in {p[1] for p in plans}}
+        places, sums = [], []
+        for (k, t, slot, tree), span in zip(plans, spans):
+            mine = np.flatnonzero(sets[k].member[batch.part] & (draws_of[t] > 0))
+            own = codes[k][mine]
+            at = slot[leaves(own, tree, inputs, level)]
+            at = np.where(at < 0, -1, at - span.start)
+            found = _forest_sums(own, batch.label[mine], draws_of[t][mine], pairs[k], at,
+                                 cols[span], cats[span], inputs, bins).reshape(-1, 3)
+            there = np.flatnonzero(found[:, 2])
+            places.append(there + span.start * per_node)
+            sums.append(found[there])
+        return np.concatenate(places), np.concatenate(sums)
+
+    places, sums = summed(rows, rows.rows, partial, 3, len(k) * per_node)
+    again = []
+    # Some thousand nodes at a time.
+    step = max(1, cells // per_node)
+    chosen = [_choose(dense(places, sums, i * per_node, min(step, len(k) - i) * per_node)
+                      .reshape(-1, cols.shape[1], bins, 3), f) for i in range(0, len(k), step)]
+    total, splits, slot, cut, gain, left, right = (np.concatenate(c) for c in zip(*chosen))
+    col = cols[np.arange(len(k)), slot]
+    cut = np.where(col >= inputs, cats[np.arange(len(k)), slot], cut)
+    for (job, nodes), span in zip(run, spans):
+        own = [c[span] for c in (total, splits, col, cut, gain, left, right)]
+        again.append((job, _grow_level(out[job], nodes, own, f)))
+    return again
+
+
+def _ship(rows: Encoded, open_nodes: dict[tuple[int, int], list[int]],
+          out: dict[tuple[int, int], Tree], f: Forest) -> DataFrame:
+    """k, t, place, n, packed: the drawn rows of open nodes, one record per node and stored file."""
+    inputs, sets = len(rows.numeric), list(rows.sets.values())
+    kind = np.int8 if rows.sizes().max() < 128 else np.int16
+    plans = []
+    for (k, t), nodes in open_nodes.items():
+        tree = out[k, t]
+        slot = np.full(len(tree.col), -1)
+        slot[nodes] = np.arange(len(nodes))
+        plans.append((k, t, slot, arrays(tree), [tree.place[n] for n in nodes]))
+    schema = T.StructType([*_node_fields()[:3], T.StructField("n", T.IntegerType()),
+                           T.StructField("packed", T.BinaryType())])
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = gathered(batches)
+        if raw is None:
+            return
+        batch, found, held = read(raw), [], 0
+        codes = [filled_codes(batch.codes, s) for s in sets]
+        draws_of = {x: _poisson(drawn(batch.key_hash, f.seed, x)) for x in {p[1] for p in plans}}
+        for k, t, slot, tree, places in plans:
+            mine = np.flatnonzero(sets[k].member[batch.part] & (draws_of[t] > 0))
+            at = slot[leaves(codes[k][mine], tree, inputs, f.depth)]
+            order = np.argsort(at, kind="stable")
+            ends = np.searchsorted(at[order], np.arange(len(places) + 1))
+            for place, low, high in zip(places, ends, ends[1:]):
+                if low == high:
+                    continue
+                own = mine[order[low:high]]
+                packed = _packed(codes[k][own], batch.label[own], draws_of[t][own], kind)
+                found.append((k, t, place, high - low, packed))
+                held += len(packed)
+            if held > SHIPPED:
+                yield _records(found, schema)
+                found, held = [], 0
+        if found:
+            yield _records(found, schema)
+
+    return rows.rows.mapInArrow(ship, schema)
+
+
+def _records(found: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = [*[pa.int32()] * 4, pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found), kinds)],
+                                      names=schema.names)
+
+
+def _packed(codes: np.ndarray, y: np.ndarray, draws: np.ndarray, kind: type) -> bytes:
+    """Rows column by column, compressed."""
+    raw = (np.ascontiguousarray(codes.T.astype(kind)).tobytes() + y.astype(np.int8).tobytes()
+           + draws.astype(np.int8).tobytes())
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int, width: int, kind: type) -> tuple[np.ndarray, ...]:
+    size = np.dtype(kind).itemsize * width * n
+    raw = pa.decompress(packed, decompressed_size=size + 2 * n, codec="zstd", asbytes=True)
+    codes = np.frombuffer(raw, kind, width * n).reshape(width, n).T
+    y, draws = np.frombuffer(raw, np.int8, 2 * n, size).reshape(2, n)
+    return codes, y, draws
+
+
+def _grow_in_tasks(rows: Encoded, shipped: DataFrame, pairs: Sequence[tuple[float, float]],
+                   bins: int, f: Forest, cells: int, tasks: int) -> DataFrame:
+    """The nodes below every shipped node, itself included."""
+    inputs, sets = len(rows.numeric), list(rows.sets.values())
+    width, kind = len(rows.sizes()), np.int8 if rows.sizes().max() < 128 else np.int16
+
+    def grow(key: tuple, table: pa.Table) -> pa.Table:
+        k, t, place = (v.as_py() for v in key)
+        parts = [_unpacked(p.as_py(), n.as_py(), width, kind)
+                 for p, n in zip(table.column("packed"), table.column("n"))]
+        codes, y, draws = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
+        tree = _grow_below(codes, y, draws, pairs[k], k, t, place, sets, inputs, bins, f, cells)
+        return _node_rows(k, t, tree, range(len(tree.col)))
+
+    by = ["k", "t", "place"]
+    return shipped.repartition(tasks, *by).groupBy(*by).applyInArrow(grow, _NODES)
+
+
+class Forests(Mapping):
+    """The forests of all fit sets as stored tables; a set's trees are read when they are asked for.
+
+    ``tables`` holds the nodes of ``at_once`` trees of every set each.
+    """
+
+    def __init__(self, names: Sequence[str], tables: Sequence[DataFrame], at_once: int, trees: int,
+                 inputs: int):
+        self.names, self.tables, self.at_once = list(names), list(tables), at_once
+        self.trees, self.inputs = trees, inputs
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __getitem__(self, name: str) -> list[Tree]:
+        return [self._tree(own) for own in self.each(name, _NODES.names[2:])]
+
+    def each(self, name: str, columns: Sequence[str]) -> Iterator[dict[str, np.ndarray]]:
+        """Columns of a set's trees, one after another, by place; ``place`` and ``col`` are among them."""
+        if not self.tables:
+            yield from (_bare(columns) for _ in range(self.trees))
+        k = self.names.index(name)
+        for i, stored in enumerate(self.tables):
+            trees = range(i * self.at_once, min((i + 1) * self.at_once, self.trees))
+            table = stored.where(F.col("k") == k).select("t", *columns).toArrow()
+            found = {c: table.column(c).to_numpy() for c in table.column_names}
+            order = np.lexsort((found["place"], found["t"]))
+            found = {c: v[order] for c, v in found.items()}
+            ends = np.searchsorted(found["t"], np.arange(trees[0], trees[-1] + 2))
+            for low, high in zip(ends, ends[1:]):
+                # No node is stored of a tree without rows.
+                yield ({c: found[c][low:high].copy() for c in columns} if low < high
+                       else _bare(columns))
+
+    def packed(self, name: str) -> list[tuple[np.ndarray, ...]]:
+        """What ``leaves`` needs of a set's trees, in few bytes a node."""
+        out = []
+        for own in self.each(name, ["place", "col", "cut", "value"]):
+            out.append((own["col"].astype(np.int16), own["cut"].astype(np.int16),
+                        narrow(left_children(own)), own["value"]))
+        return out
+
+    def _tree(self, own: dict[str, np.ndarray]) -> Tree:
+        stats = list(zip(*(own[f"s{i}"].tolist() for i in range(3))))
+        return Tree(self.inputs, own["col"].tolist(), own["cut"].tolist(),
+                    left_children(own).tolist(), own["gain"].tolist(), own["place"].tolist(),
+                    stats, own["value"].tolist())
+
+
+def _bare(columns: Sequence[str]) -> dict[str, np.ndarray]:
+    """A tree of one leaf that no row has reached."""
+    return {c: np.array([{"place": 1, "col": -1}.get(c, 0)], float if c in _DOUBLES else np.int32)
+            for c in columns}
+
+
+def left_children(own: dict[str, np.ndarray]) -> np.ndarray:
+    """The index of every node's left child among nodes by place; 0 for a leaf."""
+    place, col = own["place"].astype(np.int64), own["col"]
+    return np.where(col < 0, 0, np.searchsorted(place, 2 * place)).astype(np.int32)
+
+
 def grow_forest(rows: Encoded, weights: dict[str, tuple[float, float]], f: Forest = Forest(),
-                cells: int = CELLS) -> dict[str, list[Tree]]:
-    """The forests of all fit sets, level by level, in passes of at most ``cells`` sums each."""
+                cells: int = CELLS, in_task: int = IN_TASK) -> Forests:
+    """The forests of all fit sets, some trees of each at a time.
+
+    Nodes of more than ``in_task`` drawn rows are split level by level, in passes of at most
+    ``cells`` sums each. The rows of the others go to a task each, which grows the tree below.
+    """
     inputs, sets = len(rows.numeric), list(rows.sets.values())
+    if not inputs + len(rows.categorical):
+        return Forests(rows.names, [], 1, f.trees, inputs)
+    spark = rows.rows.sparkSession
     bins = int(max([2, *rows.sizes()[:inputs]]))
     pairs = [weights[s] for s in rows.names]
     slots = {k: _taken(s) for k, s in enumerate(sets)}
-    out = {(k, t): Tree(inputs) for t in range(f.trees) for k in range(len(sets))}
-    active = {job: [tree.add(1, (0.0, 0.0, 0.0), 0.0)] for job, tree in out.items()}
-
-    def grow(run: list[tuple], level: int) -> list[tuple]:
-        sizes = np.array([len(nodes) for _, nodes in run])
-        ends = np.cumsum(sizes)
-        k, t = (np.repeat([job[i] for job, _ in run], sizes) for i in (0, 1))
-        place = np.array([out[job].place[a] for job, nodes in run for a in nodes], np.int64)
-        cols, cats = _slots(sets, k, t, place, f.seed)
-        per_node = cols.shape[1] * bins
-        plans = []
-        for (job, nodes), end in zip(run, ends):
-            slot = np.full(len(out[job].col), -1)
-            slot[nodes] = np.arange(end - len(nodes), end)
-            plans.append((*job, slot, arrays(out[job])))
-        spans = [slice(e - n, e) for e, n in zip(ends, sizes)]
-
-        def partial(batch: Batch, _) -> tuple[np.ndarray, np.ndarray]:
-            codes = [filled_codes(batch.codes, s) for s in sets]
-            draws_of = {x: _poisson(drawn(batch.key_hash, f.seed, x)) for x in {p[1] for p in plans}}
-            places, sums = [], []
-            for (k, t, slot, tree), span in zip(plans, spans):
-                mine = np.flatnonzero(sets[k].member[batch.part] & (draws_of[t] > 0))
-                own = codes[k][mine]
-                at = slot[leaves(own, tree, inputs, level)] - span.start
-                found = _forest_sums(own, batch.label[mine], draws_of[t][mine], pairs[k], at,
-                                     cols[span], cats[span], inputs, bins).reshape(-1, 3)
-                there = np.flatnonzero(found[:, 2])
-                places.append(there + span.start * per_node)
-                sums.append(found[there])
-            return np.concatenate(places), np.concatenate(sums)
-
-        places, sums = summed(rows, rows.rows, partial, 3)
-        again = []
-        # Some thousand nodes at a time.
-        step = max(1, cells // per_node)
-        chosen = [_choose(dense(places, sums, i * per_node, min(step, len(k) - i) * per_node)
-                          .reshape(-1, cols.shape[1], bins, 3), f) for i in range(0, len(k), step)]
-        total, splits, slot, cut, gain, left, right = (np.concatenate(c) for c in zip(*chosen))
-        col = cols[np.arange(len(k)), slot]
-        cut = np.where(col >= inputs, cats[np.arange(len(k)), slot], cut)
-        for (job, nodes), span in zip(run, spans):
-            own = [c[span] for c in (total, splits, col, cut, gain, left, right)]
-            again.append((job, _grow_level(out[job], nodes, own, f)))
-        return again
-
-    spark = rows.rows.sparkSession
+    counts = [s.preprocessing.rows for s in sets]
+    split_by_passes = sum(min(2 << f.depth, 4 * n // max(in_task, 1) + 1) for n in counts)
+    at_once = max(1, min(TREES_AT_ONCE, NODES_AT_ONCE // max(split_by_passes, 1)))
+    tables = []
     with ThreadPool(PASSES) as pool:
-        for level in range(f.depth):
-            jobs = [(job, nodes) for job, nodes in active.items() if nodes]
-            if not jobs or not inputs + len(rows.categorical):
-                break
-            active = {}
-            runs = _passes(jobs, rows, slots, bins, cells)
-            # Runs of one tree follow each other, so that its nodes are made in order.
-            grow_all = inheritable_thread_target(spark)(
-                lambda group, level=level: [x for run in group for x in grow(run, level)])
-            for found in pool.imap(grow_all, _by_tree(runs)):
-                for job, nodes in found:
-                    active.setdefault(job, []).extend(nodes)
-    return {s: [out[k, t] for t in range(f.trees)] for k, s in enumerate(rows.names)}
+        for first in range(0, f.trees, at_once):
+            trees = range(first, min(first + at_once, f.trees))
+            out = {(k, t): Tree(inputs) for t in trees for k in range(len(sets))}
+            active = {job: [tree.add(1, (0.0, 0.0, 0.0), 0.0)] for job, tree in out.items()}
+            shipped: dict[tuple[int, int], list[int]] = {}
+            # About 0.63 of the rows are drawn for a tree; the roots' own counts aren't known yet.
+            for job in [job for job in active if 0.7 * counts[job[0]] <= in_task]:
+                shipped[job] = active.pop(job)
+            for level in range(f.depth):
+                jobs = [(job, nodes) for job, nodes in active.items() if nodes]
+                if not jobs:
+                    break
+                active = {}
+                runs = _passes(jobs, rows, slots, bins, cells)
+                # Runs of one tree follow each other, so that its nodes are made in order.
+                grow_all = inheritable_thread_target(spark)(lambda group, level=level, out=out: [
+                    x for run in group
+                    for x in _pass_sums(rows, run, out, level, pairs, bins, f, cells)])
+                for found in pool.imap(grow_all, _by_tree(runs)):
+                    for job, nodes in found:
+                        stats = out[job].stats
+                        for n in nodes:
+                            # The deepest nodes are leaves and need no rows.
+                            small = level + 1 < f.depth and stats[n][2] <= in_task
+                            (shipped if small else active).setdefault(job, []).append(n)
+            done = []
+            for (k, t), tree in out.items():
+                kept = np.setdiff1d(np.arange(len(tree.col)), shipped.get((k, t), []))
+                if len(kept):
+                    done.append(_node_rows(k, t, tree, kept))
+            made = []
+            if done:
+                made.append(spark.createDataFrame(pa.concat_tables(done), _NODES))
+            if shipped:
+                drawn_rows = sum(0.64 * counts[k] for k, _ in shipped)
+                tasks = max(spark.sparkContext.defaultParallelism, int(drawn_rows) >> 21)
+                made.append(_grow_in_tasks(rows, _ship(rows, shipped, out, f), pairs, bins, f,
+                                           cells, tasks))
+            tables.append(materialize(reduce(DataFrame.unionByName, made), "forest"))
+    return Forests(rows.names, tables, at_once, f.trees, inputs)
 
 
 def _by_tree(runs: list[list[tuple]]) -> list[list[list[tuple]]]:
@@ -462,11 +714,14 @@ def _by_tree(runs: list[list[tuple]]) -> list[list[list[tuple]]]:
     return groups
 
 
-def forest_scores(rows: Encoded, set_name: str, trees: Sequence[Tree], parts: Sequence[int],
+def forest_scores(rows: Encoded, set_name: str, grown: Forests, parts: Sequence[int],
                   depth: int) -> DataFrame:
-    """key, label, p of the rows of some parts: the mean rate of the leaves they end in."""
+    """key, label, p of the rows of some parts: the mean rate of the leaves they end in.
+
+    Stored, so that only one set's trees are on the way at a time.
+    """
     inputs, s = len(rows.numeric), rows.sets[set_name]
-    packed = [arrays(t) for t in trees]
+    packed = grown.packed(set_name)
     schema = T.StructType([rows.rows.schema["key"], rows.rows.schema["label"],
                            T.StructField("p", T.DoubleType())])
 
@@ -482,4 +737,5 @@ def forest_scores(rows: Encoded, set_name: str, trees: Sequence[Tree], parts: Se
                 [batch.key, pa.array(batch.label), pa.array(total / max(len(packed), 1))],
                 names=["key", "label", "p"])
 
-    return rows.rows.where(F.col("part").isin(*parts)).mapInArrow(score, schema)
+    scored = rows.rows.where(F.col("part").isin(*parts)).mapInArrow(score, schema)
+    return materialize(scored, "forest-scores")
