@@ -26,8 +26,8 @@ from tenura.operators.encoded import (
     Batch, Encoded, FillSet, dense, drawn, filled_codes, gathered, matrix, mixed, read,
     summed,
 )
-from tenura.operators.forest_model import narrow
-from tenura.sources.scratch import materialize
+from tenura.operators.forest_model import Compressed, narrow
+from tenura.sources.scratch import materialize, release
 
 # Rounds after which the margins of all rows are stored anew.
 ROUNDS_KEPT = 10
@@ -265,6 +265,7 @@ def boost(rows: Encoded, weights: dict[str, tuple[float, float]], b: Boosting =
         if (round_ + 1) % ROUNDS_KEPT == 0 or round_ + 1 == b.rounds:
             state = stored(state, recent)
             recent = [[] for _ in names]
+            release(rows.rows.sparkSession)
     return dict(zip(names, made)), state
 
 
@@ -578,6 +579,24 @@ def _grow_in_tasks(rows: Encoded, shipped: DataFrame, pairs: Sequence[tuple[floa
     return shipped.repartition(tasks, *by).groupBy(*by).applyInArrow(grow, _NODES)
 
 
+@dataclass(frozen=True)
+class CodedNodes(Compressed):
+    """What ``leaves`` needs of some trees; tree i has the nodes ``ends[i]`` to ``ends[i + 1]``.
+
+    Inner nodes have no value.
+    """
+
+    ends: np.ndarray
+    col: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    value: np.ndarray
+
+    def trees(self) -> Iterator[tuple[np.ndarray, ...]]:
+        for low, high in zip(self.ends, self.ends[1:]):
+            yield tuple(v[low:high] for v in (self.col, self.cut, self.left, self.value))
+
+
 class Forests(Mapping):
     """The forests of all fit sets as stored tables; a set's trees are read when they are asked for.
 
@@ -615,13 +634,15 @@ class Forests(Mapping):
                 yield ({c: found[c][low:high].copy() for c in columns} if low < high
                        else _bare(columns))
 
-    def packed(self, name: str) -> list[tuple[np.ndarray, ...]]:
-        """What ``leaves`` needs of a set's trees, in few bytes a node."""
-        out = []
+    def packed(self, name: str) -> CodedNodes:
+        """A set's trees in few bytes a node."""
+        ends, parts = [0], []
         for own in self.each(name, ["place", "col", "cut", "value"]):
-            out.append((own["col"].astype(np.int16), own["cut"].astype(np.int16),
-                        narrow(left_children(own)), own["value"]))
-        return out
+            parts.append((own["col"].astype(np.int16), own["cut"].astype(np.int16),
+                          narrow(left_children(own)), np.where(own["col"] < 0, own["value"], 0.0)))
+            ends.append(ends[-1] + len(own["col"]))
+        columns = [np.concatenate(c) for c in zip(*parts)] or [np.zeros(0, np.int16)] * 4
+        return CodedNodes(np.array(ends), *columns)
 
     def _tree(self, own: dict[str, np.ndarray]) -> Tree:
         stats = list(zip(*(own[f"s{i}"].tolist() for i in range(3))))
@@ -700,6 +721,7 @@ def grow_forest(rows: Encoded, weights: dict[str, tuple[float, float]], f: Fores
                 made.append(_grow_in_tasks(rows, _ship(rows, shipped, out, f), pairs, bins, f,
                                            cells, tasks))
             tables.append(materialize(reduce(DataFrame.unionByName, made), "forest"))
+            release(spark)
     return Forests(rows.names, tables, at_once, f.trees, inputs)
 
 
@@ -731,10 +753,10 @@ def forest_scores(rows: Encoded, set_name: str, grown: Forests, parts: Sequence[
                 continue
             batch = read(raw)
             codes, total = filled_codes(batch.codes, s), np.zeros(raw.num_rows)
-            for tree in packed:
+            for tree in packed.trees():
                 total += tree[3][leaves(codes, tree, inputs, depth)]
             yield pa.RecordBatch.from_arrays(
-                [batch.key, pa.array(batch.label), pa.array(total / max(len(packed), 1))],
+                [batch.key, pa.array(batch.label), pa.array(total / max(len(packed.ends) - 1, 1))],
                 names=["key", "label", "p"])
 
     scored = rows.rows.where(F.col("part").isin(*parts)).mapInArrow(score, schema)

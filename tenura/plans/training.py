@@ -18,7 +18,7 @@ from tenura.operators import attribution, economics, metrics, models, preprocess
 from tenura.operators import reports
 from tenura.operators.encoded import Encoded, encode
 from tenura.sources.artifacts import Artifact
-from tenura.sources.scratch import materialize
+from tenura.sources.scratch import materialize, release
 
 VALIDATION = "validation"
 # Files per part at most, and so tasks of a fit per part.
@@ -131,6 +131,8 @@ def train(
     encoded = encode(data, numeric, categorical, learned, sets, schema.KEY, schema.LABEL)
     fits, scores = _fit_all(encoded, candidates, params.folds)
 
+    release(spark)
+
     # One row per candidate.
     ranked = compare(scores)
     rows = rank_models(ranked).collect()
@@ -148,6 +150,7 @@ def train(
     report = test_once(final, data, best, params, selected, inputs, learned["final"].rows,
                        selection_value)
     version = report.first()["model_version"]
+    release(spark)
     artifact = Artifact(final, selected, version, best["threshold"], inputs,
                         learned["final"].feature_names)
     return Training(artifact, comparison, curve, report, data)

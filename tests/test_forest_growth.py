@@ -1,12 +1,13 @@
 """Forests grown in tasks: the same trees whatever goes to a task, and little of them on the driver."""
 
+import pickle
 import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 
-from tenura.operators import encoded, models, preprocess, trees
+from tenura.operators import encoded, forest_model, models, preprocess, trees
 
 SETS = {"cv0": [("train", 1)], "all": [("train", 0), ("train", 1)]}
 
@@ -82,3 +83,34 @@ def test_a_stored_forest_scores_alike(spark, tmp_path):
     assert sum(stage.featureImportances) == pytest.approx(1.0)
     out = loaded.transform(data).select("prediction", "probability").first()
     assert out.prediction == float(out.probability[1] > 0.5)
+
+
+def test_nodes_travel_compressed(spark):
+    """What scoring sends to tasks is smaller than the arrays and comes out the same."""
+    _, learned, rows = prepared(spark, 3000)
+    weights = {s: models.balanced_weights(p) for s, p in learned.items()}
+    grown = trees.grow_forest(rows, weights, trees.Forest(trees=20, depth=10, min_leaf=3))
+    for sent in (grown.packed("all"), models._forest_model(grown, "all", rows, rows.sets["all"]).nodes):
+        own = vars(sent)
+        assert len(pickle.dumps(sent)) < 0.6 * sum(v.nbytes for v in own.values())
+        for name, values in vars(pickle.loads(pickle.dumps(sent))).items():
+            assert values.dtype == own[name].dtype and (values == own[name]).all()
+    coded = grown.packed("all")
+    assert [len(t[0]) for t in coded.trees()] == [len(t.col) for t in grown["all"]]
+    bare = trees.Forests(["all"], [], 1, 3, 0).packed("all")
+    assert [t[1].tolist() for t in pickle.loads(pickle.dumps(bare)).trees()] == [[0]] * 3
+
+
+def test_a_model_is_loaded_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(forest_model, "STORED", 50)
+    data, learned, rows = prepared(spark, 400)
+    model = models.random_forest(6, 5, 3).fit_sets(rows).model("all")
+    assert len(model.nodes.feature) > 150
+    model.write().save(str(tmp_path / "stage"))
+    sizes, whole = [], type(data).toArrow
+    monkeypatch.setattr(type(data), "toArrow",
+                        lambda self: (found := whole(self), sizes.append(found.num_rows))[0])
+    loaded = forest_model.ForestModel.load(str(tmp_path / "stage"))
+    assert max(sizes) <= 50
+    for name, values in vars(model.nodes).items():
+        assert (getattr(loaded.nodes, name) == values).all()
