@@ -35,7 +35,7 @@ def narrow(values: np.ndarray) -> np.ndarray:
 
 
 class Compressed:
-    """Arrays as fields, which travel to tasks compressed: a forest's are a third of their size."""
+    """Arrays as fields, which travel to tasks compressed."""
 
     def __getstate__(self) -> dict[str, tuple[str, int, bytes]]:
         return {name: (v.dtype.str, v.nbytes, pa.compress(v.tobytes(), codec="zstd", asbytes=True))
