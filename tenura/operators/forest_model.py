@@ -22,6 +22,8 @@ from pyspark.ml.util import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenura.sources.scratch import release
+
 # Rows that go through the trees together.
 ROWS = 1 << 12
 # Nodes in one part of a stored model, and of one that is loaded.
@@ -130,6 +132,7 @@ class _Writer(MLWriter):
                              names=["at", "feature", "left", "number"])
             self.sparkSession.createDataFrame(table, _COLUMNS).write.mode("append").parquet(
                 f"{path}/nodes")
+            release(self.sparkSession)
 
 
 class _Reader(MLReader):
@@ -144,6 +147,8 @@ class _Reader(MLReader):
             at = part.column("at").to_numpy()
             for name, values in own.items():
                 values[at] = part.column(name).to_numpy()
+            del part, at
+            release(self.sparkSession)
         model = ForestModel(
             nodes=Nodes(np.array(metadata["starts"], np.int64), narrow(own["feature"]),
                         narrow(own["left"]), own["number"]),

@@ -114,3 +114,17 @@ def test_a_model_is_loaded_in_parts(spark, tmp_path, monkeypatch):
     assert max(sizes) <= 50
     for name, values in vars(model.nodes).items():
         assert (getattr(loaded.nodes, name) == values).all()
+
+
+def test_memory_is_given_back_after_every_stored_and_loaded_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(forest_model, "STORED", 50)
+    released = []
+    monkeypatch.setattr(forest_model, "release", released.append)
+    _, _, rows = prepared(spark, 400)
+    model = models.random_forest(6, 5, 3).fit_sets(rows).model("all")
+    parts = -(-len(model.nodes.feature) // 50)
+    assert parts > 3
+    model.write().save(str(tmp_path / "stage"))
+    assert len(released) == parts
+    forest_model.ForestModel.load(str(tmp_path / "stage"))
+    assert len(released) == 2 * parts
