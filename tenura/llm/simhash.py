@@ -157,7 +157,9 @@ def _steps_down(cell: Column, width: int) -> Column:
 
 
 def _verified(homes: DataFrame, probes: DataFrame, keys: list[str], max_bits: int) -> DataFrame:
-    h, p = homes.alias("h"), probes.alias("p")
+    # Spark sizes exploded rows like the points they come from, some 34 times too low, and would
+    # send them to every task.
+    h, p = homes.alias("h"), probes.hint("merge").alias("p")
     same = [F.col(f"h.{k}") == F.col(f"p.{k}") for k in keys]
     # In one and the same cell each pair meets twice; a neighbour cell is entered from below only.
     once = F.col("p.step") | (F.col("p.rep") < F.col("h.rep"))

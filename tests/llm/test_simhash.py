@@ -5,6 +5,7 @@ import xxhash
 
 from tenura.llm import simhash
 from tenura.llm.components import connected_components
+from tenura.sources.scratch import materialize
 
 
 def brute_fingerprint(text):
@@ -98,3 +99,18 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     assert dict(zip(got.node, got.component, strict=True)) == {x: find(x) for x in parent}
     assert len(got) == len(parent)
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """Cells are joined by shuffle, however small Spark takes the points to be."""
+    points = [(i * 0x9E3779B97F4A7C15 % 2**63,) * 2 for i in range(500)]
+    points += [(fp ^ 5, fp ^ 5) for fp, _ in points[:100]]
+    stored = materialize(spark.createDataFrame(points, "fp long, rep long"), "test-points")
+    for limit in (simhash.CELL_LIMIT, 1):
+        found = simhash.links(stored, cell_limit=limit)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [half" in plan
+        for line in plan.splitlines():
+            assert not ("BroadcastHashJoin" in line and "Inner" in line), line
+        links = {(min(r), max(r)) for r in found.collect()}
+        assert {(min(fp, fp ^ 5), max(fp, fp ^ 5)) for fp, _ in points[:100]} <= links
