@@ -24,6 +24,8 @@ from tenura.sources.scratch import materialize
 CUTS = 31
 # Rows of a stored file, and so of a task of every later pass.
 ROWS_PER_FILE = 1 << 15
+# Rows of a block.
+BLOCK = 1 << 15
 # Tasks whose sums the driver adds itself, and sums of all of them at most; others are added by
 # Spark first.
 FEW_TASKS = 16
@@ -223,6 +225,124 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
     return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if found else None
 
 
+@dataclass(frozen=True)
+class Block:
+    """Some thousand rows as arrays; ``codes`` and ``margins`` have one row per input and fit set."""
+
+    codes: np.ndarray
+    label: np.ndarray
+    part: np.ndarray
+    key_hash: np.ndarray
+    margins: np.ndarray
+    key: pa.Buffer | bytes
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """The stored rows in blocks, a record each: passes read bytes and no single values.
+
+    ``tasks`` is the number of tasks of a pass.
+    """
+
+    table: DataFrame
+    tasks: int
+
+
+def _block_fields() -> list[T.StructField]:
+    return [T.StructField("n", T.IntegerType()), *[
+        T.StructField(x, T.BinaryType()) for x in (
+            "codes", "label", "part", "key_hash", "margins", "key")]]
+
+
+BLOCK_SCHEMA = T.StructType(_block_fields())
+
+
+def code_type(rows: Encoded) -> type:
+    return np.int8 if rows.sizes().max(initial=0) < 127 else np.int16
+
+
+def in_blocks(rows: Encoded, margins: int = 0, keys: bool = False) -> Blocks:
+    """The rows in blocks, with so many margins of zero each and, if asked, their keys."""
+    kind = code_type(rows)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for raw in _runs(batches, BLOCK):
+            b = read(raw)
+            yield block_record(Block(b.codes.T.astype(kind), b.label, b.part, b.key_hash,
+                                     np.zeros((margins, len(b.label))),
+                                     _written(b.key) if keys else b""))
+
+    return stored_blocks(rows.rows.mapInArrow(pack, BLOCK_SCHEMA))
+
+
+def stored_blocks(table: DataFrame, name: str = "blocks") -> Blocks:
+    table = materialize(table, name)
+    return Blocks(table, table.rdd.getNumPartitions())
+
+
+def block_record(b: Block) -> pa.RecordBatch:
+    values = [b.codes, b.label.astype(np.float64), b.part.astype(np.int32),
+              b.key_hash.astype(np.uint64), b.margins.astype(np.float64)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([len(b.label)], pa.int32()),
+         *[pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in values],
+         pa.array([bytes(b.key)], pa.binary())], names=BLOCK_SCHEMA.names)
+
+
+def opened(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[Block]:
+    """The blocks of a task, one after another."""
+    for batch in batches:
+        at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        for i, n in enumerate(at["n"].to_pylist()):
+            codes, label, part, key_hash, margins = (
+                np.frombuffer(at[name][i].as_buffer(), of) for name, of in (
+                    ("codes", kind), ("label", np.float64), ("part", np.int32),
+                    ("key_hash", np.uint64), ("margins", np.float64)))
+            yield Block(codes.reshape(-1, n), label, part, key_hash, margins.reshape(-1, n),
+                        at["key"][i].as_buffer())
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in batches of about ``most`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            held.append(batch.slice(start, most))
+            n += held[-1].num_rows
+            if n >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _written(column: pa.Array) -> bytes:
+    batch = pa.RecordBatch.from_arrays([column], names=["key"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def keys_of(block: Block) -> pa.Array:
+    return pa.ipc.open_stream(block.key).read_all().column(0).combine_chunks()
+
+
+def summed_blocks(blocks: Blocks, kind: type,
+                  partial: Callable[[Iterator[Block]], np.ndarray], width: int,
+                  most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by place over all rows, as ``summed``; ``partial`` gives a task's sums of all places."""
+    schema = _sums_schema(width)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = partial(opened(batches, kind))
+        places = np.flatnonzero(sums.any(axis=1))
+        yield _sums_batch(places, sums[places], schema)
+
+    return _added(blocks.table.mapInArrow(add, schema), schema,
+                  blocks.tasks > FEW_TASKS or blocks.tasks * most > FEW_SUMS)
+
+
 def summed(rows: Encoded, stored: DataFrame,
            partial: Callable[[Batch, pa.RecordBatch], tuple[np.ndarray, np.ndarray]],
            width: int, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -232,24 +352,35 @@ def summed(rows: Encoded, stored: DataFrame,
     A few tasks' sums are added on the driver; more are added by Spark, so that the driver gets one
     row per place.
     """
-    schema = T.StructType([T.StructField("place", T.LongType()), *[
-        T.StructField(f"v{i}", T.DoubleType()) for i in range(width)]])
+    schema = _sums_schema(width)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = gathered(batches)
         if raw is not None:
-            places, sums = partial(read(raw), raw)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(places, pa.int64()),
-                 *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(width)]],
-                names=schema.names)
+            yield _sums_batch(*partial(read(raw), raw), schema)
+
+    return _added(stored.mapInArrow(add, schema), schema,
+                  rows.files > FEW_TASKS or rows.files * most > FEW_SUMS)
+
+
+def _sums_schema(width: int) -> T.StructType:
+    return T.StructType([T.StructField("place", T.LongType()), *[
+        T.StructField(f"v{i}", T.DoubleType()) for i in range(width)]])
+
+
+def _sums_batch(places: np.ndarray, sums: np.ndarray, schema: T.StructType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(places, pa.int64()),
+         *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(len(schema) - 1)]],
+        names=schema.names)
+
 
-    table = stored.mapInArrow(add, schema)
-    if rows.files > FEW_TASKS or rows.files * most > FEW_SUMS:
+def _added(table: DataFrame, schema: T.StructType, many: bool) -> tuple[np.ndarray, np.ndarray]:
+    if many:
         table = table.groupBy("place").agg(*[F.sum(n).alias(n) for n in schema.names[1:]])
     table = table.toArrow()
     if not table.num_rows:
-        return np.zeros(0, np.int64), np.zeros((0, width))
+        return np.zeros(0, np.int64), np.zeros((0, len(schema) - 1))
     places, which = np.unique(table.column("place").to_numpy(), return_inverse=True)
     return places, np.stack([np.bincount(which, table.column(n).to_numpy(), len(places))
                              for n in schema.names[1:]], axis=1)

@@ -11,7 +11,7 @@ trees depend neither on the partitioning nor on the batches.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenura.operators.encoded import (
-    Batch, Encoded, FillSet, dense, drawn, filled_codes, gathered, matrix, mixed, read,
-    summed,
+    Block, Blocks, Encoded, FillSet, _lists, block_record, code_type, dense, drawn, filled_codes,
+    in_blocks, keys_of, mixed, opened, read, stored_blocks, summed_blocks,
 )
 from tenura.operators.forest_model import Compressed, narrow
-from tenura.sources.scratch import materialize, release
+from tenura.sources.scratch import drop, materialize, release
 
 # Rounds after which the margins of all rows are stored anew.
 ROUNDS_KEPT = 10
@@ -35,7 +35,7 @@ ROUNDS_KEPT = 10
 CELLS = 1 << 18
 PASSES = 4
 # Drawn rows of a node that one task takes to grow the tree below it, at most.
-IN_TASK = 1 << 14
+IN_TASK = 1 << 18
 # Trees of each fit set that grow together, and nodes split by passes that the driver holds for them.
 TREES_AT_ONCE = 25
 NODES_AT_ONCE = 1 << 17
@@ -43,6 +43,8 @@ NODES_AT_ONCE = 1 << 17
 SHIPPED = 1 << 22
 # Gains that differ by less than this share are equal.
 TIE = 1e-9
+# A row counts as its draws times this, plus one: sums below 2^53 are exact and hold both.
+DRAW = 1 << 26
 
 
 @dataclass
@@ -167,9 +169,49 @@ def _best_by_gain(cells: np.ndarray, allowed: np.ndarray, sizes: np.ndarray, inp
     return col, at - offsets[col], gain[at], left[at], right[at]
 
 
+def _gaps(codes: np.ndarray) -> np.ndarray:
+    """Which inputs have missing values."""
+    return codes.min(axis=1, initial=0) < 0
+
+
+def _walked(codes: np.ndarray, gaps: np.ndarray, tree: tuple[np.ndarray, ...], inputs: int,
+            fills: np.ndarray) -> np.ndarray:
+    """The node of a small tree that each row ends in, from codes by input with missing ones."""
+    col, cut, left, _ = tree
+    kind = np.int8 if len(col) < 128 else np.int32
+    node = np.zeros(codes.shape[1], kind)
+    # Parents stand before their children.
+    for i in np.flatnonzero(col >= 0):
+        c, at = col[i], cut[i]
+        right = codes[c] == at if c >= inputs else codes[c] > at
+        if gaps[c]:
+            right = np.where(codes[c] < 0, fills[c] == at if c >= inputs else fills[c] > at, right)
+        # Rows of node i go to its left child or the one behind that.
+        node += (node == i).astype(kind) * (right.astype(kind) + kind(left[i] - i))
+    return node
+
+
+def _add_histograms(total: np.ndarray, codes: np.ndarray, at: np.ndarray,
+                    values: Sequence[np.ndarray], sizes: np.ndarray, bins: int,
+                    fills: np.ndarray) -> None:
+    """Add every input's sums of ``values`` by node and code to ``total`` (nodes, codes, values).
+
+    Missing codes count as the fill, and not at all where there is none.
+    """
+    base, start = at.astype(np.intp) * bins + 1, 0
+    for c, size in enumerate(sizes):
+        cells = base + codes[c]
+        for v, value in enumerate(values):
+            found = np.bincount(cells, value, len(total) * bins).reshape(len(total), bins)
+            total[:, start:start + size, v] += found[:, 1:size + 1]
+            if fills[c] >= 0:
+                total[:, start + fills[c], v] += found[:, 0]
+        start += size
+
+
 def boost(rows: Encoded, weights: dict[str, tuple[float, float]], b: Boosting = Boosting()
           ) -> tuple[dict[str, list[Tree]], DataFrame]:
-    """(trees per fit set, rows with the margins of all sets).
+    """(trees per fit set, key, label, part and margins of all rows).
 
     Margins stand beside the rows: one per fit set, for rows inside and outside the set alike.
     Every pass adds the trees made since they were stored, and sums slopes and curvatures of the
@@ -180,31 +222,36 @@ def boost(rows: Encoded, weights: dict[str, tuple[float, float]], b: Boosting =
     offsets = np.concatenate(([0], np.cumsum(sizes)))[:-1]
     pairs = [weights[s] for s in names]
     made: list[list[Tree]] = [[] for _ in names]
-    margin_type = T.StructField("margins", T.ArrayType(T.DoubleType()))
-    state = rows.rows.withColumn("margins", F.array_repeat(F.lit(0.0), len(names)))
+    kind, bins = code_type(rows), int(sizes.max()) + 1
+    fills = [np.concatenate((s.median_bins, s.modes)) for s in sets]
+    state = in_blocks(rows, len(names), keys=True)
 
-    def margins_of(batch: Batch, raw: pa.RecordBatch, recent) -> np.ndarray:
-        margins = matrix(raw.column(raw.schema.names.index("margins")), raw.num_rows).copy()
+    def margins_of(block: Block, recent) -> np.ndarray:
+        margins, gaps = block.margins.copy(), _gaps(block.codes)
         for k, trees in enumerate(recent):
-            if trees:
-                codes = filled_codes(batch.codes, sets[k])
-                for tree in trees:
-                    margins[:, k] += tree[3][leaves(codes, tree, inputs, b.depth)]
+            for tree in trees:
+                margins[k] += tree[3].take(_walked(block.codes, gaps, tree, inputs, fills[k]))
         return margins
 
-    def stored(state: DataFrame, recent) -> DataFrame:
+    def stored(state: Blocks, recent) -> Blocks:
         def renew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for raw in batches:
-                if not raw.num_rows:
-                    continue
-                margins = margins_of(read(raw), raw, recent)
-                at = raw.schema.names.index("margins")
-                ends = np.arange(0, margins.size + 1, max(margins.shape[1], 1), dtype=np.int32)
-                new = pa.ListArray.from_arrays(ends, pa.array(margins.ravel(), pa.float64()))
-                yield raw.set_column(at, "margins", new)
-
-        schema = T.StructType([*rows.rows.schema.fields, margin_type])
-        return materialize(state.mapInArrow(renew, schema), "margins")
+            for block in opened(batches, kind):
+                yield block_record(replace(block, margins=margins_of(block, recent)))
+
+        return stored_blocks(state.table.mapInArrow(renew, state.table.schema), "margins")
+
+    def by_row(state: Blocks) -> DataFrame:
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in opened(batches, kind):
+                yield pa.RecordBatch.from_arrays(
+                    [keys_of(block), pa.array(block.label), pa.array(block.part),
+                     _lists(np.ascontiguousarray(block.margins.T), pa.float64())],
+                    names=["key", "label", "part", "margins"])
+
+        own = rows.rows.schema
+        schema = T.StructType([own["key"], own["label"], own["part"],
+                               T.StructField("margins", T.ArrayType(T.DoubleType()))])
+        return materialize(state.table.mapInArrow(unpack, schema), "margins")
 
     recent: list[list[tuple]] = [[] for _ in names]
     for round_ in range(b.rounds):
@@ -221,31 +268,30 @@ def boost(rows: Encoded, weights: dict[str, tuple[float, float]], b: Boosting =
                 slot[k][node] = i
             partly, before = [arrays(t) for t in growing], [list(r) for r in recent]
 
-            def partial(batch, raw, partly=partly, before=before, slot=slot, n=len(nodes),
+            def partial(blocks, partly=partly, before=before, slot=slot, n=len(nodes),
                         round_=round_):
                 total = np.zeros((n * codes_in_all, 2))
-                there = np.zeros(len(total), bool)
-                margins = margins_of(batch, raw, before)
-                taken = drawn(batch.key_hash, b.seed, round_) < b.row_share
-                for k, s in enumerate(sets):
-                    mine = taken & s.member[batch.part]
-                    if not mine.any() or not (slot[k] >= 0).any():
-                        continue
-                    codes = filled_codes(batch.codes[mine], s)
-                    at = slot[k][leaves(codes, partly[k], inputs, b.depth)]
-                    y = batch.label[mine]
-                    p = 1 / (1 + np.exp(-margins[mine, k]))
-                    w = np.where(y == 1, pairs[k][1], pairs[k][0])
-                    cells = at[:, None] * codes_in_all + offsets + codes
-                    usable = (at >= 0)[:, None] & (codes >= 0)
-                    for v, value in enumerate((w * (p - y), w * p * (1 - p))):
-                        spread = np.broadcast_to(value[:, None], cells.shape)
-                        total[:, v] += np.bincount(cells[usable], spread[usable], len(total))
-                    there[cells[usable]] = True
-                places = np.flatnonzero(there)
-                return places, total[places]
-
-            sums = dense(*summed(rows, state, partial, 2), 0, len(nodes) * codes_in_all)
+                for block in blocks:
+                    gaps, margins = _gaps(block.codes), margins_of(block, before)
+                    wide = block.codes.astype(np.intp)
+                    taken = drawn(block.key_hash, b.seed, round_) < b.row_share
+                    for k, s in enumerate(sets):
+                        if not (slot[k] >= 0).any():
+                            continue
+                        at = slot[k].take(_walked(block.codes, gaps, partly[k], inputs, fills[k]))
+                        mine = taken & s.member[block.part] & (at >= 0)
+                        if not mine.any():
+                            continue
+                        p = 1 / (1 + np.exp(-margins[k]))
+                        w = np.where(block.label == 1, pairs[k][1], pairs[k][0])
+                        values = [np.where(mine, v, 0.0) for v in (
+                            w * (p - block.label), w * p * (1 - p))]
+                        _add_histograms(total.reshape(n, codes_in_all, 2), wide,
+                                        np.where(mine, at, 0), values, sizes, bins, fills[k])
+                return total
+
+            sums = dense(*summed_blocks(state, kind, partial, 2, len(nodes) * codes_in_all), 0,
+                         len(nodes) * codes_in_all)
             sums = sums.reshape(len(nodes), codes_in_all, 2)
             active = [[] for _ in names]
             for (k, node), cells in zip(nodes, sums):
@@ -263,10 +309,11 @@ def boost(rows: Encoded, weights: dict[str, tuple[float, float]], b: Boosting =
             made[k].append(tree)
             recent[k].append(arrays(tree))
         if (round_ + 1) % ROUNDS_KEPT == 0 or round_ + 1 == b.rounds:
-            state = stored(state, recent)
+            before, state = state, stored(state, recent)
+            drop(before.table)
             recent = [[] for _ in names]
             release(rows.rows.sparkSession)
-    return dict(zip(names, made)), state
+    return dict(zip(names, made)), by_row(state)
 
 
 # ------------------------------------------------------------------------------------ forests
@@ -320,22 +367,92 @@ def _taken(s: FillSet) -> int:
     return max(1, int(np.sqrt(len(s.preprocessing.feature_names))))
 
 
-def _forest_sums(codes: np.ndarray, y: np.ndarray, draws: np.ndarray, pair: tuple[float, float],
-                 at: np.ndarray, cols: np.ndarray, cats: np.ndarray, inputs: int,
+@dataclass(frozen=True)
+class Layout:
+    """Inputs as one row of features: the codes of numeric inputs, then 0 or 1 for each category."""
+
+    inputs: int
+    starts: np.ndarray  # by categorical input: the feature of its code 0
+    width: int
+    kind: type
+
+    def feature(self, col: np.ndarray, code: np.ndarray) -> np.ndarray:
+        starts = np.append(self.starts, 0)
+        return np.where(col < self.inputs, col, starts[np.maximum(col - self.inputs, 0)] + code)
+
+    def spread(self, codes: np.ndarray, sets: Sequence[FillSet]) -> list[np.ndarray]:
+        """For every set the features of all rows, one after another, from codes by input.
+
+        Missing codes are filled by set; a block without any is spread once.
+        """
+        out = np.zeros((codes.shape[1], self.width), self.kind)
+        for i, code in enumerate(codes):
+            self._put(out, i, slice(None) if i < self.inputs else np.flatnonzero(code >= 0), code)
+        gaps = [np.flatnonzero(code < 0) for code in codes]
+        found = []
+        for s in sets:
+            own = out.copy() if any(map(len, gaps)) else out
+            for i, (fill, at) in enumerate(zip(np.concatenate((s.median_bins, s.modes)), gaps)):
+                if len(at) and fill >= 0:
+                    self._put(own, i, at, np.full(codes.shape[1], fill, self.kind))
+            found.append(own.ravel())
+        return found
+
+    def _put(self, out: np.ndarray, i: int, at: np.ndarray | slice, code: np.ndarray) -> None:
+        if i < self.inputs:
+            out[at, i] = code[at]
+        else:
+            out[at, self.starts[i - self.inputs] + code[at]] = 1
+
+    def steps(self, tree: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """(feature, number, left) of every node: more than ``number`` goes right; leaves go to themselves."""
+        col, cut, left, _ = tree
+        leaf = col < 0
+        number = np.where(leaf, np.iinfo(self.kind).max, np.where(col < self.inputs, cut, 0))
+        return (np.where(leaf, 0, self.feature(col, cut)), number.astype(self.kind),
+                np.where(leaf, np.arange(len(col)), left))
+
+
+def _layout(rows: Encoded) -> Layout:
+    inputs, sizes = len(rows.numeric), rows.sizes()
+    ends = inputs + np.cumsum(sizes[inputs:])
+    return Layout(inputs, (ends - sizes[inputs:]).astype(int),
+                  int(ends[-1]) if len(ends) else inputs, code_type(rows))
+
+
+def _routed(flat: np.ndarray, base: np.ndarray, steps: tuple[np.ndarray, ...], depth: int,
+            node: np.ndarray | None = None) -> np.ndarray:
+    """The node that each row is in after ``depth`` steps; ``base`` is where its features begin."""
+    feature, number, left = steps
+    if node is None:
+        node = np.zeros(len(base), np.intp)
+        if len(left) == 1:
+            return node
+    for _ in range(depth):
+        right = flat.take(base + feature.take(node)) > number.take(node)
+        node = left.take(node) + right
+    return node
+
+
+def _forest_sums(flat: np.ndarray, base: np.ndarray, one: np.ndarray, weight: np.ndarray,
+                 pair: tuple[float, float], at: np.ndarray, features: np.ndarray,
                  bins: int) -> np.ndarray:
-    """(nodes, slots, bins, 3): weight of both classes and drawn rows of every bin."""
-    nodes, slots = cols.shape
-    inside = at >= 0
-    codes, y, draws, at = codes[inside], y[inside], draws[inside], at[inside]
-    col = cols[at]
-    code = np.take_along_axis(codes, col, axis=1)
-    code = np.where(col >= inputs, code == cats[at], code)
-    cells = ((at[:, None] * slots + np.arange(slots)) * bins + code).ravel()
-    out = np.empty((nodes * slots * bins, 3))
-    for v, value in enumerate((draws * pair[0] * (y == 0), draws * pair[1] * (y == 1),
-                               np.ones(len(y)))):
-        out[:, v] = np.bincount(cells, np.repeat(value, slots), len(out))
-    return out.reshape(nodes, slots, bins, 3)
+    """(nodes, slots, bins, 3): weight of both classes and drawn rows of every bin.
+
+    ``one`` is 1 for rows of class 1, else 0, and ``weight`` the draws as multiples of DRAW, plus 1.
+    """
+    nodes, slots = features.shape
+    out, first = np.empty((nodes, slots, bins, 3)), at * (2 * bins) + one
+    # Slot by slot: what a step makes stays in the processor's cache.
+    for i in range(slots):
+        cells = flat.take(features[:, i].take(at) + base).astype(np.intp)
+        cells *= 2
+        cells += first
+        held = np.bincount(cells, weight, 2 * nodes * bins).reshape(nodes, bins, 2)
+        draws = np.floor(held / DRAW)
+        out[:, i, :, :2] = draws * pair
+        out[:, i, :, 2] = (held - DRAW * draws).sum(2)
+    return out
 
 
 def _choose(sums: np.ndarray, f: Forest) -> tuple[np.ndarray, ...]:
@@ -424,33 +541,42 @@ def _node_rows(k: int, t: int, tree: Tree, kept: Sequence[int]) -> pa.Table:
     return pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], names=_NODES.names)
 
 
-def _grow_below(codes: np.ndarray, y: np.ndarray, draws: np.ndarray, pair: tuple[float, float],
-                k: int, t: int, place: int, sets: Sequence[FillSet], inputs: int, bins: int,
+def _grow_below(codes: np.ndarray, one: np.ndarray, draws: np.ndarray, pair: tuple[float, float],
+                k: int, t: int, place: int, sets: Sequence[FillSet], layout: Layout, bins: int,
                 f: Forest, cells: int) -> Tree:
     """The tree below one node from the node's drawn rows."""
-    tree = Tree(inputs)
-    active, node = [tree.add(place, (0.0, 0.0, 0.0), 0.0)], np.zeros(len(y), int)
+    tree = Tree(layout.inputs)
+    flat, one = layout.spread(codes, [sets[k]])[0], one.astype(np.intp)
+    base, weight = np.arange(len(one)) * layout.width, draws * float(DRAW) + 1
+    # Rows of nodes that may still split, and where they are.
+    active, node = [tree.add(place, (0.0, 0.0, 0.0), 0.0)], np.zeros(len(one), np.intp)
     for _ in range(f.depth - (place.bit_length() - 1)):
         if not active:
             break
-        count = len(tree.col)
         ids = [np.full(len(active), i, np.int64) for i in (k, t)]
         cols, cats = _slots(sets, *ids, np.array([tree.place[a] for a in active], np.int64), f.seed)
+        features = layout.feature(cols, cats)
         step, chosen = max(1, cells // (cols.shape[1] * bins)), []
+        slot = np.full(len(tree.col), -1)
+        slot[active] = np.arange(len(active))
+        at = slot.take(node)
         for i in range(0, len(active), step):
-            slot = np.full(count, -1)
-            slot[active[i:i + step]] = np.arange(len(active[i:i + step]))
-            chosen.append(_choose(_forest_sums(codes, y, draws, pair, slot[node], cols[i:i + step],
-                                               cats[i:i + step], inputs, bins), f))
+            own = slice(None) if step >= len(active) else np.flatnonzero((at >= i) & (at < i + step))
+            chosen.append(_choose(_forest_sums(flat, base[own], one[own], weight[own], pair,
+                                               at[own] - i, features[i:i + step], bins), f))
         total, splits, slot, cut, gain, left, right = (np.concatenate(c) for c in zip(*chosen))
         col = cols[np.arange(len(active)), slot]
-        cut = np.where(col >= inputs, cats[np.arange(len(active)), slot], cut)
+        cut = np.where(col >= layout.inputs, cats[np.arange(len(active)), slot], cut)
         active = _grow_level(tree, active, [total, splits, col, cut, gain, left, right], f)
-        node = _stepped(codes, node, arrays(tree), inputs)
+        again = np.zeros(len(tree.col), bool)
+        again[active] = True
+        node = _routed(flat, base, layout.steps(arrays(tree)), 1, node)
+        kept = np.flatnonzero(again.take(node))
+        base, one, weight, node = base[kept], one[kept], weight[kept], node[kept]
     return tree
 
 
-def _pass_sums(rows: Encoded, run: list[tuple], out: dict[tuple[int, int], Tree], level: int,
+def _pass_sums(rows: Encoded, blocks: Blocks, run: list[tuple], out: dict[tuple[int, int], Tree], level: int,
                pairs: Sequence[tuple[float, float]], bins: int, f: Forest, cells: int) -> list[tuple]:
     """One pass over all rows that splits the nodes of ``run``; the children that may split again."""
     inputs, sets = len(rows.numeric), list(rows.sets.values())
@@ -459,31 +585,34 @@ def _pass_sums(rows: Encoded, run: list[tuple], out: dict[tuple[int, int], Tree]
     k, t = (np.repeat([job[i] for job, _ in run], sizes) for i in (0, 1))
     place = np.array([out[job].place[a] for job, nodes in run for a in nodes], np.int64)
     cols, cats = _slots(sets, k, t, place, f.seed)
-    per_node = cols.shape[1] * bins
-    plans = []
+    per_node, layout = cols.shape[1] * bins, _layout(rows)
+    features, plans = layout.feature(cols, cats), []
     for (job, nodes), end in zip(run, ends):
         slot = np.full(len(out[job].col), -1)
-        slot[nodes] = np.arange(end - len(nodes), end)
-        plans.append((*job, slot, arrays(out[job])))
+        slot[nodes] = np.arange(len(nodes))
+        plans.append((*job, slot, layout.steps(arrays(out[job]))))
     spans = [slice(e - n, e) for e, n in zip(ends, sizes)]
 
-    def partial(batch: Batch, _) -> tuple[np.ndarray, np.ndarray]:
-        codes = [filled_codes(batch.codes, s) for s in sets]
-        draws_of = {x: _poisson(drawn(batch.key_hash, f.seed, x)) for x in {p[1] for p in plans}}
-        places, sums = [], []
-        for (k, t, slot, tree), span in zip(plans, spans):
-            mine = np.flatnonzero(sets[k].member[batch.part] & (draws_of[t] > 0))
-            own = codes[k][mine]
-            at = slot[leaves(own, tree, inputs, level)]
-            at = np.where(at < 0, -1, at - span.start)
-            found = _forest_sums(own, batch.label[mine], draws_of[t][mine], pairs[k], at,
-                                 cols[span], cats[span], inputs, bins).reshape(-1, 3)
-            there = np.flatnonzero(found[:, 2])
-            places.append(there + span.start * per_node)
-            sums.append(found[there])
-        return np.concatenate(places), np.concatenate(sums)
-
-    places, sums = summed(rows, rows.rows, partial, 3, len(k) * per_node)
+    def partial(found: Iterator[Block]) -> np.ndarray:
+        total = np.zeros((len(features), per_node, 3))
+        for block in found:
+            flats, one = layout.spread(block.codes, sets), (block.label == 1).astype(np.intp)
+            inside = [s.member[block.part] for s in sets]
+            draws_of = {x: _poisson(drawn(block.key_hash, f.seed, x)) for x in {p[1] for p in plans}}
+            weights = {x: draws * float(DRAW) + 1 for x, draws in draws_of.items()}
+            for (k, t, slot, steps), span in zip(plans, spans):
+                mine = np.flatnonzero(inside[k] & (draws_of[t] > 0))
+                at = slot.take(_routed(flats[k], mine * layout.width, steps, level))
+                there = at >= 0
+                if not there.all():
+                    mine, at = mine[there], at[there]
+                if len(mine):
+                    total[span] += _forest_sums(
+                        flats[k], mine * layout.width, one[mine], weights[t][mine], pairs[k], at,
+                        features[span], bins).reshape(-1, per_node, 3)
+        return total.reshape(-1, 3)
+
+    places, sums = summed_blocks(blocks, code_type(rows), partial, 3, len(k) * per_node)
     again = []
     # Some thousand nodes at a time.
     step = max(1, cells // per_node)
@@ -498,46 +627,45 @@ def _pass_sums(rows: Encoded, run: list[tuple], out: dict[tuple[int, int], Tree]
     return again
 
 
-def _ship(rows: Encoded, open_nodes: dict[tuple[int, int], list[int]],
+def _ship(rows: Encoded, blocks: Blocks, open_nodes: dict[tuple[int, int], list[int]],
           out: dict[tuple[int, int], Tree], f: Forest) -> DataFrame:
-    """k, t, place, n, packed: the drawn rows of open nodes, one record per node and stored file."""
-    inputs, sets = len(rows.numeric), list(rows.sets.values())
-    kind = np.int8 if rows.sizes().max() < 128 else np.int16
+    """k, t, place, n, packed: the drawn rows of open nodes, one record per node and block."""
+    layout, sets, kind = _layout(rows), list(rows.sets.values()), code_type(rows)
     plans = []
     for (k, t), nodes in open_nodes.items():
         tree = out[k, t]
         slot = np.full(len(tree.col), -1)
         slot[nodes] = np.arange(len(nodes))
-        plans.append((k, t, slot, arrays(tree), [tree.place[n] for n in nodes]))
+        plans.append((k, t, slot, layout.steps(arrays(tree)), [tree.place[n] for n in nodes],
+                      max(tree.place).bit_length() - 1))
     schema = T.StructType([*_node_fields()[:3], T.StructField("n", T.IntegerType()),
                            T.StructField("packed", T.BinaryType())])
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = gathered(batches)
-        if raw is None:
-            return
-        batch, found, held = read(raw), [], 0
-        codes = [filled_codes(batch.codes, s) for s in sets]
-        draws_of = {x: _poisson(drawn(batch.key_hash, f.seed, x)) for x in {p[1] for p in plans}}
-        for k, t, slot, tree, places in plans:
-            mine = np.flatnonzero(sets[k].member[batch.part] & (draws_of[t] > 0))
-            at = slot[leaves(codes[k][mine], tree, inputs, f.depth)]
-            order = np.argsort(at, kind="stable")
-            ends = np.searchsorted(at[order], np.arange(len(places) + 1))
-            for place, low, high in zip(places, ends, ends[1:]):
-                if low == high:
-                    continue
-                own = mine[order[low:high]]
-                packed = _packed(codes[k][own], batch.label[own], draws_of[t][own], kind)
-                found.append((k, t, place, high - low, packed))
-                held += len(packed)
-            if held > SHIPPED:
-                yield _records(found, schema)
-                found, held = [], 0
+        found, held = [], 0
+        for block in opened(batches, kind):
+            flats, inside = layout.spread(block.codes, sets), [s.member[block.part] for s in sets]
+            draws_of = {x: _poisson(drawn(block.key_hash, f.seed, x)) for x in {p[1] for p in plans}}
+            codes, one = np.ascontiguousarray(block.codes.T), block.label == 1
+            for k, t, slot, steps, places, depth in plans:
+                mine = np.flatnonzero(inside[k] & (draws_of[t] > 0))
+                at = slot.take(_routed(flats[k], mine * layout.width, steps, depth))
+                order = np.argsort(at, kind="stable")
+                ends = np.searchsorted(at[order], np.arange(len(places) + 1))
+                for place, low, high in zip(places, ends, ends[1:]):
+                    if low == high:
+                        continue
+                    own = mine[order[low:high]]
+                    packed = _packed(codes[own], one[own], draws_of[t][own])
+                    found.append((k, t, place, high - low, packed))
+                    held += len(packed)
+                if held > SHIPPED:
+                    yield _records(found, schema)
+                    found, held = [], 0
         if found:
             yield _records(found, schema)
 
-    return rows.rows.mapInArrow(ship, schema)
+    return blocks.table.mapInArrow(ship, schema)
 
 
 def _records(found: list[tuple], schema: T.StructType) -> pa.RecordBatch:
@@ -546,9 +674,9 @@ def _records(found: list[tuple], schema: T.StructType) -> pa.RecordBatch:
                                       names=schema.names)
 
 
-def _packed(codes: np.ndarray, y: np.ndarray, draws: np.ndarray, kind: type) -> bytes:
+def _packed(codes: np.ndarray, one: np.ndarray, draws: np.ndarray) -> bytes:
     """Rows column by column, compressed."""
-    raw = (np.ascontiguousarray(codes.T.astype(kind)).tobytes() + y.astype(np.int8).tobytes()
+    raw = (np.ascontiguousarray(codes.T).tobytes() + one.astype(np.int8).tobytes()
            + draws.astype(np.int8).tobytes())
     return pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -556,23 +684,23 @@ def _packed(codes: np.ndarray, y: np.ndarray, draws: np.ndarray, kind: type) ->
 def _unpacked(packed: bytes, n: int, width: int, kind: type) -> tuple[np.ndarray, ...]:
     size = np.dtype(kind).itemsize * width * n
     raw = pa.decompress(packed, decompressed_size=size + 2 * n, codec="zstd", asbytes=True)
-    codes = np.frombuffer(raw, kind, width * n).reshape(width, n).T
-    y, draws = np.frombuffer(raw, np.int8, 2 * n, size).reshape(2, n)
-    return codes, y, draws
+    codes = np.frombuffer(raw, kind, width * n).reshape(width, n)
+    one, draws = np.frombuffer(raw, np.int8, 2 * n, size).reshape(2, n)
+    return codes, one, draws
 
 
 def _grow_in_tasks(rows: Encoded, shipped: DataFrame, pairs: Sequence[tuple[float, float]],
                    bins: int, f: Forest, cells: int, tasks: int) -> DataFrame:
     """The nodes below every shipped node, itself included."""
-    inputs, sets = len(rows.numeric), list(rows.sets.values())
-    width, kind = len(rows.sizes()), np.int8 if rows.sizes().max() < 128 else np.int16
+    layout, sets = _layout(rows), list(rows.sets.values())
+    width, kind = len(rows.sizes()), code_type(rows)
 
     def grow(key: tuple, table: pa.Table) -> pa.Table:
         k, t, place = (v.as_py() for v in key)
         parts = [_unpacked(p.as_py(), n.as_py(), width, kind)
                  for p, n in zip(table.column("packed"), table.column("n"))]
-        codes, y, draws = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
-        tree = _grow_below(codes, y, draws, pairs[k], k, t, place, sets, inputs, bins, f, cells)
+        codes, one, draws = (np.concatenate(x, axis=-1) for x in zip(*parts))
+        tree = _grow_below(codes, one, draws, pairs[k], k, t, place, sets, layout, bins, f, cells)
         return _node_rows(k, t, tree, range(len(tree.col)))
 
     by = ["k", "t", "place"]
@@ -680,7 +808,7 @@ def grow_forest(rows: Encoded, weights: dict[str, tuple[float, float]], f: Fores
     counts = [s.preprocessing.rows for s in sets]
     split_by_passes = sum(min(2 << f.depth, 4 * n // max(in_task, 1) + 1) for n in counts)
     at_once = max(1, min(TREES_AT_ONCE, NODES_AT_ONCE // max(split_by_passes, 1)))
-    tables = []
+    tables, blocks = [], in_blocks(rows)
     with ThreadPool(PASSES) as pool:
         for first in range(0, f.trees, at_once):
             trees = range(first, min(first + at_once, f.trees))
@@ -699,7 +827,7 @@ def grow_forest(rows: Encoded, weights: dict[str, tuple[float, float]], f: Fores
                 # Runs of one tree follow each other, so that its nodes are made in order.
                 grow_all = inheritable_thread_target(spark)(lambda group, level=level, out=out: [
                     x for run in group
-                    for x in _pass_sums(rows, run, out, level, pairs, bins, f, cells)])
+                    for x in _pass_sums(rows, blocks, run, out, level, pairs, bins, f, cells)])
                 for found in pool.imap(grow_all, _by_tree(runs)):
                     for job, nodes in found:
                         stats = out[job].stats
@@ -718,10 +846,11 @@ def grow_forest(rows: Encoded, weights: dict[str, tuple[float, float]], f: Fores
             if shipped:
                 drawn_rows = sum(0.64 * counts[k] for k, _ in shipped)
                 tasks = max(spark.sparkContext.defaultParallelism, int(drawn_rows) >> 21)
-                made.append(_grow_in_tasks(rows, _ship(rows, shipped, out, f), pairs, bins, f,
-                                           cells, tasks))
+                made.append(_grow_in_tasks(rows, _ship(rows, blocks, shipped, out, f), pairs,
+                                           bins, f, cells, tasks))
             tables.append(materialize(reduce(DataFrame.unionByName, made), "forest"))
             release(spark)
+    drop(blocks.table)
     return Forests(rows.names, tables, at_once, f.trees, inputs)
 
 
